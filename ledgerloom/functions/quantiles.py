@@ -4,8 +4,8 @@ The built-in exact ``percentile`` merges every distinct value in one task. Here
 only happens for a checked number of rows. Beyond it each wanted rank is closed in on
 with the built-in sketch, and exact counts decide which side of the sketch's values the
 rank lies on, so the answer is exact whatever the sketch's error. A pass is one aggregate
-that moves a bounded sketch per task; each pass cuts the open interval to a few
-ten-thousandths of its rows.
+that moves a bounded sketch per task, and each round cuts the open interval to a few
+ten-thousandths of its rows. The first sketch rides along with the pass that counts rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GATHER_ROWS = 1 << 20
+GATHER_ROWS = 1 << 16
 SKETCH_ACCURACY = 10_000
 SKETCH_MARGIN = 3.0 / SKETCH_ACCURACY
 
@@ -33,6 +33,7 @@ class _Rank:
     skipped: int = 0
     lo: float | None = None
     hi: float | None = None
+    bracket: tuple[float, float] | None = None
     value: float | None = None
 
     def within(self) -> Column:
@@ -44,11 +45,12 @@ class _Rank:
             test = test & (c < F.lit(self.hi))
         return F.when(test, c)
 
-    def narrow(self, a: float, b: float, counts: Sequence[int]) -> None:
-        """``counts``: rows of the open interval below a, at a, between a and b, at b."""
+    def narrow(self, counts: Sequence[int]) -> None:
+        """``counts``: rows of the open interval below, at, between and at the bracket's ends."""
+        a, b = self.bracket
+        self.bracket = None
         pieces = [(self.lo, a), a, (a, b), b, (b, self.hi)]
-        sizes = [*counts, self.inside - sum(counts)]
-        for piece, size in zip(pieces, sizes):
+        for piece, size in zip(pieces, [*counts, self.inside - sum(counts)]):
             if self.rank < self.skipped + size:
                 if isinstance(piece, tuple):
                     self.lo, self.hi = piece
@@ -70,6 +72,11 @@ def exact_quantiles(
     extras = dict(extras or {})
     first = df.agg(
         *[F.count(c).alias(f"n_{c}") for c in probabilities],
+        *[
+            _sketch(F.col(c), p).alias(f"s_{c}_{i}")
+            for c, ps in probabilities.items()
+            for i, p in enumerate(ps)
+        ],
         *[e.alias(name) for name, e in extras.items()],
     ).first()
     counted = {c: first[f"n_{c}"] for c in probabilities}
@@ -85,10 +92,11 @@ def exact_quantiles(
     large = [c for c in probabilities if counted[c] > gather_rows]
     ranks: dict[tuple[str, int], _Rank] = {}
     for c in large:
-        for p in probabilities[c]:
+        for i, p in enumerate(probabilities[c]):
             place = (counted[c] - 1) * p
             for k in {math.floor(place), math.ceil(place)}:
-                ranks.setdefault((c, k), _Rank(c, k, counted[c]))
+                bracket = tuple(first[f"s_{c}_{i}"])
+                ranks.setdefault((c, k), _Rank(c, k, counted[c], bracket=bracket))
     _resolve(df, list(ranks.values()), gather_rows)
     for c in large:
         for i, p in enumerate(probabilities[c]):
@@ -99,30 +107,36 @@ def exact_quantiles(
     return results, {name: first[name] for name in extras}
 
 
+def _sketch(values: Column, share: float) -> Column:
+    """Two values that most likely enclose the one at ``share`` of the rows."""
+    bounds = [max(0.0, share - SKETCH_MARGIN), min(1.0, share + SKETCH_MARGIN)]
+    return F.percentile_approx(values, bounds, SKETCH_ACCURACY)
+
+
 def _resolve(df: DataFrame, ranks: list[_Rank], gather_rows: int) -> None:
     while open_ranks := [r for r in ranks if r.value is None]:
-        asked = []
-        for r in open_ranks:
-            if r.inside <= gather_rows:
-                held = F.array_sort(F.collect_list(r.within()))
-                asked.append(F.slice(held, r.rank - r.skipped + 1, 1))
-            else:
-                share = (r.rank - r.skipped) / r.inside
-                bounds = [max(0.0, share - SKETCH_MARGIN), min(1.0, share + SKETCH_MARGIN)]
-                asked.append(F.percentile_approx(r.within(), bounds, SKETCH_ACCURACY))
-        row = df.agg(*[e.alias(f"a{i}") for i, e in enumerate(asked)]).first()
-
-        wide = []
-        for r, answer in zip(open_ranks, row):
-            if r.inside <= gather_rows:
-                r.value = answer[0]
-            else:
-                wide.append((r, answer[0], answer[1]))
+        asking = [r for r in open_ranks if r.bracket is None]
+        if asking:
+            asked = []
+            for r in asking:
+                if r.inside <= gather_rows:
+                    held = F.array_sort(F.collect_list(r.within()))
+                    asked.append(F.slice(held, r.rank - r.skipped + 1, 1))
+                else:
+                    asked.append(_sketch(r.within(), (r.rank - r.skipped) / r.inside))
+            row = df.agg(*[e.alias(f"a{i}") for i, e in enumerate(asked)]).first()
+            for r, answer in zip(asking, row):
+                if r.inside <= gather_rows:
+                    r.value = answer[0]
+                else:
+                    r.bracket = tuple(answer)
+
+        wide = [r for r in open_ranks if r.bracket is not None]
         if not wide:
             continue
         counts = []
-        for r, a, b in wide:
-            v = r.within()
+        for r in wide:
+            v, (a, b) = r.within(), r.bracket
             counts += [
                 F.count_if(v < a),
                 F.count_if(v == a),
@@ -130,5 +144,5 @@ def _resolve(df: DataFrame, ranks: list[_Rank], gather_rows: int) -> None:
                 F.count_if((v == b) & F.lit(a != b)),
             ]
         row = df.agg(*[e.alias(f"c{i}") for i, e in enumerate(counts)]).first()
-        for i, (r, a, b) in enumerate(wide):
-            r.narrow(a, b, row[4 * i : 4 * i + 4])
+        for i, r in enumerate(wide):
+            r.narrow(row[4 * i : 4 * i + 4])

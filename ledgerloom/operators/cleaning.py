@@ -42,7 +42,7 @@ def reference_ts(last_ts: datetime | None, months: int = CHURN_MONTHS) -> Column
 
 
 def drop_missing_customer(tx: DataFrame) -> DataFrame:
-    return tx.dropna(subset=["customer_id"])
+    return tx.where(F.col("customer_id").isNotNull())
 
 
 def flag_returns(tx: DataFrame) -> DataFrame:

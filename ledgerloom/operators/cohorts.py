@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.constants import MATURITY_MONTHS, VERDICT_COHORTS, VERDICT_POSITIONS
-from ledgerloom.functions import attach_row, calendar_months_between, month_of
+from ledgerloom.functions import calendar_months_between, month_of
+from ledgerloom.functions.skew import attach_per_key
 
 
 def invoice_month(sales: DataFrame) -> DataFrame:
@@ -22,14 +23,10 @@ def invoice_month(sales: DataFrame) -> DataFrame:
 
 
 def cohort_month(sales: DataFrame) -> DataFrame:
-    """Every line with the month of its customer's first purchase.
-
-    The small side has one row per customer. Adaptive execution broadcasts it when it
-    measures small, and otherwise splits the partition of a customer with very many lines.
-    """
-    dated = invoice_month(sales)
-    first = dated.groupBy("customer_id").agg(F.min("invoice_month").alias("cohort_month"))
-    return dated.join(first, "customer_id")
+    """Every line with the month of its customer's first purchase."""
+    return attach_per_key(
+        invoice_month(sales), "customer_id", {"cohort_month": F.min("invoice_month")}
+    )
 
 
 def cohort_index(dated: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from ledgerloom.constants import (
     SEED,
 )
 from ledgerloom.operators.rfm import MEASURES, SCALED
+from ledgerloom.session import stage
 
 # Rows of one block in the pairwise silhouette; a task holds two blocks.
 BLOCK_ROWS = 4096
@@ -138,18 +139,22 @@ def silhouette(
     columns: Sequence[str] = SCALED,
     method: str = "exact",
     block_rows: int = BLOCK_ROWS,
+    grid: float | None = None,
 ) -> DataFrame:
     """Mean silhouette per k; ``labels`` names the label column (0..k-1) of each k.
 
-    ``exact`` uses Euclidean distances between all customers, as the statistic is defined.
-    ``squared`` is Spark's evaluator, a different statistic that needs only one pass; it is
-    never used unless asked for.
+    ``exact`` uses Euclidean distances between all customers, as the statistic is defined,
+    and its work grows with their square. Where that is too much, ``grid`` rounds the
+    coordinates to multiples of its width and counts the customers per cell: every customer
+    still takes part, and no distance moves by more than ``grid * sqrt(dimensions)``.
+    ``squared`` is Spark's evaluator, a different statistic that needs only one pass.
+    Neither is used unless asked for.
     """
     if method == "squared":
         return _squared_silhouette(labelled, labels, columns)
     if method != "exact":
         raise ValueError(f"unknown silhouette method {method!r}")
-    return _exact_silhouette(labelled, labels, key, columns, block_rows)
+    return _exact_silhouette(labelled, labels, key, columns, block_rows, grid)
 
 
 def _squared_silhouette(
@@ -163,8 +168,18 @@ def _squared_silhouette(
     return labelled.sparkSession.createDataFrame(rows, "k int, silhouette double")
 
 
+def _coordinate(name: str, grid: float | None) -> Column:
+    value = F.col(name).cast("double")
+    return value if grid is None else F.rint(value / grid) * grid
+
+
 def _exact_silhouette(
-    labelled: DataFrame, labels: Mapping[int, str], key: str, columns: Sequence[str], block_rows: int
+    labelled: DataFrame,
+    labels: Mapping[int, str],
+    key: str,
+    columns: Sequence[str],
+    block_rows: int,
+    grid: float | None,
 ) -> DataFrame:
     """All distances, block by block, with every k scored from the same distances.
 
@@ -182,31 +197,35 @@ def _exact_silhouette(
     counted = labelled.select(F.inline(F.array(*pieces))).groupBy("k", "cluster").count().collect()
     found = {(r["k"], r["cluster"]): r["count"] for r in counted}
     sizes = {k: [found.get((k, c), 0) for c in range(k)] for k in ks}
-    rows = sum(sizes[ks[0]])
-    blocks = max(math.ceil(rows / block_rows), 1)
-    # Enough pairs of blocks to keep every core busy, without blocks of a few rows.
-    while blocks * (blocks + 1) // 2 < 2 * spark.sparkContext.defaultParallelism and (
-        rows / blocks > 512
-    ):
-        blocks += 1
-
     slots = np.cumsum([0, *ks])
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     points = labelled.select(
-        F.col(key).alias("id"),
-        block.alias("block"),
-        F.array(*[F.col(c).cast("double") for c in columns]).alias("at"),
+        F.col(key).cast("string").alias("id"),
+        F.array(*[_coordinate(c, grid) for c in columns]).alias("at"),
         F.array(
             *[F.col(labels[k]).cast("int") + F.lit(int(slots[i])) for i, k in enumerate(ks)]
         ).alias("slots"),
+        F.lit(1).cast("bigint").alias("weight"),
     )
-    pairs = points.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        F.least("block", "other").alias("one"),
-        F.greatest("block", "other").alias("two"),
-        "id",
-        "block",
-        "at",
-        "slots",
+    if grid is None:
+        number = sum(sizes[ks[0]])
+    else:
+        merged = points.groupBy("at", "slots").agg(F.sum("weight").alias("weight"))
+        place = F.concat_ws(",", F.col("at").cast("array<string>"), F.col("slots").cast("array<string>"))
+        points = stage(merged.select(place.alias("id"), "at", "slots", "weight"), "cells")
+        number = points.count()
+
+    blocks = max(math.ceil(number / block_rows), 1)
+    # Enough pairs of blocks to keep every core busy, without blocks of a few rows.
+    while blocks * (blocks + 1) // 2 < 2 * spark.sparkContext.defaultParallelism and (
+        number / blocks > 512
+    ):
+        blocks += 1
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    pairs = (
+        points.withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
+        .drop("other")
     )
     width = int(slots[-1])
     dims = len(columns)
@@ -219,7 +238,8 @@ def _exact_silhouette(
 
     def block_pair(group: pd.DataFrame) -> pd.DataFrame:
         at = np.stack(group["at"].to_numpy())
-        belongs = members(np.stack(group["slots"].to_numpy()))
+        weight = group["weight"].to_numpy(dtype=float)
+        belongs = members(np.stack(group["slots"].to_numpy())) * weight[:, None]
         left = np.flatnonzero((group["block"] == group["one"]).to_numpy())
         right = np.flatnonzero((group["block"] == group["two"]).to_numpy())
         sums = np.zeros((len(group), width))
@@ -233,16 +253,15 @@ def _exact_silhouette(
             sums[part] += distance @ belongs[right]
             if group["one"].iat[0] != group["two"].iat[0]:
                 sums[right] += distance.T @ belongs[part]
-        return pd.DataFrame({"id": group["id"], "slots": group["slots"], "sums": list(sums)})
+        return group[["id", "slots", "weight"]].assign(sums=list(sums))
 
-    id_type = labelled.schema[key].dataType.simpleString()
     # Few bytes but much work per group: a fixed number of partitions keeps adaptive execution
     # from merging the groups into a few tasks, and several per pair keep them apart.
     tasks = min(3 * blocks * (blocks + 1) // 2, MOST_PAIR_TASKS)
     partial = pairs.repartition(tasks, "one", "two").groupBy("one", "two").applyInPandas(
-        block_pair, f"id {id_type}, slots array<int>, sums array<double>"
+        block_pair, "id string, slots array<int>, weight bigint, sums array<double>"
     )
-    totals = partial.groupBy("id", "slots").agg(
+    totals = partial.groupBy("id", "slots", "weight").agg(
         F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums")
     )
 
@@ -260,7 +279,12 @@ def _exact_silhouette(
         outer = F.array_min(others)
         return F.coalesce(F.try_divide(outer - inner, F.greatest(outer, inner)), F.lit(0.0))
 
-    means = totals.agg(*[F.avg(score(i, k)).alias(f"s_{k}") for i, k in enumerate(ks)])
+    means = totals.agg(
+        *[
+            F.try_divide(F.sum(score(i, k) * F.col("weight")), F.sum("weight")).alias(f"s_{k}")
+            for i, k in enumerate(ks)
+        ]
+    )
     lines = [F.struct(F.lit(k).alias("k"), F.col(f"s_{k}").alias("silhouette")) for k in ks]
     return means.select(F.inline(F.array(*lines)))
 
@@ -271,14 +295,14 @@ def select_k(scores: DataFrame) -> DataFrame:
 
 
 def segment_customers(
-    scaled: DataFrame, fits: Mapping[int, FittedClusters]
+    scaled: DataFrame, fits: Mapping[int, FittedClusters], **silhouette_options
 ) -> tuple[DataFrame, DataFrame]:
     """Score every fit, keep the best k and label the customers; returns (labelled, scores).
 
     The best fit is already at hand, so nothing is fitted again for the chosen k.
     """
     labelled = label_all(scaled, {k: f.centers for k, f in fits.items()})
-    measured = silhouette(labelled, {k: f"cluster_{k}" for k in fits})
+    measured = silhouette(labelled, {k: f"cluster_{k}" for k in fits}, **silhouette_options)
     rows = [(r["k"], r["silhouette"]) for r in measured.collect()]  # one row per k
     scores = scaled.sparkSession.createDataFrame(rows, "k int, silhouette double")
     best_k = min(rows, key=lambda r: (-r[1], r[0]))[0]
