@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+LEAST_TERMS = 8
+
 
-def hyp2f1_series(a: Column, b: Column, c: Column, z: Column, terms: int) -> Column:
-    """The first ``terms`` terms of 2F1(a, b; c; z), summed inside the JVM.
+def hyp2f1_series(a: Column, b: Column, c: Column, z: Column, tolerance: float = 1e-11) -> Column:
+    """2F1(a, b; c; z) for 0 <= z < 1, summed inside the JVM.
 
-    Each step carries the last term and the running sum.
+    Made for parameters whose terms shrink at least as fast as the powers of z. Each row sums
+    only as many terms as its own z needs to fall below ``tolerance``; each step carries the
+    last term and the running sum.
     """
 
     def step(state: Column, n: Column) -> Column:
@@ -17,5 +23,6 @@ def hyp2f1_series(a: Column, b: Column, c: Column, z: Column, terms: int) -> Col
         return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
 
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-    counter = F.array(*[F.lit(float(n)) for n in range(terms - 1)])
+    terms = F.when(z > 0, F.ceil(F.lit(math.log(tolerance)) / F.ln(z))).otherwise(0) + LEAST_TERMS
+    counter = F.sequence(F.lit(0), terms.cast("int"))
     return F.aggregate(counter, start, step, lambda state: state["total"])

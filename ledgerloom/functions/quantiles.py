@@ -5,7 +5,9 @@ only happens for a checked number of rows. Beyond it each wanted rank is closed
 with the built-in sketch, and exact counts decide which side of the sketch's values the
 rank lies on, so the answer is exact whatever the sketch's error. A pass is one aggregate
 that moves a bounded sketch per task, and each round cuts the open interval to a few
-ten-thousandths of its rows. The first sketch rides along with the pass that counts rows.
+ten-thousandths of its rows. The first sketch rides along with the pass that counts rows,
+and where a bracket must hold few rows the value is looked up in the pass that counts them,
+so columns of up to some tens of millions of rows take two passes.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from pyspark.sql import functions as F
 GATHER_ROWS = 1 << 16
 SKETCH_ACCURACY = 10_000
 SKETCH_MARGIN = 3.0 / SKETCH_ACCURACY
+# Share of the rows that can lie strictly inside a sketched bracket: its width and the
+# sketch's guaranteed error at both ends, with room to spare.
+BRACKET_SHARE = 10.0 / SKETCH_ACCURACY
 
 
 @dataclass
@@ -45,16 +50,20 @@ class _Rank:
             test = test & (c < F.lit(self.hi))
         return F.when(test, c)
 
-    def narrow(self, counts: Sequence[int]) -> None:
-        """``counts``: rows of the open interval below, at, between and at the bracket's ends."""
+    def narrow(self, counts: Sequence[int], between: float | None) -> None:
+        """``counts``: rows of the open interval below, at, between and at the bracket's ends.
+
+        ``between`` is the wanted value if it lies between them and was looked up as well.
+        """
         a, b = self.bracket
         self.bracket = None
         pieces = [(self.lo, a), a, (a, b), b, (b, self.hi)]
-        for piece, size in zip(pieces, [*counts, self.inside - sum(counts)]):
+        for i, (piece, size) in enumerate(zip(pieces, [*counts, self.inside - sum(counts)])):
             if self.rank < self.skipped + size:
                 if isinstance(piece, tuple):
                     self.lo, self.hi = piece
                     self.inside = size
+                    self.value = between if i == 2 else None
                 else:
                     self.value = piece
                 return
@@ -72,11 +81,7 @@ def exact_quantiles(
     extras = dict(extras or {})
     first = df.agg(
         *[F.count(c).alias(f"n_{c}") for c in probabilities],
-        *[
-            _sketch(F.col(c), p).alias(f"s_{c}_{i}")
-            for c, ps in probabilities.items()
-            for i, p in enumerate(ps)
-        ],
+        *[_sketch(F.col(c), ps).alias(f"s_{c}") for c, ps in probabilities.items()],
         *[e.alias(name) for name, e in extras.items()],
     ).first()
     counted = {c: first[f"n_{c}"] for c in probabilities}
@@ -95,7 +100,7 @@ def exact_quantiles(
         for i, p in enumerate(probabilities[c]):
             place = (counted[c] - 1) * p
             for k in {math.floor(place), math.ceil(place)}:
-                bracket = tuple(first[f"s_{c}_{i}"])
+                bracket = tuple(first[f"s_{c}"][2 * i : 2 * i + 2])
                 ranks.setdefault((c, k), _Rank(c, k, counted[c], bracket=bracket))
     _resolve(df, list(ranks.values()), gather_rows)
     for c in large:
@@ -107,9 +112,13 @@ def exact_quantiles(
     return results, {name: first[name] for name in extras}
 
 
-def _sketch(values: Column, share: float) -> Column:
-    """Two values that most likely enclose the one at ``share`` of the rows."""
-    bounds = [max(0.0, share - SKETCH_MARGIN), min(1.0, share + SKETCH_MARGIN)]
+def _sketch(values: Column, shares: Sequence[float]) -> Column:
+    """For each share of the rows two values that most likely enclose the one wanted."""
+    bounds = [
+        end
+        for share in shares
+        for end in (max(0.0, share - SKETCH_MARGIN), min(1.0, share + SKETCH_MARGIN))
+    ]
     return F.percentile_approx(values, bounds, SKETCH_ACCURACY)
 
 
@@ -123,7 +132,7 @@ def _resolve(df: DataFrame, ranks: list[_Rank], gather_rows: int) -> None:
                     held = F.array_sort(F.collect_list(r.within()))
                     asked.append(F.slice(held, r.rank - r.skipped + 1, 1))
                 else:
-                    asked.append(_sketch(r.within(), (r.rank - r.skipped) / r.inside))
+                    asked.append(_sketch(r.within(), [(r.rank - r.skipped) / r.inside]))
             row = df.agg(*[e.alias(f"a{i}") for i, e in enumerate(asked)]).first()
             for r, answer in zip(asking, row):
                 if r.inside <= gather_rows:
@@ -137,12 +146,20 @@ def _resolve(df: DataFrame, ranks: list[_Rank], gather_rows: int) -> None:
         counts = []
         for r in wide:
             v, (a, b) = r.within(), r.bracket
+            between = (v > a) & (v < b)
+            answer = F.lit(None).cast("double")
+            if r.inside * BRACKET_SHARE <= gather_rows:
+                held = F.array_sort(F.collect_list(F.when(between, v)))
+                place = F.lit(r.rank - r.skipped) - F.count_if(v <= a)
+                answer = F.get(held, F.greatest(place, F.lit(-1)).cast("int"))
             counts += [
                 F.count_if(v < a),
                 F.count_if(v == a),
-                F.count_if((v > a) & (v < b)),
+                F.count_if(between),
                 F.count_if((v == b) & F.lit(a != b)),
+                answer,
             ]
         row = df.agg(*[e.alias(f"c{i}") for i, e in enumerate(counts)]).first()
         for i, r in enumerate(wide):
-            r.narrow(row[4 * i : 4 * i + 4])
+            *sizes, answer = row[5 * i : 5 * i + 5]
+            r.narrow(sizes, answer)

@@ -30,8 +30,6 @@ from ledgerloom.functions.fitting import minimise_positive
 from ledgerloom.functions.hypergeometric import hyp2f1_series
 from ledgerloom.session import stage
 
-SERIES_TOLERANCE = 1e-11
-SERIES_LEAST_TERMS = 24
 # Below these a fitted parameter has run off to its boundary and the formulas have poles.
 PARAMETER_FLOOR = 1e-3
 POLE_GAP = 1e-6
@@ -269,12 +267,6 @@ def fit_spend(repeat: DataFrame, penalty: float = MODEL_PENALTY) -> SpendModel:
 # --- predictions -----------------------------------------------------------------------
 
 
-def series_terms(alpha: float, horizon: float) -> int:
-    """Terms after which the series' largest argument, that of T = 0, has died out."""
-    largest = horizon / (alpha + horizon)
-    return max(SERIES_LEAST_TERMS, math.ceil(math.log(SERIES_TOLERANCE) / math.log(largest)))
-
-
 def expected_purchases(model: PurchaseModel, horizon: float) -> Column:
     """Expected purchases within ``horizon`` days, given a customer's history.
 
@@ -288,7 +280,7 @@ def expected_purchases(model: PurchaseModel, horizon: float) -> Column:
     age = F.lit(alpha) + F.col("T")
     z = F.lit(float(horizon)) / (age + float(horizon))
     bottom = F.lit(a + b - 1.0) + x
-    series = hyp2f1_series(F.lit(a + b - 1.0 - r), F.lit(a - 1.0), bottom, z, series_terms(alpha, horizon))
+    series = hyp2f1_series(F.lit(a + b - 1.0 - r), F.lit(a - 1.0), bottom, z)
     grown = F.pow(age / (age + float(horizon)), F.lit(a - 1.0)) * series
     gone = F.when(
         x > 0,

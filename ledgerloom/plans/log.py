@@ -67,4 +67,5 @@ class TransactionLog:
 
     @cached_property
     def staged_split(self) -> DataFrame:
-        return churn.stratified_split(stage(self.churn_features, "churn-features"))
+        features = stage(self.churn_features, "churn-features")
+        return stage(churn.stratified_split(features), "churn-split")

@@ -546,21 +546,21 @@ FROM repeat""",
     "gg_expected_profit": _sql(
         f"SELECT customer_id, ROUND({_PROFIT}, 4) AS expected_avg_profit FROM repeat", "repeat"
     ),
-    "clv_discounted": _sql("SELECT customer_id, ROUND(clv_6m, 4) AS clv_6m FROM valued", "valued"),
+    "clv_discounted": _sql("SELECT customer_id, ROUND(clv_6m, 2) AS clv_6m FROM valued", "valued"),
     "clv_discounted_modelled_spend": _sql(
         f"""
-SELECT customer_id, ROUND({_PROFIT} * weighted, 4) AS clv_6m
+SELECT customer_id, ROUND({_PROFIT} * weighted, 2) AS clv_6m
 FROM repeat JOIN flows USING (customer_id)""",
         "repeat", "flows",
     ),
     "rfm_with_clv": _sql(
         f"""
-SELECT {_RFM}, cluster, ROUND(clv_6m, 4) AS clv_6m, ROUND(expected_purchases_6m, 4) AS expected_purchases_6m,
+SELECT {_RFM}, cluster, ROUND(clv_6m, 2) AS clv_6m, ROUND(expected_purchases_6m, 4) AS expected_purchases_6m,
        ROUND(expected_avg_profit, 4) AS expected_avg_profit FROM rfm_clv""",
         "rfm_clv",
     ),
     "top_clv": _sql(
-        f"SELECT {_RFM}, cluster, ROUND(clv_6m, 4) AS clv_6m FROM rfm_clv ORDER BY rfm_clv.clv_6m DESC NULLS LAST, customer_id LIMIT 10",
+        f"SELECT {_RFM}, cluster, ROUND(clv_6m, 2) AS clv_6m FROM rfm_clv ORDER BY rfm_clv.clv_6m DESC NULLS LAST, customer_id LIMIT 10",
         "rfm_clv",
     ),
     "clv_by_cluster": _sql(

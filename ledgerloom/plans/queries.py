@@ -363,7 +363,7 @@ def _valued(log: TransactionLog) -> DataFrame:
 
 @over_log("clv_discounted")
 def _clv(log: TransactionLog) -> DataFrame:
-    return rounded(_valued(log).select("customer_id", "clv_6m"), 4, "clv_6m")
+    return rounded(_valued(log).select("customer_id", "clv_6m"), 2, "clv_6m")
 
 
 @over_log("clv_discounted_modelled_spend")
@@ -371,7 +371,7 @@ def _clv_modelled(log: TransactionLog) -> DataFrame:
     """Purchases valued by the spend model's estimate instead of the observed mean."""
     priced = clv.expected_profit(clv.repeat_customers(log.rfmt), PINNED_SPEND)
     valued = clv.discounted_value(priced, PINNED_PURCHASES, value_col="expected_avg_profit")
-    return rounded(valued.select("customer_id", "clv_6m"), 4, "clv_6m")
+    return rounded(valued.select("customer_id", "clv_6m"), 2, "clv_6m")
 
 
 def _rfm_clv(log: TransactionLog) -> DataFrame:
@@ -381,8 +381,8 @@ def _rfm_clv(log: TransactionLog) -> DataFrame:
 
 @over_log("rfm_with_clv")
 def _rfm_with_clv(log: TransactionLog) -> DataFrame:
-    joined = rounded(_rfm_clv(log), 2, "monetary")
-    return rounded(joined, 4, "clv_6m", "expected_purchases_6m", "expected_avg_profit")
+    joined = rounded(_rfm_clv(log), 2, "monetary", "clv_6m")
+    return rounded(joined, 4, "expected_purchases_6m", "expected_avg_profit")
 
 
 @over_log("top_clv")
@@ -390,7 +390,7 @@ def _top_clv(log: TransactionLog) -> DataFrame:
     top = clv.top_by(_rfm_clv(log), "clv_6m").select(
         "customer_id", *rfm.MEASURES, "cluster", "clv_6m"
     )
-    return rounded(rounded(top, 2, "monetary"), 4, "clv_6m")
+    return rounded(top, 2, "monetary", "clv_6m")
 
 
 @over_log("clv_by_cluster")

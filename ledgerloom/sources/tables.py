@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 from ledgerloom.constants import RETURN_PREFIX
 
 
+# Declared, so that no job is spent on reading types from the files.
+LINE_COLUMNS = (
+    "l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, l_returnflag string"
+)
+ORDER_COLUMNS = "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz"
+EVENT_COLUMNS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+
+
 def order_lines(spark: SparkSession, folder: str, dirty: bool = False) -> DataFrame:
     """Order lines as a log; an order with returned lines gives a sale and a return invoice.
 
     The return flag comes straight from the base column so that filters on it reach the
     scan. ``dirty`` adds missing customers and non-positive values to exercise cleaning.
     """
-    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    lines = spark.read.schema(LINE_COLUMNS).parquet(f"{folder}/lineitem.parquet")
+    orders = spark.read.schema(ORDER_COLUMNS).parquet(f"{folder}/orders.parquet")
     is_return = F.col("l_returnflag") == "R"
     quantity = F.col("l_quantity")
     price = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
@@ -40,7 +48,7 @@ def order_lines(spark: SparkSession, folder: str, dirty: bool = False) -> DataFr
 def purchase_events(spark: SparkSession, folder: str) -> DataFrame:
     """Purchase events as a log with times of day; every event is its own invoice."""
     return (
-        spark.read.parquet(f"{folder}/events.parquet")
+        spark.read.schema(EVENT_COLUMNS).parquet(f"{folder}/events.parquet")
         .where(F.col("event_type") == "purchase")
         .select(
             F.col("event_id").cast("string").alias("invoice"),

@@ -50,7 +50,7 @@ def test_expectation_of_new_customers_with_a_short_scale(spark):
 def test_series_matches_a_closed_form(spark):
     # 2F1(1, 1; 2; z) = -ln(1 - z) / z
     one, two, z = F.lit(1.0), F.lit(2.0), F.lit(0.3)
-    got = spark.range(1).select(hyp2f1_series(one, one, two, z, 60).alias("s")).first()["s"]
+    got = spark.range(1).select(hyp2f1_series(one, one, two, z).alias("s")).first()["s"]
     assert got == pytest.approx(-math.log(0.7) / 0.3)
 
 
