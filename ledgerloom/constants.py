@@ -7,6 +7,7 @@ ANALYSIS_LAG_DAYS = 2
 CLUSTER_COUNTS = (2, 3, 4, 5, 6, 7, 8, 9, 10)
 KMEANS_RESTARTS = 10
 KMEANS_MAX_ITERATIONS = 300
+KMEANS_TOLERANCE = 0.0001
 SEED = 42
 MODEL_PENALTY = 0.001
 PURCHASE_HORIZON_DAYS = 180

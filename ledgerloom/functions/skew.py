@@ -32,7 +32,10 @@ def attach_per_key(
         return counted.where(wanted).select(F.col(key).alias(f"{prefix}key"), *renamed)
 
     hot = side("_hot_", is_hot)
-    cold = side("_cold_", ~is_hot).withColumn("_cold_salt", F.lit(0))
+    # Always 0, but not as a literal: the optimiser would take a constant out of the join key
+    # and shuffle by the bare key again.
+    unsalted = F.pmod(F.xxhash64("_cold_key"), F.lit(1)).cast("int")
+    cold = side("_cold_", ~is_hot).withColumn("_cold_salt", unsalted)
     spread = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int") + 1
     known = (
         rows.where(F.col(key).isNotNull())

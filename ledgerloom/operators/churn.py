@@ -64,27 +64,40 @@ def churn_distribution(labels: DataFrame) -> DataFrame:
     return labels.groupBy("is_churn").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
 
 
-def observation_features(sales: DataFrame, reference: Column) -> DataFrame:
+def unique_products(lines: DataFrame, reference: Column) -> DataFrame:
+    """Distinct products bought per customer up to the reference moment."""
+    early = lines.where(F.col("invoice_ts") <= reference)
+    return early.groupBy("customer_id").agg(F.count_distinct("stock_code").alias("unique_products"))
+
+
+def observation_features(
+    sales: DataFrame, reference: Column, products: DataFrame | None = None
+) -> DataFrame:
     """Per-customer features up to the reference moment, with the label, in one aggregate.
 
     Later sales only tell whether the customer came back. Unused features are pruned by the
-    optimiser when a caller selects fewer columns.
+    optimiser when a caller selects fewer columns. ``sales`` may be at invoice grain when the
+    product counts are given.
     """
     early = F.col("invoice_ts") <= reference
 
     def seen(name: str) -> Column:
         return F.when(early, F.col(name))
 
-    per_customer = sales.groupBy("customer_id").agg(
+    measures = [
         F.min(seen("invoice_ts")).alias("first_seen"),
         F.max(seen("invoice_ts")).alias("last_seen"),
         F.max("invoice_ts").alias("last_ts"),
         F.count_distinct(seen("invoice")).alias("frequency"),
         F.sum(seen("amount")).alias("monetary"),
-        F.count_distinct(seen("stock_code")).alias("unique_products"),
-    )
+    ]
+    if products is None:
+        measures.append(F.count_distinct(seen("stock_code")).alias("unique_products"))
+    per_customer = sales.groupBy("customer_id").agg(*measures).where(F.col("first_seen").isNotNull())
+    if products is not None:
+        per_customer = per_customer.join(products, "customer_id", "left")
     span = elapsed_days(F.col("first_seen"), F.col("last_seen"))
-    return per_customer.where(F.col("first_seen").isNotNull()).select(
+    return per_customer.select(
         "customer_id",
         elapsed_days(F.col("last_seen"), reference).alias("recency"),
         "frequency",
@@ -103,11 +116,13 @@ def observed_return_rate(tx: DataFrame, reference: Column) -> DataFrame:
     )
 
 
-def churn_features(sales: DataFrame, tx: DataFrame, reference: Column) -> DataFrame:
+def churn_features(
+    sales: DataFrame, tx: DataFrame, reference: Column, products: DataFrame | None = None
+) -> DataFrame:
     """Features and label of every eligible customer; both sides arrive grouped by customer."""
     rates = observed_return_rate(tx, reference)
     return (
-        observation_features(sales, reference)
+        observation_features(sales, reference, products)
         .join(rates, "customer_id", "left")
         .withColumn("return_rate", F.coalesce("return_rate", F.lit(0.0)))
         .select("customer_id", *CHURN_FEATURES, "is_churn")

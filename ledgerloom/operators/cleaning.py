@@ -103,6 +103,22 @@ def build_sales(lines: DataFrame, profile: SalesProfile) -> DataFrame:
     return line_amount(winsorize(lines, profile.caps))
 
 
+def visits(tx: DataFrame, caps: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+    """The log at invoice grain: capped amount and number of sale lines per invoice moment.
+
+    Much smaller than the log, and enough for everything that does not look at products.
+    Invoices without sale lines are kept for the return rates.
+    """
+    is_sale = ~F.col("is_return") & (F.col("quantity") > 0) & (F.col("price") > 0)
+    # The caps change quantity and price, so which lines are sales is decided on the originals.
+    sold = F.when(F.col("is_sale"), F.col("amount"))
+    return (
+        line_amount(winsorize(tx.withColumn("is_sale", is_sale), caps))
+        .groupBy("customer_id", "invoice", "invoice_ts", "is_return")
+        .agg(F.sum(sold).alias("amount"), F.count_if("is_sale").alias("sale_lines"))
+    )
+
+
 def return_rates(tx: DataFrame) -> DataFrame:
     """Share of return invoices among all invoices, per customer.
 

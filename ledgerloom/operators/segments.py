@@ -20,6 +20,7 @@ from ledgerloom.constants import (
     CLUSTER_COUNTS,
     KMEANS_MAX_ITERATIONS,
     KMEANS_RESTARTS,
+    KMEANS_TOLERANCE,
     SEED,
 )
 from ledgerloom.operators.rfm import MEASURES, SCALED
@@ -44,8 +45,13 @@ def vectors(scaled: DataFrame, columns: Sequence[str] = SCALED) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(scaled)
 
 
-def _one_fit(data: DataFrame, k: int, seed: int, max_iterations: int) -> KMeansModel:
-    return KMeans(k=k, maxIter=max_iterations, seed=seed, initMode="k-means||").fit(data)
+def _one_fit(
+    data: DataFrame, k: int, seed: int, max_iterations: int, tolerance: float
+) -> KMeansModel:
+    """The tolerance bounds the squared moves of all centers together, in units of the
+    features' variance, which is 1 after scaling; Spark's bounds the move of each center."""
+    each = math.sqrt(tolerance / k)
+    return KMeans(k=k, maxIter=max_iterations, seed=seed, tol=each, initMode="k-means||").fit(data)
 
 
 def fit_kmeans(
@@ -55,6 +61,7 @@ def fit_kmeans(
     max_iterations: int = KMEANS_MAX_ITERATIONS,
     seed: int = SEED,
     parallelism: int = 16,
+    tolerance: float = KMEANS_TOLERANCE,
 ) -> dict[int, FittedClusters]:
     """Best of ``restarts`` fits for each k, by within-cluster sum of squares.
 
@@ -69,7 +76,7 @@ def fit_kmeans(
 
         def run(job: tuple[int, int]) -> FittedClusters:
             k, job_seed = job
-            model = _one_fit(data, k, job_seed, max_iterations)
+            model = _one_fit(data, k, job_seed, max_iterations, tolerance)
             found = sorted(zip(map(tuple, model.clusterCenters()), model.summary.clusterSizes))
             return FittedClusters(
                 k,

@@ -17,11 +17,16 @@ class TransactionLog:
 
     Only ``profile`` runs jobs: a few aggregates that find the caps and the last moment.
     Properties named ``staged_...`` write a table to the shared folder, for callers that
-    read the same small result several times.
+    read the same result several times.
+
+    One derived table is cheapest straight from the log. For many of them, ``reuse=True``
+    first reduces the log to invoices, once, and derives the others from those; only the
+    product counts read the lines again.
     """
 
-    def __init__(self, raw: DataFrame):
+    def __init__(self, raw: DataFrame, reuse: bool = False):
         self.raw = raw
+        self.reuse = reuse
         self.tx = cleaning.drop_missing_customer(raw)
         self.lines = cleaning.sale_lines(raw)
 
@@ -29,14 +34,10 @@ class TransactionLog:
     def profile(self) -> cleaning.SalesProfile:
         return cleaning.profile_sales(self.lines)
 
-    @cached_property
-    def sales(self) -> DataFrame:
-        return cleaning.build_sales(self.lines, self.profile)
-
     @cached_property
     def last_ts(self) -> datetime | None:
         """Moment of the last sale; on its own it needs no cap thresholds."""
-        if "profile" in self.__dict__:
+        if self.reuse or "profile" in self.__dict__:
             return self.profile.last_ts
         return self.lines.agg(F.max("invoice_ts")).first()[0]
 
@@ -44,9 +45,26 @@ class TransactionLog:
     def reference(self) -> Column:
         return cleaning.reference_ts(self.last_ts)
 
+    @cached_property
+    def sales(self) -> DataFrame:
+        return cleaning.build_sales(self.lines, self.profile)
+
+    @cached_property
+    def staged_visits(self) -> DataFrame:
+        return stage(cleaning.visits(self.tx, self.profile.caps), "visits")
+
+    @property
+    def _invoices(self) -> DataFrame:
+        """Known customers' lines or visits, returns included."""
+        return self.staged_visits if self.reuse else self.tx
+
+    @property
+    def _purchases(self) -> DataFrame:
+        return self.staged_visits.where("sale_lines > 0") if self.reuse else self.sales
+
     @cached_property
     def rfm(self) -> DataFrame:
-        return rfm.rfm(self.sales, cleaning.analysis_ts(self.profile.last_ts))
+        return rfm.rfm(self._purchases, cleaning.analysis_ts(self.profile.last_ts))
 
     @cached_property
     def staged_rfm_scaled(self) -> DataFrame:
@@ -55,15 +73,19 @@ class TransactionLog:
 
     @cached_property
     def rfmt(self) -> DataFrame:
-        return clv.rfmt_summary(self.sales, self.profile.last_ts)
+        return clv.rfmt_summary(self._purchases, self.profile.last_ts)
 
     @cached_property
     def staged_cohort_counts(self) -> DataFrame:
-        return stage(cohorts.cohort_counts(self.lines), "cohort-counts")
+        # Amounts do not matter here, so without reuse the caps are not needed.
+        bought = self._purchases if self.reuse else self.lines
+        return stage(cohorts.cohort_counts(bought), "cohort-counts")
 
     @cached_property
     def churn_features(self) -> DataFrame:
-        return churn.churn_features(self.sales, self.tx, self.reference)
+        bought = self._purchases
+        products = churn.unique_products(self.lines, self.reference) if self.reuse else None
+        return churn.churn_features(bought, self._invoices, self.reference, products)
 
     @cached_property
     def staged_split(self) -> DataFrame:

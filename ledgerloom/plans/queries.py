@@ -18,7 +18,7 @@ from ledgerloom.plans.pins import (
     SCORED_CENTERS,
     pinned_probability,
 )
-from ledgerloom.plans.report import report_tables
+from ledgerloom.plans.report import report_tables, score_churn, value_customers
 from ledgerloom.session import shared_folder, stage
 from ledgerloom.sources import (
     order_lines,
@@ -82,7 +82,7 @@ def _accounting(log: TransactionLog) -> DataFrame:
 @query("write_outputs")
 def _write(spark: SparkSession, folder: str) -> DataFrame:
     """Write the result tables, read them back and report what was found."""
-    log = TransactionLog(order_lines(spark, folder))
+    log = TransactionLog(order_lines(spark, folder), reuse=True)
     target = output_folder(spark)
     paths = write_outputs(report_tables(log), target, {"retention": "cohort_month"})
     counted = [
@@ -401,11 +401,7 @@ def _clv_by_cluster(log: TransactionLog) -> DataFrame:
 @over_log("fitted_clv")
 def _fitted_clv(log: TransactionLog) -> DataFrame:
     """Lifetime value with both models fitted on the log itself."""
-    rfmt = stage(log.rfmt, "rfmt")
-    repeat = clv.repeat_customers(rfmt)
-    purchases, spend = clv.fit_purchases(rfmt), clv.fit_spend(repeat)
-    predicted = clv.predict_purchases(repeat, purchases)
-    return clv.discounted_value(clv.expected_profit(predicted, spend), purchases)
+    return value_customers(log)
 
 
 # --- cohort retention --------------------------------------------------------------------
@@ -666,7 +662,4 @@ def _quadrant(log: TransactionLog) -> DataFrame:
 @over_log("fitted_action_summary")
 def _fitted_actions(log: TransactionLog) -> DataFrame:
     """Segment summary of the forest's own probabilities."""
-    split, model = _trained(log)
-    scored = stage(churn.predict(model, split.where("is_test")), "scored")
-    matrix = actions.action_matrix(scored)
-    return actions.segment_summary(actions.assign_segment(matrix, actions.action_medians(matrix)))
+    return actions.segment_summary(score_churn(log).segmented)

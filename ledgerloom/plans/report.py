@@ -74,7 +74,10 @@ def full_report(
     restarts: int = KMEANS_RESTARTS,
     score: str = "test",
 ) -> Mapping[str, DataFrame]:
-    """Every result table, with all models fitted on the log."""
+    """Every result table, with all models fitted on the log.
+
+    Make the log with ``reuse=True``: its lines are then read once for nearly all tables.
+    """
     tables = report_tables(log)
     scaled = log.staged_rfm_scaled
     fits = segments.fit_kmeans(scaled, ks, restarts)

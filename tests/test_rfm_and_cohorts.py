@@ -1,3 +1,4 @@
+import re
 from datetime import date, datetime
 
 import pytest
@@ -138,6 +139,14 @@ def test_a_hot_key_gets_its_value_and_no_row_is_lost(spark):
     expected = rows.join(rows.groupBy("k").agg(F.min("v").alias("low")), "k").select("k", "v", "low")
     assert got.count() == 3000
     assert got.exceptAll(expected).isEmpty()
+    # The salt must stay in the shuffle key, or the hot rows meet in one task again.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = attach_per_key(rows, "k", {"low": F.min("v")}, hot_share=0.1)
+        plan = shuffled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"hashpartitioning\(k#\d+L?, _salt#\d+", plan)
 
 
 def test_sales_profile_dates(tx):
