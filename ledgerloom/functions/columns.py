@@ -15,8 +15,12 @@ def ntz(moment: datetime | None) -> Column:
 
 
 def elapsed_days(start: Column, end: Column) -> Column:
-    """Whole 24-hour days from ``start`` to ``end``; not the number of midnights passed."""
-    return F.timestamp_diff("DAY", start, end)
+    """Whole 24-hour days from ``start`` to ``end``; not the number of midnights passed.
+
+    Taken from the interval between them, so the session's zone and its clock changes play no
+    part.
+    """
+    return F.extract(F.lit("DAY"), end - start).cast("bigint")
 
 
 def month_of(ts: Column) -> Column:

@@ -74,22 +74,22 @@ def fit_kmeans(
         data.count()
         jobs = [(k, seed + i) for k in ks for i in range(restarts)]
 
-        def run(job: tuple[int, int]) -> FittedClusters:
+        def run(job: tuple[int, int]) -> tuple[int, float, KMeansModel]:
             k, job_seed = job
             model = _one_fit(data, k, job_seed, max_iterations, tolerance)
+            return k, float(model.summary.trainingCost), model
+
+        def describe(k: int) -> FittedClusters:
+            _, wcss, model = min((f for f in fits if f[0] == k), key=lambda f: f[1])
             found = sorted(zip(map(tuple, model.clusterCenters()), model.summary.clusterSizes))
-            return FittedClusters(
-                k,
-                float(model.summary.trainingCost),
-                tuple(tuple(float(v) for v in c) for c, _ in found),
-                tuple(int(n) for _, n in found),
-            )
+            centers = tuple(tuple(float(v) for v in c) for c, _ in found)
+            return FittedClusters(k, wcss, centers, tuple(int(n) for _, n in found))
 
         with ThreadPool(min(parallelism, len(jobs))) as pool:
             fits = pool.map(run, jobs, chunksize=1)
+            return dict(zip(ks, pool.map(describe, ks, chunksize=1)))
     finally:
         data.unpersist()
-    return {k: min((f for f in fits if f.k == k), key=lambda f: f.wcss) for k in ks}
 
 
 def center_table(like: DataFrame, fits: Mapping[int, FittedClusters]) -> DataFrame:

@@ -41,6 +41,10 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+def _staged_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/ledgerloom/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a scan of that table.
 
@@ -48,6 +52,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     loss of executors and keeps column pruning and filter pushdown.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_staged_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete this application's staged tables; tables derived from them can no longer be read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_staged_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

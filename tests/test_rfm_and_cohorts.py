@@ -16,6 +16,17 @@ def test_days_are_elapsed_not_calendar(spark):
     assert spark.range(1).select(elapsed_days(start, end).alias("d")).first()["d"] == 0
 
 
+def test_elapsed_days_ignore_clock_changes(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    start, end = ntz(datetime(2010, 3, 13, 2, 30)), ntz(datetime(2010, 3, 14, 2, 30))
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = spark.range(1).select(elapsed_days(start, end).alias("d")).first()["d"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == 1
+
+
 def test_rfm_counts_invoices_and_sums_amounts(tx):
     log = TransactionLog(
         tx(

@@ -81,3 +81,9 @@ def test_stage_writes_to_the_shared_folder(spark):
     staged = stage(spark.range(10).toDF("id"), "ids")
     assert staged.count() == 10
     assert staged.inputFiles()[0].replace("file://", "").startswith(shared_folder(spark))
+
+
+def test_outputs_in_another_format(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.0)], "k int, v double")
+    paths = write_outputs({"a": df}, str(tmp_path), fmt="orc")
+    assert spark.read.orc(paths["a"]).first()["v"] == 2.0
