@@ -27,7 +27,7 @@ from ledgerloom.operators.rfm import MEASURES, SCALED
 from ledgerloom.session import stage
 
 # Rows of one block in the pairwise silhouette; a task holds two blocks.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
 # Rows of a block whose distances are held at a time.
 CHUNK_ROWS = 128
 MOST_PAIR_TASKS = 20_000

@@ -401,7 +401,7 @@ def _clv_by_cluster(log: TransactionLog) -> DataFrame:
 @over_log("fitted_clv")
 def _fitted_clv(log: TransactionLog) -> DataFrame:
     """Lifetime value with both models fitted on the log itself."""
-    return value_customers(log)
+    return value_customers(log).customers
 
 
 # --- cohort retention --------------------------------------------------------------------

@@ -59,13 +59,24 @@ def score_churn(log: TransactionLog, score: str = "test", **forest_options) -> S
     )
 
 
-def value_customers(log: TransactionLog) -> DataFrame:
-    """Repeat customers with fitted expected purchases, expected spend and lifetime value."""
+@dataclass(frozen=True)
+class Valued:
+    """Outcome of the value side: fitted models, expected purchases of all, values of repeaters."""
+
+    purchases: clv.PurchaseModel
+    spend: clv.SpendModel
+    expected: DataFrame
+    customers: DataFrame
+
+
+def value_customers(log: TransactionLog, value_col: str = "monetary_value") -> Valued:
+    """Fit both models and value the repeat customers."""
     rfmt = stage(log.rfmt, "rfmt")
-    repeat = clv.repeat_customers(rfmt)
-    purchases, spend = clv.fit_purchases(rfmt), clv.fit_spend(repeat)
-    predicted = clv.predict_purchases(repeat, purchases)
-    return clv.discounted_value(clv.expected_profit(predicted, spend), purchases)
+    purchases, spend = clv.fit_purchases(rfmt), clv.fit_spend(clv.repeat_customers(rfmt))
+    expected = clv.predict_purchases(rfmt, purchases)
+    priced = clv.expected_profit(clv.repeat_customers(expected), spend)
+    valued = clv.discounted_value(priced, purchases, value_col=value_col)
+    return Valued(purchases, spend, expected, valued)
 
 
 def full_report(
@@ -73,16 +84,21 @@ def full_report(
     ks: tuple[int, ...] = CLUSTER_COUNTS,
     restarts: int = KMEANS_RESTARTS,
     score: str = "test",
+    value_col: str = "monetary_value",
+    silhouette_grid: float | None = None,
 ) -> Mapping[str, DataFrame]:
     """Every result table, with all models fitted on the log.
 
-    Make the log with ``reuse=True``: its lines are then read once for nearly all tables.
+    Make the log with ``reuse=True``: its lines are then read once for nearly all tables. The
+    silhouette's work grows with the square of the customers; ``silhouette_grid`` bounds it for
+    very many of them, see :func:`ledgerloom.operators.segments.silhouette`.
     """
     tables = report_tables(log)
     scaled = log.staged_rfm_scaled
     fits = segments.fit_kmeans(scaled, ks, restarts)
-    clustered, scores = segments.segment_customers(scaled, fits)
-    rfm_clv = stage(clv.rfm_with_clv(clustered, value_customers(log)), "rfm-clv")
+    clustered, scores = segments.segment_customers(scaled, fits, grid=silhouette_grid)
+    valued = value_customers(log, value_col)
+    rfm_clv = stage(clv.rfm_with_clv(clustered, valued.customers), "rfm-clv")
     churned = score_churn(log, score)
     averages = cohorts.early_vs_late_retention(tables["retention"], tables["retention_mature"])
     return {
@@ -90,7 +106,10 @@ def full_report(
         "elbow": segments.elbow_curve(scaled, fits),
         "silhouette": scores,
         "cluster_profile": segments.cluster_profile(clustered),
+        "expected_purchases": valued.expected,
+        "top_expected_purchases": clv.top_by(valued.expected, "expected_purchases_6m"),
         "rfm_clv": rfm_clv,
+        "top_clv": clv.top_by(rfm_clv, "clv_6m"),
         "clv_by_cluster": clv.clv_by_cluster(rfm_clv),
         "retention_averages": averages,
         "retention_verdict": cohorts.retention_verdict(averages),

@@ -48,7 +48,9 @@ def test_full_report_is_written(spark, folder, tmp_path):
     paths = write_outputs(tables, str(tmp_path), {"retention": "cohort_month"})
     rows = {name: spark.read.parquet(path).count() for name, path in paths.items()}
     assert rows["elbow"] == 3 and rows["silhouette"] == 2
-    assert rows["rfm"] == rows["rfm_clv"] == rows["rfm_scaled"]
+    assert rows["rfm"] == rows["rfm_clv"] == rows["rfm_scaled"] == rows["expected_purchases"]
+    assert rows["top_clv"] == rows["top_expected_purchases"] == 10
+    assert "clv_6m" in tables["rfm_clv"].columns
     assert rows["retention_verdict"] == 1 and rows["feature_importance"] == 6
 
 
