@@ -544,7 +544,7 @@ FROM repeat""",
         "repeat",
     ),
     "gg_expected_profit": _sql(
-        f"SELECT customer_id, ROUND({_PROFIT}, 4) AS expected_avg_profit FROM repeat", "repeat"
+        f"SELECT customer_id, ROUND({_PROFIT}, 2) AS expected_avg_profit FROM repeat", "repeat"
     ),
     "clv_discounted": _sql("SELECT customer_id, ROUND(clv_6m, 2) AS clv_6m FROM valued", "valued"),
     "clv_discounted_modelled_spend": _sql(
@@ -556,7 +556,7 @@ FROM repeat JOIN flows USING (customer_id)""",
     "rfm_with_clv": _sql(
         f"""
 SELECT {_RFM}, cluster, ROUND(clv_6m, 2) AS clv_6m, ROUND(expected_purchases_6m, 4) AS expected_purchases_6m,
-       ROUND(expected_avg_profit, 4) AS expected_avg_profit FROM rfm_clv""",
+       ROUND(expected_avg_profit, 2) AS expected_avg_profit FROM rfm_clv""",
         "rfm_clv",
     ),
     "top_clv": _sql(

@@ -352,7 +352,7 @@ def _gg_loglik(log: TransactionLog) -> DataFrame:
 @over_log("gg_expected_profit")
 def _gg_profit(log: TransactionLog) -> DataFrame:
     valued = clv.expected_profit(clv.repeat_customers(log.rfmt), PINNED_SPEND)
-    return rounded(valued.select("customer_id", "expected_avg_profit"), 4, "expected_avg_profit")
+    return rounded(valued.select("customer_id", "expected_avg_profit"), 2, "expected_avg_profit")
 
 
 def _valued(log: TransactionLog) -> DataFrame:
@@ -381,8 +381,8 @@ def _rfm_clv(log: TransactionLog) -> DataFrame:
 
 @over_log("rfm_with_clv")
 def _rfm_with_clv(log: TransactionLog) -> DataFrame:
-    joined = rounded(_rfm_clv(log), 2, "monetary", "clv_6m")
-    return rounded(joined, 4, "expected_purchases_6m", "expected_avg_profit")
+    joined = rounded(_rfm_clv(log), 2, "monetary", "clv_6m", "expected_avg_profit")
+    return rounded(joined, 4, "expected_purchases_6m")
 
 
 @over_log("top_clv")
