@@ -1,6 +1,17 @@
 """All queries of this subpackage: importing the operators registers them."""
 
-from ledgerloom.llm import jaccard_join  # noqa: F401
+from ledgerloom.llm import (  # noqa: F401
+    decontamination,
+    jaccard_join,
+    language_id,
+    license_scan,
+    preferences,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_viterbi,
+    suffix_dedup,
+    warc,
+)
 from ledgerloom.llm.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
