@@ -4,16 +4,17 @@ Documents are sets of word shingles; two are linked when their Jaccard similarit
 threshold. The join is exact and runs in these steps:
 
 1. Documents with equal sets form a class, found by one aggregate; only classes go on.
-2. Classes are partitioned into groups of similar sets: classes with the same three minima of
-   hashed shingles share a group, and large groups are divided, so that a group has some 256
-   sets and a million shingles at most, or one set.
-3. A matrix of tokens by groups proposes pairs of groups. Its tokens are parts of sets: for
-   sets of similar size the shingles are dealt to m parts by hash, where m is greater than
-   the number of shingles in which two linked sets can differ. So linked sets agree in at least
-   one whole part. A part is rarely shared by chance, even where sets share a passage,
-   because all that falls in it must be the same. Parity sketches of 256 bits bound the
-   difference of two sets from below, and a pair of groups goes on only if a pair of sets
-   below that bound shares a part.
+2. A matrix of tokens by sets has parts of sets as its tokens: for sets of similar size the
+   shingles are dealt to m parts by hash, where m is greater than the number of shingles in
+   which two linked sets can differ. So linked sets agree in at least one whole part. A part
+   is rarely shared by chance, even where sets share a passage, because all that falls in it
+   must be the same.
+3. Sets are partitioned into groups of similar ones: a set goes with the most frequent token
+   that it has, so most near copies of a set meet in one group. Large groups are divided; a group
+   has some thousand sets and a million shingles at most, or one set. The matrix of tokens by
+   groups proposes pairs of groups. Parity sketches of 256 bits bound the difference of two
+   sets from below, and a pair of groups goes on only if a pair of its sets, below that bound,
+   shares a token.
 4. A proposed pair of groups is one small task. It holds each group's token union, bounds the
    overlap of every set with the other group's union, and opens the group only for sets that
    can still reach the threshold: these are counted exactly by a product of incidence
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.bitmaps import bitmap, in_bitmap
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.registry import query, table
 from ledgerloom.llm.wordhash import (
@@ -46,7 +48,7 @@ from ledgerloom.llm.wordhash import (
 )
 from ledgerloom.session import stage
 
-GROUP_SETS = 256
+GROUP_SETS = 1024
 GROUP_SHINGLES = 1_000_000
 #: Bits of the map of documents whose sets are fetched; a stray bit only costs a fetched set.
 MAP_BITS = 1 << 24
@@ -82,36 +84,28 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def _signs(words: int):
-    """Per document: size of its set, digest, group key and sketch."""
+    """Per document: size of its set, digest and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for a, b, data, offsets in text_slices(batch.column(1)):
                 sets = shingle_sets(data, offsets, words)
-                minima = np.zeros((len(sets), 3), np.uint64)
-                sketches = np.zeros((len(sets), 4), np.int64)
-                for i, s in enumerate(sets):
-                    if len(s):
-                        for j, c in enumerate(constants(3, 7)):
-                            minima[i, j] = mix(s ^ c).min()
-                        sketches[i] = _sketch(s)
-                key = windows(minima.ravel(), 3, 5)[::3] if len(sets) else minima[:, 0]
+                sketches = np.array([_sketch(s) for s in sets], np.int64).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_digest(s) for s in sets], pa.binary()),
-                        pa.array(key.view(np.int64)),
                         *(pa.array(sketches[:, j]) for j in range(4)),
                     ],
-                    ["doc_id", "n", "digest", "group_key", "p0", "p1", "p2", "p3"],
+                    ["doc_id", "n", "digest", "p0", "p1", "p2", "p3"],
                 )
 
     return run
 
 
-_SIGNS = "doc_id long, n long, digest binary, group_key long, p0 long, p1 long, p2 long, p3 long"
+_SIGNS = "doc_id long, n long, digest binary, p0 long, p1 long, p2 long, p3 long"
 
 
 class SizeLevels:
@@ -191,42 +185,13 @@ def _parts(words: int, num: int, den: int):
     return run
 
 
-def _map_slots(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.view(np.uint64)) % np.uint64(MAP_BITS)).astype(np.int64)
-
-
-def _wanted_map(ids: DataFrame) -> bytes:
-    """A map of fixed size with a bit for each document of ``ids``, or-ed by Spark."""
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = _map_slots(batch.column(0).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slot >> 6), pa.array(np.left_shift(np.int64(1), slot & 63))],
-                ["place", "bits"],
-            )
-
-    rows = (
-        ids.mapInArrow(slots, "place long, bits long")
-        .groupBy("place")
-        .agg(F.bit_or("bits").alias("bits"))
-        .toPandas()
-    )
-    bits = np.zeros(MAP_BITS >> 6, np.int64)
-    bits[rows["place"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return bits.tobytes()
-
-
 def _wanted_sets(words: int, wanted):
     """The sets of documents in the map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(wanted.value, np.int64)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            slot = _map_slots(ids)
-            hit = (bits[slot >> 6] >> (slot & 63)) & 1 == 1
-            batch = batch.filter(pa.array(hit))
+            batch = batch.filter(pa.array(in_bitmap(wanted.value, ids)))
             for a, b, data, offsets in text_slices(batch.column(1)):
                 sets = shingle_sets(data, offsets, words)
                 yield pa.RecordBatch.from_arrays(
@@ -355,10 +320,31 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int
             F.min("doc_id").alias("smallest"),
             F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep_id"),
             F.count(F.lit(1)).alias("members"),
-            *(F.min(c).alias(c) for c in ("n", "group_key", "p0", "p1", "p2", "p3")),
+            *(F.min(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3")),
+        )
+        .withColumn(
+            "class_id", F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
         )
     )
-    divided = classes.groupBy("group_key").agg(
+
+    # The matrix, without the tokens that one set alone has.
+    matrix = keyed.select("text").mapInArrow(_parts(words, num, den), "token long, class_id long")
+    matrix = stage(
+        matrix.selectExpr(
+            "token", "class_id",
+            "min(class_id) OVER (PARTITION BY token) AS low",
+            "max(class_id) OVER (PARTITION BY token) AS high",
+            "count(*) OVER (PARTITION BY token) AS n",
+        ).filter("low < high").select("token", "class_id", "n"),
+        "matrix",
+    )
+    leaders = matrix.groupBy("class_id").agg(F.max(F.struct("n", "token"))["token"].alias("leader"))
+    classes = stage(
+        classes.join(leaders, "class_id", "left")
+        .withColumn("leader", F.coalesce("leader", "class_id")),
+        "classes",
+    )
+    divided = classes.groupBy("leader").agg(
         F.ceil(
             F.greatest(
                 F.count(F.lit(1)) / F.lit(GROUP_SETS), F.sum("n") / F.lit(GROUP_SHINGLES)
@@ -366,26 +352,17 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int
         ).alias("shares")
     )
     classes = stage(
-        classes.join(divided, "group_key").select(
-            "digest",
-            F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long").alias("class_id"),
-            F.xxhash64("group_key", F.pmod(F.xxhash64("digest"), "shares")).alias("group_id"),
+        classes.join(stage(divided, "divided"), "leader").select(
+            "digest", "class_id",
+            F.xxhash64("leader", F.pmod(F.xxhash64("digest"), "shares")).alias("group_id"),
             "smallest", "rep_id", "members", "n", "p0", "p1", "p2", "p3",
         ),
-        "classes",
+        "grouped",
     )
-
-    # The matrix, without the tokens that one set alone has.
-    matrix = keyed.select("text").mapInArrow(_parts(words, num, den), "token long, class_id long")
-    spread = matrix.selectExpr(
-        "token", "class_id",
-        "min(class_id) OVER (PARTITION BY token) AS low",
-        "max(class_id) OVER (PARTITION BY token) AS high",
-    ).filter("low < high").select("token", "class_id")
-    members = spread.join(classes, "class_id").groupBy("token", "group_id").agg(
+    members = matrix.select("token", "class_id").join(classes, "class_id").groupBy("token", "group_id").agg(
         F.collect_set(F.struct("n", "p0", "p1", "p2", "p3")).alias("sets")
     )
-    members = stage(members, "matrix")
+    members = stage(members, "members")
     close = (
         "exists(a.sets, x -> exists(b.sets, y -> bit_count(x.p0 ^ y.p0) + bit_count(x.p1 ^ y.p1)"
         f" + bit_count(x.p2 ^ y.p2) + bit_count(x.p3 ^ y.p3) <= (x.n + y.n) * {den - num} div {den + num}"
@@ -415,7 +392,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int
     )
     opened = classes.select("group_id", "digest", "rep_id", "members").join(sides, "group_id")
     opened = stage(opened.drop("group_id"), "opened")
-    wanted = spark.sparkContext.broadcast(_wanted_map(opened.select("rep_id")))
+    wanted = spark.sparkContext.broadcast(bitmap(opened.select("rep_id"), MAP_BITS))
     sets = keyed.mapInArrow(
         _wanted_sets(words, wanted), "rep_id long, digest binary, shingles binary"
     )
