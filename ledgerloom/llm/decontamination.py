@@ -160,6 +160,9 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): hit words and items, judged by coverage.
 
+    Returns doc_id, text_hash (Spark's xxhash64 of the text, for joins with rows whose ids
+    repeat), n_words, n_hit, items and contaminated.
+
     Words are runs of a-z, 0-9 and non-ASCII characters, A-Z lower-cased. A word is hit if it
     lies in an occurrence of 13 consecutive words of an item, or of a whole shorter item.
     ``contaminated``: some words are hit, and those are at least a twentieth of all.
@@ -191,11 +194,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("row_id"),
         F.col("text").cast("string").alias("text"),
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
     )
     scanned = stage(
         source.mapInArrow(
             _fingerprints(_TEXT_PAD, lengths, wanted),
-            f"row_id long, doc_id long, n_words long, sequence long, {_HITS}",
+            f"row_id long, doc_id long, text_hash long, n_words long, sequence long, {_HITS}",
         ),
         "scanned",
     )
@@ -223,11 +227,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return (
-        scanned.select("row_id", "doc_id", "n_words")
+        scanned.select("row_id", "doc_id", "text_hash", "n_words")
         .join(hit, "row_id", "left")
         .join(listed, "row_id", "left")
         .select(
             "doc_id",
+            "text_hash",
             "n_words",
             n_hit.alias("n_hit"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -236,6 +241,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    found = decontaminate(docs, benchmark).filter("contaminated")
+    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    found = stage(found.distinct(), "contaminated")
+    keyed = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
+    same = keyed["doc_id"].cast("long").eqNullSafe(found["__id"]) & (keyed["__text_hash"] == found["__hash"])
+    return keyed.join(found, same, "left_anti").select(*docs.columns)
+
+
 def _rows(texts: DataFrame, key: str) -> DataFrame:
     """One row per fingerprint."""
     return texts.select(

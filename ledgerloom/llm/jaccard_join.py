@@ -95,17 +95,18 @@ def _signs(words: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a),
+                        batch.column(2).slice(a, b - a),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_digest(s) for s in sets], pa.binary()),
                         *(pa.array(sketches[:, j]) for j in range(4)),
                     ],
-                    ["doc_id", "n", "digest", "p0", "p1", "p2", "p3"],
+                    ["doc_id", "text_hash", "n", "digest", "p0", "p1", "p2", "p3"],
                 )
 
     return run
 
 
-_SIGNS = "doc_id long, n long, digest binary, p0 long, p1 long, p2 long, p3 long"
+_SIGNS = "doc_id long, text_hash long, n long, digest binary, p0 long, p1 long, p2 long, p3 long"
 
 
 class SizeLevels:
@@ -298,18 +299,23 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): n_shingles, component_id and n_links.
+    """One row per row of ``docs`` (doc_id, text): text_hash, n_shingles, component_id, n_links.
 
     Linked are documents with ``den * |intersection| >= num * |union|`` of their distinct
     ``words``-word shingles; words are runs of other than ASCII white space, A-Z lower-cased; a
     text of fewer words is one shingle. ``n_links`` counts linked documents, copies included.
     ``component_id`` is the smallest doc_id that links reach, the document's own included.
+    ``text_hash`` is Spark's xxhash64 of the text, for joins with rows whose ids repeat.
 
     Null and blank texts have no shingles and no links. Rows with a null doc_id take part;
     they are never the smallest, and their component_id is null if they reach no other.
     Repeated rows are copies of each other. Other columns are ignored.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
+    source = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
+    )
     keyed = source.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text")
     spark = docs.sparkSession
     signs = stage(source.mapInArrow(_signs(words), _SIGNS), "signs")
@@ -417,10 +423,11 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int
             (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"),
         )
     )
-    return signs.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(
+    return signs.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(
         per_class, "digest", "left"
     ).select(
         "doc_id",
+        "text_hash",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -449,4 +456,25 @@ FROM s
 
 @query("op1_ngram_jaccard_join", OP1_SQL)
 def _op1(spark, folder):
-    return ngram_jaccard_join(table(spark, folder, "documents"), words=4, num=85, den=100)
+    docs = table(spark, folder, "documents")
+    return ngram_jaccard_join(docs, words=4, num=85, den=100).drop("text_hash")
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of their group, once each.
+
+    Rows without an id stay only where their group has none with an id; of rows with equal
+    doc_id and text one stays.
+    """
+    links = ngram_jaccard_join(docs, words, num, den)
+    first = links.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.coalesce("doc_id", F.lit(_NO_ID)).alias("__id"), F.col("text_hash").alias("__hash")
+    )
+    keyed = docs.withColumns(
+        {
+            "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)),
+            "__hash": F.xxhash64(F.col("text").cast("string")),
+        }
+    )
+    kept = keyed.join(first, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+    return kept.select(*docs.columns)

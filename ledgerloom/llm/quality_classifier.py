@@ -246,7 +246,9 @@ def _scored(machine):
     return run
 
 
-def score_quality(docs: DataFrame, machine: FactorisationMachine, keep: list[str]) -> DataFrame:
+def score_quality(
+    docs: DataFrame, machine: FactorisationMachine, keep: list[str], score: str = "score"
+) -> DataFrame:
     """The columns ``keep`` of every row of ``docs``, and ``score``, from ``text`` and ``n_chars``.
 
     A score of 0 to 1 is higher where label 1 is likelier. Null and empty texts are scored as
@@ -260,9 +262,7 @@ def score_quality(docs: DataFrame, machine: FactorisationMachine, keep: list[str
         F.col("n_chars").cast("double").alias("n"),
     )
     schema = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    return rows.mapInArrow(_scored(held), f"{schema}, score double").withColumnsRenamed(
-        {f"k{i}": c for i, c in enumerate(keep)}
-    )
+    return rows.mapInArrow(_scored(held), f"{schema}, score double").toDF(*keep, score)
 
 
 @query("op3_quality_classifier")
