@@ -284,8 +284,13 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         F.col("n_bytes").alias("seen_bytes"),
         F.col("digest").alias("seen_digest"),
     ).dropDuplicates(["refers"])
+    # Only revisits are joined: all other rows have the same key, none.
+    others = found.filter("kind != 'revisit'").withColumns(
+        {c: F.lit(None).cast(t) for c, t in seen.dtypes if c != "refers"}
+    )
+    revisits = found.filter("kind = 'revisit'").join(seen, "refers", "left")
     digest = F.coalesce("digest", "seen_digest")
-    return found.join(seen, "refers", "left").select(
+    return others.unionByName(revisits).select(
         "page_id",
         "url",
         F.col("kind").alias("record_type"),
