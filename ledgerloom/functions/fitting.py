@@ -26,6 +26,8 @@ class Minimum:
     value: float
     gradient_norm: float
     steps: int
+    #: The slope is within the tolerance and no parameter lies at the edge of the search.
+    converged: bool
 
 
 class _Local:
@@ -91,4 +93,7 @@ def minimise_positive(
             fresh = values(near.points)
         value, slope, curve = near.read(fresh)
     found = tuple(float(v) for v in np.exp(np.clip(x, -LOG_BOUND, LOG_BOUND)))
-    return Minimum(found, value, float(np.abs(slope).max()), steps)
+    steepest = float(np.abs(slope).max())
+    # Past the edge the function is flat for the search, which proves nothing.
+    inside = bool(np.abs(x).max() < LOG_BOUND)
+    return Minimum(found, value, steepest, steps, inside and steepest <= tolerance)

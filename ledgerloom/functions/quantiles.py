@@ -1,8 +1,7 @@
 """Exact, linearly interpolated quantiles of columns too large for one task.
 
-The built-in exact ``percentile`` merges every distinct value in one task. Here that
-only happens for a checked number of rows. Beyond it each wanted rank is closed in on
-with the built-in sketch, and exact counts decide which side of the sketch's values the
+The built-in exact ``percentile`` merges every distinct value in one task. Here, for columns of
+any size, each wanted rank is closed in on with the built-in sketch, and exact counts decide which side of the sketch's values the
 rank lies on, so the answer is exact whatever the sketch's error. A pass is one aggregate
 that moves a bounded sketch per task, and each round cuts the open interval to a few
 ten-thousandths of its rows. The first sketch rides along with the pass that counts rows,
@@ -20,6 +19,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Rows inside a bracket that one task may look up; more are bracketed again.
 GATHER_ROWS = 1 << 16
 SKETCH_ACCURACY = 10_000
 SKETCH_MARGIN = 3.0 / SKETCH_ACCURACY
@@ -87,23 +87,16 @@ def exact_quantiles(
     counted = {c: first[f"n_{c}"] for c in probabilities}
     results: dict[str, list[float | None]] = {c: [None] * len(ps) for c, ps in probabilities.items()}
 
-    small = [c for c in probabilities if 0 < counted[c] <= gather_rows]
-    if small:
-        row = df.agg(
-            *[F.percentile(c, [float(p) for p in probabilities[c]]).alias(c) for c in small]
-        ).first()
-        results.update({c: list(row[c]) for c in small})
-
-    large = [c for c in probabilities if counted[c] > gather_rows]
+    filled = [c for c in probabilities if counted[c]]
     ranks: dict[tuple[str, int], _Rank] = {}
-    for c in large:
+    for c in filled:
         for i, p in enumerate(probabilities[c]):
             place = (counted[c] - 1) * p
             for k in {math.floor(place), math.ceil(place)}:
                 bracket = tuple(first[f"s_{c}"][2 * i : 2 * i + 2])
                 ranks.setdefault((c, k), _Rank(c, k, counted[c], bracket=bracket))
     _resolve(df, list(ranks.values()), gather_rows)
-    for c in large:
+    for c in filled:
         for i, p in enumerate(probabilities[c]):
             place = (counted[c] - 1) * p
             low = ranks[c, math.floor(place)].value

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import stage
+
 # A key above this share is hot, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1e-4
 SALTS = 1 << 20
@@ -17,12 +19,14 @@ def attach_per_key(
 
     Hot keys are few by definition, so their values are broadcast. Their rows still pass the
     shuffle of the others, but salted, which spreads them evenly; they match nothing there.
-    All other keys are joined by shuffle. The aggregates are computed once for both ways.
+    All other keys are joined by shuffle. The aggregates are written to the shared folder and
+    read for both ways, so ``rows`` is read twice in all.
     """
-    counted = (
+    counted = stage(
         rows.where(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"), *[v.alias(n) for n, v in values.items()])
+        .agg(F.count(F.lit(1)).alias("_rows"), *[v.alias(n) for n, v in values.items()]),
+        "per-key",
     )
     total = counted.agg(F.sum("_rows").alias("total")).scalar()
     is_hot = F.col("_rows") > total * F.lit(hot_share)

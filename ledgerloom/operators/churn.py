@@ -24,6 +24,7 @@ from ledgerloom.constants import (
     TEST_SHARE,
 )
 from ledgerloom.functions import elapsed_days
+from ledgerloom.functions.partitions import steady_layout
 from ledgerloom.operators.cleaning import return_rates
 
 
@@ -38,6 +39,12 @@ def window_split(sales: DataFrame, reference: Column) -> tuple[DataFrame, DataFr
     return sales.where(early), sales.where(~early)
 
 
+def window_parts(sales: DataFrame, reference: Column) -> DataFrame:
+    """All dated lines with the window that each belongs to, in one pass."""
+    part = F.when(F.col("invoice_ts") <= reference, "observation").otherwise("performance")
+    return sales.where(F.col("invoice_ts").isNotNull()).withColumn("part", part)
+
+
 def eligible_customers(observation: DataFrame) -> DataFrame:
     return observation.select("customer_id").distinct()
 
@@ -61,7 +68,7 @@ def churn_labels(sales: DataFrame, reference: Column) -> DataFrame:
 
 
 def churn_distribution(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("is_churn").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
+    return labels.groupBy("is_churn").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "is_churn")
 
 
 def unique_products(lines: DataFrame, reference: Column) -> DataFrame:
@@ -70,14 +77,12 @@ def unique_products(lines: DataFrame, reference: Column) -> DataFrame:
     return early.groupBy("customer_id").agg(F.count_distinct("stock_code").alias("unique_products"))
 
 
-def observation_features(
-    sales: DataFrame, reference: Column, products: DataFrame | None = None
-) -> DataFrame:
+def observation_features(sales: DataFrame, reference: Column) -> DataFrame:
     """Per-customer features up to the reference moment, with the label, in one aggregate.
 
     Later sales only tell whether the customer came back. Unused features are pruned by the
-    optimiser when a caller selects fewer columns. ``sales`` may be at invoice grain when the
-    product counts are given.
+    optimiser when a caller selects fewer columns. ``sales`` may be at invoice grain. Products
+    are counted apart, see :func:`unique_products`.
     """
     early = F.col("invoice_ts") <= reference
 
@@ -91,11 +96,7 @@ def observation_features(
         F.count_distinct(seen("invoice")).alias("frequency"),
         F.sum(seen("amount")).alias("monetary"),
     ]
-    if products is None:
-        measures.append(F.count_distinct(seen("stock_code")).alias("unique_products"))
     per_customer = sales.groupBy("customer_id").agg(*measures).where(F.col("first_seen").isNotNull())
-    if products is not None:
-        per_customer = per_customer.join(products, "customer_id", "left")
     span = elapsed_days(F.col("first_seen"), F.col("last_seen"))
     return per_customer.select(
         "customer_id",
@@ -104,7 +105,6 @@ def observation_features(
         "monetary",
         span.alias("timespan"),
         F.try_divide(span, "frequency").alias("avg_order_gap"),
-        "unique_products",
         (F.col("last_ts") <= reference).cast("int").alias("is_churn"),
     )
 
@@ -117,12 +117,13 @@ def observed_return_rate(tx: DataFrame, reference: Column) -> DataFrame:
 
 
 def churn_features(
-    sales: DataFrame, tx: DataFrame, reference: Column, products: DataFrame | None = None
+    sales: DataFrame, tx: DataFrame, reference: Column, products: DataFrame
 ) -> DataFrame:
-    """Features and label of every eligible customer; both sides arrive grouped by customer."""
+    """Features and label of every eligible customer; all sides arrive grouped by customer."""
     rates = observed_return_rate(tx, reference)
     return (
-        observation_features(sales, reference, products)
+        observation_features(sales, reference)
+        .join(products, "customer_id", "left")
         .join(rates, "customer_id", "left")
         .withColumn("return_rate", F.coalesce("return_rate", F.lit(0.0)))
         .select("customer_id", *CHURN_FEATURES, "is_churn")
@@ -181,10 +182,11 @@ def fit_forest(
 ) -> RandomForestClassificationModel:
     """A random forest; many bins bring the split points close to exact ones.
 
-    Rows are spread over all cores, since every pass visits each row in every tree. A larger
-    ``memory_mb`` per task lets a pass grow more nodes at once.
+    Bootstrap samples are drawn per partition, so rows are laid out by their number alone: the
+    same rows grow the same forest on every cluster. A larger ``memory_mb`` per task lets a pass
+    grow more nodes at once. ``train`` is read twice and should be staged.
     """
-    spread = train.repartition(train.sparkSession.sparkContext.defaultParallelism, "customer_id")
+    spread = steady_layout(train, "customer_id")
     forest = RandomForestClassifier(
         labelCol="is_churn",
         numTrees=trees,

@@ -47,16 +47,22 @@ def drop_missing_customer(tx: DataFrame) -> DataFrame:
 
 def flag_returns(tx: DataFrame) -> DataFrame:
     """A return is an invoice whose text starts with the prefix, case-sensitively."""
-    starts = F.startswith(F.col("invoice").cast("string"), F.lit(RETURN_PREFIX))
-    return tx.withColumn("is_return", F.coalesce(starts, F.lit(False)))
+    invoice = F.col("invoice").cast("string")
+    # Two plain tests, which a filter on the flag can hand down to a Parquet scan.
+    return tx.withColumn("is_return", invoice.isNotNull() & invoice.startswith(RETURN_PREFIX))
 
 
 def drop_returns(tx: DataFrame) -> DataFrame:
     return tx.where(~F.col("is_return"))
 
 
+def positive(name: str) -> Column:
+    """NaN is greater than 0 to Spark, but no positive number."""
+    return (F.col(name) > 0) & ~F.isnan(name)
+
+
 def positive_lines(tx: DataFrame) -> DataFrame:
-    return tx.where((F.col("quantity") > 0) & (F.col("price") > 0))
+    return tx.where(positive("quantity") & positive("price"))
 
 
 def sale_lines(tx: DataFrame) -> DataFrame:
@@ -109,7 +115,7 @@ def visits(tx: DataFrame, caps: dict[str, tuple[float | None, float | None]]) ->
     Much smaller than the log, and enough for everything that does not look at products.
     Invoices without sale lines are kept for the return rates.
     """
-    is_sale = ~F.col("is_return") & (F.col("quantity") > 0) & (F.col("price") > 0)
+    is_sale = ~F.col("is_return") & positive("quantity") & positive("price")
     # The caps change quantity and price, so which lines are sales is decided on the originals.
     sold = F.when(F.col("is_sale"), F.col("amount"))
     return (
@@ -137,8 +143,11 @@ def return_rates(tx: DataFrame) -> DataFrame:
     )
 
 
-def row_accounting(tx: DataFrame, sales: DataFrame, reference: Column) -> DataFrame:
-    """Rows and columns per stage; one conditional count over each input."""
+def row_accounting(tx: DataFrame, lines: DataFrame, reference: Column) -> DataFrame:
+    """Rows and columns per stage; one conditional count over each input.
+
+    Capping keeps all rows and adds the amount, so the uncapped sale lines are counted.
+    """
     raw = tx.agg(
         F.count(F.lit(1)).alias("raw"), F.count("customer_id").alias("with_customer")
     ).select(
@@ -150,7 +159,7 @@ def row_accounting(tx: DataFrame, sales: DataFrame, reference: Column) -> DataFr
         ).alias("s")
     )
     early = F.col("invoice_ts") <= reference
-    cleaned = sales.agg(
+    cleaned = lines.agg(
         F.count(F.lit(1)).alias("sales"),
         F.count_if(early).alias("observation"),
         F.count_if(~early).alias("performance"),
@@ -165,7 +174,7 @@ def row_accounting(tx: DataFrame, sales: DataFrame, reference: Column) -> DataFr
         ).alias("s")
     )
     width = F.when(F.col("s.stage").isin("raw", "with_customer"), len(tx.columns)).otherwise(
-        len(sales.columns)
+        len(lines.columns) + 1
     )
     return raw.unionByName(cleaned).select(
         F.col("s.stage").alias("stage"), F.col("s.rows").alias("rows"), width.alias("columns")

@@ -46,6 +46,7 @@ class PurchaseModel:
     degenerate: bool = False
     loss: float | None = None
     gradient: float | None = None
+    converged: bool = True
 
 
 @dataclass(frozen=True)
@@ -58,6 +59,7 @@ class SpendModel:
     degenerate: bool = False
     loss: float | None = None
     gradient: float | None = None
+    converged: bool = True
 
 
 def rfmt_summary(sales: DataFrame, last_ts: datetime | None) -> DataFrame:
@@ -196,6 +198,7 @@ def fit_purchases(
         degenerate=min(a, b) < PARAMETER_FLOOR,
         loss=best.value,
         gradient=best.gradient_norm,
+        converged=best.converged,
     )
 
 
@@ -261,7 +264,36 @@ def fit_spend(repeat: DataFrame, penalty: float = MODEL_PENALTY) -> SpendModel:
         rows.unpersist()
     p, q, v = best.parameters
     # With q at or below 1 the model's mean spend is undefined.
-    return SpendModel(p, q, v, degenerate=q <= 1.0, loss=best.value, gradient=best.gradient_norm)
+    return SpendModel(
+        p, q, v, degenerate=q <= 1.0, loss=best.value, gradient=best.gradient_norm,
+        converged=best.converged,
+    )
+
+
+def with_fit_flags(df: DataFrame, name: str, model: PurchaseModel | SpendModel) -> DataFrame:
+    """Say in every row whether the fit that it comes from can be relied on."""
+    return df.withColumns(
+        {f"{name}_degenerate": F.lit(model.degenerate), f"{name}_converged": F.lit(model.converged)}
+    )
+
+
+def model_parameters(
+    like: DataFrame, purchases: PurchaseModel, spend: SpendModel
+) -> DataFrame:
+    """Both fits as a table: a row per parameter, with loss, steepest slope and the flags."""
+    rows = [
+        (name, parameter, float(getattr(model, parameter)), model.loss, model.gradient, model.degenerate, model.converged)
+        for name, model, parameters in (
+            ("purchases", purchases, ("r", "alpha", "a", "b")),
+            ("spend", spend, ("p", "q", "v")),
+        )
+        for parameter in parameters
+    ]
+    return like.sparkSession.createDataFrame(
+        rows,
+        "model string, parameter string, value double, loss double, gradient double,"
+        " degenerate boolean, converged boolean",
+    )
 
 
 # --- predictions -----------------------------------------------------------------------
@@ -296,7 +328,12 @@ def predict_purchases(
 
 
 def expected_profit(repeat: DataFrame, model: SpendModel) -> DataFrame:
-    """Mean spend per purchase: the customer's own mean drawn towards the population's."""
+    """Mean spend per purchase: the customer's own mean drawn towards the population's.
+
+    With ``q`` at or below 1 the model has no mean, and the column is NULL.
+    """
+    if model.q <= 1.0:
+        return repeat.withColumn("expected_avg_profit", F.lit(None).cast("double"))
     x, m = F.col("frequency"), F.col("monetary_value")
     value = F.lit(model.p) * (F.lit(model.v) + x * m) / (F.lit(model.p) * x + F.lit(model.q - 1.0))
     return repeat.withColumn("expected_avg_profit", value)

@@ -23,6 +23,7 @@ from ledgerloom.constants import (
     KMEANS_TOLERANCE,
     SEED,
 )
+from ledgerloom.functions.partitions import steady_layout
 from ledgerloom.operators.rfm import MEASURES, SCALED
 from ledgerloom.session import stage
 
@@ -30,7 +31,8 @@ from ledgerloom.session import stage
 BLOCK_ROWS = 16_384
 # Rows of a block whose distances are held at a time.
 CHUNK_ROWS = 128
-MOST_PAIR_TASKS = 20_000
+# Tasks of the pairwise silhouette per core; each pair of blocks is whole in one of them.
+PAIR_TASKS_PER_CORE = 200
 
 
 @dataclass(frozen=True)
@@ -66,10 +68,12 @@ def fit_kmeans(
     """Best of ``restarts`` fits for each k, by within-cluster sum of squares.
 
     All fits read one cached table of vectors. They are independent, so several run at a
-    time and fill the executors where one fit's small steps would leave them idle. Clusters
+    time and fill the executors where one fit's small steps would leave them idle. Starting
+    centers are drawn per partition, so the layout follows the number of rows alone. Clusters
     are numbered by ascending center, which makes labels independent of the restart.
     """
-    data = vectors(scaled).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    laid_out = steady_layout(scaled.select("customer_id", *SCALED), "customer_id")
+    data = vectors(laid_out).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         data.count()
         jobs = [(k, seed + i) for k in ks for i in range(restarts)]
@@ -264,7 +268,8 @@ def _exact_silhouette(
 
     # Few bytes but much work per group: a fixed number of partitions keeps adaptive execution
     # from merging the groups into a few tasks, and several per pair keep them apart.
-    tasks = min(3 * blocks * (blocks + 1) // 2, MOST_PAIR_TASKS)
+    most = PAIR_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    tasks = min(3 * blocks * (blocks + 1) // 2, most)
     partial = pairs.repartition(tasks, "one", "two").groupBy("one", "two").applyInPandas(
         block_pair, "id string, slots array<int>, weight bigint, sums array<double>"
     )

@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import churn, cleaning, clv, cohorts, rfm
 from ledgerloom.session import stage
+from ledgerloom.sources.transactions import TX_COLUMNS
+
+
+LOG_COLUMNS = (*TX_COLUMNS, "is_return")
 
 
 class TransactionLog:
     """Derived tables of one log; each is a lazy DataFrame over the log's files.
 
-    Only ``profile`` runs jobs: a few aggregates that find the caps and the last moment.
     Properties named ``staged_...`` write a table to the shared folder, for callers that
-    read the same result several times.
+    read the same result several times. What takes one pass reads the log itself. Caps and the
+    last moment take passes of their own, so whatever needs them reads ``staged_tx``, the lines
+    of known customers: however many passes follow, the log is read and joined once.
 
-    One derived table is cheapest straight from the log. For many of them, ``reuse=True``
-    first reduces the log to invoices, once, and derives the others from those; only the
-    product counts read the lines again.
+    For many tables, ``reuse=True`` also reduces the lines to invoices, once, and derives the
+    others from those; only the product counts read the lines again.
     """
 
     def __init__(self, raw: DataFrame, reuse: bool = False):
@@ -30,16 +34,24 @@ class TransactionLog:
         self.tx = cleaning.drop_missing_customer(raw)
         self.lines = cleaning.sale_lines(raw)
 
+    @cached_property
+    def staged_tx(self) -> DataFrame:
+        return stage(self.tx.select(*LOG_COLUMNS), "tx")
+
+    @property
+    def staged_lines(self) -> DataFrame:
+        return cleaning.sale_lines(self.staged_tx)
+
     @cached_property
     def profile(self) -> cleaning.SalesProfile:
-        return cleaning.profile_sales(self.lines)
+        return cleaning.profile_sales(self.staged_lines)
 
     @cached_property
     def last_ts(self) -> datetime | None:
         """Moment of the last sale; on its own it needs no cap thresholds."""
         if self.reuse or "profile" in self.__dict__:
             return self.profile.last_ts
-        return self.lines.agg(F.max("invoice_ts")).first()[0]
+        return self.staged_lines.agg(F.max("invoice_ts")).first()[0]
 
     @property
     def reference(self) -> Column:
@@ -47,16 +59,11 @@ class TransactionLog:
 
     @cached_property
     def sales(self) -> DataFrame:
-        return cleaning.build_sales(self.lines, self.profile)
+        return cleaning.build_sales(self.staged_lines, self.profile)
 
     @cached_property
     def staged_visits(self) -> DataFrame:
-        return stage(cleaning.visits(self.tx, self.profile.caps), "visits")
-
-    @property
-    def _invoices(self) -> DataFrame:
-        """Known customers' lines or visits, returns included."""
-        return self.staged_visits if self.reuse else self.tx
+        return stage(cleaning.visits(self.staged_tx, self.profile.caps), "visits")
 
     @property
     def _purchases(self) -> DataFrame:
@@ -83,9 +90,10 @@ class TransactionLog:
 
     @cached_property
     def churn_features(self) -> DataFrame:
-        bought = self._purchases
-        products = churn.unique_products(self.lines, self.reference) if self.reuse else None
-        return churn.churn_features(bought, self._invoices, self.reference, products)
+        """From visits, returns included; two distinct counts in one aggregate would triple the rows."""
+        bought = self.staged_visits.where("sale_lines > 0")
+        products = churn.unique_products(self.staged_lines, self.reference)
+        return churn.churn_features(bought, self.staged_visits, self.reference, products)
 
     @cached_property
     def staged_split(self) -> DataFrame:

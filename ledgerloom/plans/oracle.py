@@ -10,6 +10,7 @@ from ledgerloom.plans.pins import (
     RISK_MIDPOINT_DAYS,
     RISK_SCALE_DAYS,
     SCORED_CENTERS,
+    SILHOUETTE_GRID,
 )
 
 # Shared definitions: name -> (body, names it needs).
@@ -218,9 +219,7 @@ _define(
     " UNION ALL ".join(f"({_labels('scaled', c, f'{k} AS k, ')})" for k, c in SCORED_CENTERS.items()),
     "scaled",
 )
-_define(
-    "scores",
-    """
+_SCORES = """
 SELECT k, AVG(CASE WHEN own_n = 1 OR own IS NULL OR other IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END) AS silhouette
 FROM (
   SELECT k, customer_id, MAX(CASE WHEN own_cluster = cluster THEN n END) AS own_n,
@@ -236,10 +235,17 @@ FROM (
     JOIN labelled b ON b.customer_id = p.j AND b.k = a.k
     GROUP BY a.k, a.customer_id, a.cluster, b.cluster)
   GROUP BY k, customer_id)
-GROUP BY k""",
+GROUP BY k"""
+_define("scores", _SCORES, "scaled", "labelled")
+_define(
+    "gridded",
+    f"""
+SELECT customer_id, round_even(z_recency / {SILHOUETTE_GRID}, 0) * {SILHOUETTE_GRID} AS z_recency,
+  round_even(z_frequency / {SILHOUETTE_GRID}, 0) * {SILHOUETTE_GRID} AS z_frequency,
+  round_even(z_monetary / {SILHOUETTE_GRID}, 0) * {SILHOUETTE_GRID} AS z_monetary FROM scaled""",
     "scaled",
-    "labelled",
 )
+_define("grid_scores", _SCORES.replace("FROM scaled x, scaled y", "FROM gridded x, gridded y"), "gridded", "labelled")
 
 _B, _G = PINNED_PURCHASES, PINNED_SPEND
 
@@ -381,7 +387,6 @@ FROM scored, medians""",
 )
 
 # Months since the first purchase that occur in the checked tables.
-_PIVOT_COLUMNS = ", ".join(f"MAX(CASE WHEN cohort_index = {i} THEN n_customers END) AS m_{i}" for i in range(79))
 
 _CLASS_ROW = """
 SELECT '{name}' AS label,
@@ -401,7 +406,7 @@ _define(
 
 _CELLS = "ROUND(retention_pct, 6) AS retention_pct"
 _RFM = "customer_id, recency, frequency, ROUND(monetary, 2) AS monetary"
-_RFMT = "customer_id, frequency, recency, T, FLOOR(monetary_value * 10000.0::DOUBLE + 0.5001) / 10000.0::DOUBLE AS monetary_value"
+_RFMT = "customer_id, frequency, recency, T, ROUND(monetary_value * 65536.0::DOUBLE) / 65536.0::DOUBLE AS monetary_value"
 _TX = "invoice, stock_code, quantity, invoice_ts, price, customer_id, is_return"
 
 
@@ -502,6 +507,7 @@ FROM scaled, (SELECT AVG(z_recency) AS m1, AVG(z_frequency) AS m2, AVG(z_monetar
         "scaled",
     ),
     "silhouette": _sql("SELECT k, ROUND(silhouette, 6) AS silhouette FROM scores", "scores"),
+    "silhouette_grid": _sql("SELECT k, ROUND(silhouette, 6) AS silhouette FROM grid_scores", "grid_scores"),
     "select_k": _sql("SELECT k AS best_k FROM scores ORDER BY silhouette DESC, k LIMIT 1", "scores"),
     "assign_clusters": _sql("SELECT customer_id, cluster FROM assigned", "assigned"),
     "cluster_profile": _sql(
@@ -570,7 +576,9 @@ SELECT {_RFM}, cluster, ROUND(clv_6m, 2) AS clv_6m, ROUND(expected_purchases_6m,
     "cohort_month": _sql("SELECT customer_id, invoice, invoice_month, cohort_month FROM cohorts", "cohorts"),
     "cohort_index": _sql("SELECT customer_id, invoice, cohort_index FROM cohorts", "cohorts"),
     "cohort_counts": _sql("SELECT * FROM cells", "cells"),
-    "cohort_pivot": _sql(f"SELECT cohort_month, {_PIVOT_COLUMNS} FROM cells GROUP BY cohort_month", "cells"),
+    "cohort_pivot": _sql(
+        "SELECT * FROM (PIVOT cells ON 'm_' || cohort_index USING MAX(n_customers) GROUP BY cohort_month)", "cells"
+    ),
     "retention_pct": _sql(f"SELECT cohort_month, cohort_index, {_CELLS} FROM retained", "retained"),
     "mature_cohorts": _sql(f"SELECT cohort_month, cohort_index, {_CELLS} FROM mature", "mature"),
     "early_vs_late_retention": _sql(
@@ -606,7 +614,7 @@ SELECT DISTINCT customer_id FROM perf_clean WHERE customer_id IN (SELECT custome
     ),
     "churn_labels": _sql("SELECT customer_id, is_churn FROM labels_clean", "labels_clean"),
     "churn_distribution": _sql(
-        "SELECT is_churn, COUNT(*) AS n FROM labels_clean GROUP BY is_churn ORDER BY n DESC", "labels_clean"
+        "SELECT is_churn, COUNT(*) AS n FROM labels_clean GROUP BY is_churn ORDER BY n DESC, is_churn", "labels_clean"
     ),
     "feat_recency": _feature("recency"),
     "feat_frequency": _feature("frequency"),

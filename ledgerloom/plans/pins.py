@@ -25,6 +25,10 @@ SCORED_CENTERS = {
 }
 
 
+# Width of the cells of the rounded silhouette, in standard deviations.
+SILHOUETTE_GRID = 0.25
+
+
 def pinned_probability() -> Column:
     exponent = -(F.col("recency") - F.lit(float(RISK_MIDPOINT_DAYS))) / F.lit(float(RISK_SCALE_DAYS))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(exponent))

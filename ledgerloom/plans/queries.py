@@ -16,6 +16,7 @@ from ledgerloom.plans.pins import (
     PINNED_PURCHASES,
     PINNED_SPEND,
     SCORED_CENTERS,
+    SILHOUETTE_GRID,
     pinned_probability,
 )
 from ledgerloom.plans.report import report_tables, score_churn, value_customers
@@ -55,10 +56,9 @@ def rounded(df: DataFrame, places: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, places) for n in names})
 
 
-def rounded_mean(df: DataFrame, places: int, name: str) -> DataFrame:
-    """Means of cents often fall on a tie, give or take binary noise: those all go up."""
-    unit = 10.0**places
-    return df.withColumn(name, F.floor(F.col(name) * unit + F.lit(0.5001)) / unit)
+def on_grid(df: DataFrame, name: str) -> DataFrame:
+    """To multiples of 2^-16: a mean of decimal amounts does not fall halfway between two."""
+    return df.withColumn(name, F.round(F.col(name) * 65536.0) / 65536.0)
 
 
 # --- sources, sinks, set operations ------------------------------------------------------
@@ -76,7 +76,7 @@ def _union(spark: SparkSession, folder: str) -> DataFrame:
 
 @over_log("row_accounting", dirty=True)
 def _accounting(log: TransactionLog) -> DataFrame:
-    return cleaning.row_accounting(log.raw, log.sales, log.reference)
+    return cleaning.row_accounting(log.raw, log.staged_lines, log.reference)
 
 
 @query("write_outputs")
@@ -138,7 +138,7 @@ def _thresholds_dirty(log: TransactionLog) -> DataFrame:
 
 @over_log("winsorize")
 def _winsorize(log: TransactionLog) -> DataFrame:
-    capped = cleaning.winsorize(log.lines, log.profile.caps)
+    capped = cleaning.winsorize(log.staged_lines, log.profile.caps)
     return rounded(capped, 8, "quantity", "price")
 
 
@@ -231,6 +231,14 @@ def _silhouette(log: TransactionLog) -> DataFrame:
     return rounded(_pinned_scores(log), 6, "silhouette")
 
 
+@over_log("silhouette_grid")
+def _silhouette_grid(log: TransactionLog) -> DataFrame:
+    """On coordinates rounded to a grid, as for very many customers."""
+    labelled = segments.label_all(log.staged_rfm_scaled, SCORED_CENTERS)
+    labels = {k: f"cluster_{k}" for k in SCORED_CENTERS}
+    return rounded(segments.silhouette(labelled, labels, grid=SILHOUETTE_GRID), 6, "silhouette")
+
+
 @over_log("select_k")
 def _select_k(log: TransactionLog) -> DataFrame:
     return segments.select_k(_pinned_scores(log))
@@ -269,20 +277,21 @@ def _preview(log: TransactionLog) -> DataFrame:
 
 @over_log("rfmt_summary")
 def _rfmt(log: TransactionLog) -> DataFrame:
-    return rounded_mean(log.rfmt, 4, "monetary_value")
+    return on_grid(log.rfmt, "monetary_value")
 
 
 @query("rfmt_events")
 def _rfmt_events(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded_mean(TransactionLog(purchase_events(spark, folder)).rfmt, 4, "monetary_value")
+    return on_grid(TransactionLog(purchase_events(spark, folder)).rfmt, "monetary_value")
 
 
 def _purchase_fit(log: TransactionLog) -> DataFrame:
     model = clv.fit_purchases(stage(log.rfmt, "rfmt"))
-    row = (model.r, model.alpha, model.a, model.b, model.degenerate, model.loss, model.gradient)
+    row = (model.r, model.alpha, model.a, model.b, model.degenerate, model.converged, model.loss, model.gradient)
     return log.raw.sparkSession.createDataFrame(
         [row],
-        "r double, alpha double, a double, b double, degenerate boolean, loss double, gradient double",
+        "r double, alpha double, a double, b double, degenerate boolean, converged boolean,"
+        " loss double, gradient double",
     )
 
 
@@ -317,19 +326,20 @@ def _bgnbd_predict_events(spark: SparkSession, folder: str) -> DataFrame:
 @over_log("top_expected_purchases")
 def _top_purchases(log: TransactionLog) -> DataFrame:
     top = clv.top_by(clv.predict_purchases(log.rfmt, PINNED_PURCHASES), "expected_purchases_6m")
-    return rounded(rounded_mean(top, 4, "monetary_value"), 4, "expected_purchases_6m")
+    return rounded(on_grid(top, "monetary_value"), 4, "expected_purchases_6m")
 
 
 @over_log("repeat_customers")
 def _repeat(log: TransactionLog) -> DataFrame:
-    return rounded_mean(clv.repeat_customers(log.rfmt), 4, "monetary_value")
+    return on_grid(clv.repeat_customers(log.rfmt), "monetary_value")
 
 
 def _spend_fit(log: TransactionLog) -> DataFrame:
     model = clv.fit_spend(clv.repeat_customers(stage(log.rfmt, "rfmt")))
-    row = (model.p, model.q, model.v, model.degenerate, model.loss, model.gradient)
+    row = (model.p, model.q, model.v, model.degenerate, model.converged, model.loss, model.gradient)
     return log.raw.sparkSession.createDataFrame(
-        [row], "p double, q double, v double, degenerate boolean, loss double, gradient double"
+        [row],
+        "p double, q double, v double, degenerate boolean, converged boolean, loss double, gradient double",
     )
 
 
@@ -477,43 +487,34 @@ def _retention_preview(log: TransactionLog) -> DataFrame:
 
 @over_log("reference_date")
 def _reference(log: TransactionLog) -> DataFrame:
-    return churn.reference_date(log.lines)
+    return churn.reference_date(log.lines)  # a single pass
 
 
 @over_log("window_split")
 def _windows(log: TransactionLog) -> DataFrame:
-    halves = zip(("observation", "performance"), churn.window_split(log.sales, log.reference))
-    return union_extracts(
-        *[
-            rounded(
-                half.select(F.lit(name).alias("part"), "invoice", "stock_code", "customer_id", "amount"),
-                4,
-                "amount",
-            )
-            for name, half in halves
-        ]
-    )
+    parted = churn.window_parts(log.sales, log.reference)
+    return rounded(parted.select("part", "invoice", "stock_code", "customer_id", "amount"), 4, "amount")
 
 
 @over_log("eligible_customers")
 def _eligible(log: TransactionLog) -> DataFrame:
-    return churn.eligible_customers(churn.window_split(log.lines, log.reference)[0])
+    return churn.eligible_customers(churn.window_split(log.staged_lines, log.reference)[0])
 
 
 @over_log("active_after")
 def _active(log: TransactionLog) -> DataFrame:
-    observation, performance = churn.window_split(log.lines, log.reference)
+    observation, performance = churn.window_split(log.staged_lines, log.reference)
     return churn.active_after(performance, churn.eligible_customers(observation))
 
 
 @over_log("churn_labels")
 def _labels(log: TransactionLog) -> DataFrame:
-    return churn.churn_labels(log.lines, log.reference)
+    return churn.churn_labels(log.staged_lines, log.reference)
 
 
 @over_log("churn_distribution")
 def _distribution(log: TransactionLog) -> DataFrame:
-    return churn.churn_distribution(churn.churn_labels(log.lines, log.reference))
+    return churn.churn_distribution(churn.churn_labels(log.staged_lines, log.reference))
 
 
 def _feature(name: str, places: int | None = None) -> Callable[[TransactionLog], DataFrame]:
@@ -529,12 +530,14 @@ over_log("feat_frequency")(_feature("frequency"))
 over_log("feat_monetary")(_feature("monetary", 2))
 over_log("feat_timespan")(_feature("timespan"))
 over_log("feat_avg_order_gap")(_feature("avg_order_gap"))
-over_log("feat_unique_products")(_feature("unique_products"))
+@over_log("feat_unique_products")
+def _feat_products(log: TransactionLog) -> DataFrame:
+    return churn.unique_products(log.staged_lines, log.reference)
 
 
 @over_log("feat_return_rate")
 def _feat_return_rate(log: TransactionLog) -> DataFrame:
-    return churn.observed_return_rate(log.tx, log.reference)
+    return churn.observed_return_rate(log.staged_tx, log.reference)
 
 
 @over_log("churn_features")

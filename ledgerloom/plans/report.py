@@ -74,31 +74,37 @@ def value_customers(log: TransactionLog, value_col: str = "monetary_value") -> V
     rfmt = stage(log.rfmt, "rfmt")
     purchases, spend = clv.fit_purchases(rfmt), clv.fit_spend(clv.repeat_customers(rfmt))
     expected = clv.predict_purchases(rfmt, purchases)
-    priced = clv.expected_profit(clv.repeat_customers(expected), spend)
+    expected = clv.with_fit_flags(expected, "purchases", purchases)
+    priced = clv.with_fit_flags(
+        clv.expected_profit(clv.repeat_customers(expected), spend), "spend", spend
+    )
     valued = clv.discounted_value(priced, purchases, value_col=value_col)
     return Valued(purchases, spend, expected, valued)
 
 
 def full_report(
     log: TransactionLog,
+    silhouette_grid: float | None,
     ks: tuple[int, ...] = CLUSTER_COUNTS,
     restarts: int = KMEANS_RESTARTS,
     score: str = "test",
     value_col: str = "monetary_value",
-    silhouette_grid: float | None = None,
 ) -> Mapping[str, DataFrame]:
     """Every result table, with all models fitted on the log.
 
     Make the log with ``reuse=True``: its lines are then read once for nearly all tables. The
-    silhouette's work grows with the square of the customers; ``silhouette_grid`` bounds it for
-    very many of them, see :func:`ledgerloom.operators.segments.silhouette`.
+    exact silhouette's work grows with the square of the customers, so the caller decides:
+    ``silhouette_grid=None`` asks for it, a number gives the width of cells that bound the work,
+    see :func:`ledgerloom.operators.segments.silhouette`.
     """
     tables = report_tables(log)
     scaled = log.staged_rfm_scaled
     fits = segments.fit_kmeans(scaled, ks, restarts)
     clustered, scores = segments.segment_customers(scaled, fits, grid=silhouette_grid)
     valued = value_customers(log, value_col)
-    rfm_clv = stage(clv.rfm_with_clv(clustered, valued.customers), "rfm-clv")
+    rfm_clv = clv.rfm_with_clv(clustered, valued.customers)
+    rfm_clv = clv.with_fit_flags(rfm_clv, "purchases", valued.purchases)
+    rfm_clv = stage(clv.with_fit_flags(rfm_clv, "spend", valued.spend), "rfm-clv")
     churned = score_churn(log, score)
     averages = cohorts.early_vs_late_retention(tables["retention"], tables["retention_mature"])
     return {
@@ -106,6 +112,7 @@ def full_report(
         "elbow": segments.elbow_curve(scaled, fits),
         "silhouette": scores,
         "cluster_profile": segments.cluster_profile(clustered),
+        "model_parameters": clv.model_parameters(rfm_clv, valued.purchases, valued.spend),
         "expected_purchases": valued.expected,
         "top_expected_purchases": clv.top_by(valued.expected, "expected_purchases_6m"),
         "rfm_clv": rfm_clv,

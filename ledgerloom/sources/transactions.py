@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,12 +51,25 @@ def load_transactions(
             kind = T.DoubleType() if target == "customer_id" else types.get(target, T.StringType())
             declared.add(source, kind)
         reader = reader.schema(declared)
-    picked = [
-        F.col(f"`{source}`").cast(types[target]).alias(target)
-        for source, target in columns.items()
-        if target in types
-    ]
-    return union_extracts(*[reader.load(path).select(*picked) for path in paths])
+    wanted = {source: target for source, target in columns.items() if target in types}
+
+    def picked(extract: DataFrame) -> DataFrame:
+        fractional = {n for n, kind in extract.dtypes if kind in ("double", "float")}
+        return extract.select(
+            *[
+                (_without_nan(source) if source in fractional else F.col(f"`{source}`"))
+                .cast(types[target])
+                .alias(target)
+                for source, target in wanted.items()
+            ]
+        )
+
+    return union_extracts(*[picked(reader.load(path)) for path in paths])
+
+
+def _without_nan(name: str) -> Column:
+    """NaN stands for a missing number in exports; in the log it is NULL."""
+    return F.when(~F.isnan(F.col(f"`{name}`")), F.col(f"`{name}`"))
 
 
 def union_extracts(*extracts: DataFrame) -> DataFrame:

@@ -13,11 +13,11 @@ from check_oracle import TABLES, difference  # noqa: E402
 
 import __spark_entry__ as contract  # noqa: E402
 from ledgerloom.plans.log import TransactionLog  # noqa: E402
+from ledgerloom.plans.oracle import ORACLE_SQL  # noqa: E402
 from ledgerloom.plans.report import full_report  # noqa: E402
 from ledgerloom.sources import order_lines, write_outputs  # noqa: E402
 
-# The SQL names the pivot's columns for the months of the larger tables.
-CHECKED = sorted(set(contract.oracle_sql()) - {"cohort_pivot"})
+CHECKED = sorted(ORACLE_SQL)
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,7 @@ def test_every_sql_has_a_query():
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_agrees_with_sql(spark, folder, engine, name):
     ours = contract.queries()[name](spark, folder).toPandas()
-    assert difference(ours, engine.execute(contract.oracle_sql()[name]).df()) is None
+    assert difference(ours, engine.execute(ORACLE_SQL[name]).df()) is None
 
 
 def test_entry(spark):
@@ -44,7 +44,7 @@ def test_entry(spark):
 
 def test_full_report_is_written(spark, folder, tmp_path):
     log = TransactionLog(order_lines(spark, folder), reuse=True)
-    tables = full_report(log, ks=(2, 3), restarts=1)
+    tables = full_report(log, None, ks=(2, 3), restarts=1)
     paths = write_outputs(tables, str(tmp_path), {"retention": "cohort_month"})
     rows = {name: spark.read.parquet(path).count() for name, path in paths.items()}
     assert rows["elbow"] == 3 and rows["silhouette"] == 2
