@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bitmaps import bitmap, in_bitmap
+from ledgerloom.llm.frames import numbered
 from ledgerloom.llm.registry import query, table
 from ledgerloom.llm.wordhash import ALNUM, LOWER, find_words, mix, text_slices, windows
 from ledgerloom.session import stage
@@ -244,11 +245,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     found = decontaminate(docs, benchmark).filter("contaminated")
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    found = stage(found.distinct(), "contaminated")
-    keyed = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
-    same = keyed["doc_id"].cast("long").eqNullSafe(found["__id"]) & (keyed["__text_hash"] == found["__hash"])
-    return keyed.join(found, same, "left_anti").select(*docs.columns)
+    found = stage(found.select("doc_id", "text_hash").distinct(), "contaminated")
+    rows, names = numbered(docs)
+    same = F.col(names["doc_id"]).cast("long").eqNullSafe(F.col("doc_id")) & (
+        F.xxhash64(F.col(names["text"]).cast("string")) == F.col("text_hash")
+    )
+    return rows.join(found, same, "left_anti").toDF(*docs.columns)
 
 
 def _rows(texts: DataFrame, key: str) -> DataFrame:

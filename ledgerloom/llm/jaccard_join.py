@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.bitmaps import bitmap, in_bitmap
 from ledgerloom.llm.components import connected_components
+from ledgerloom.llm.frames import numbered
 from ledgerloom.llm.registry import query, table
 from ledgerloom.llm.wordhash import (
     LOWER,
@@ -468,13 +469,14 @@ def one_of_each_group(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     """
     links = ngram_jaccard_join(docs, words, num, den)
     first = links.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.coalesce("doc_id", F.lit(_NO_ID)).alias("__id"), F.col("text_hash").alias("__hash")
+        F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text_hash"
     )
-    keyed = docs.withColumns(
+    rows, names = numbered(docs)
+    keyed = rows.withColumns(
         {
-            "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)),
-            "__hash": F.xxhash64(F.col("text").cast("string")),
+            "id": F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(_NO_ID)),
+            "text_hash": F.xxhash64(F.col(names["text"]).cast("string")),
         }
     )
-    kept = keyed.join(first, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
-    return kept.select(*docs.columns)
+    kept = keyed.join(first, ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"])
+    return kept.select(*rows.columns).toDF(*docs.columns)

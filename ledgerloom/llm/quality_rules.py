@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.frames import numbered
 from ledgerloom.llm.registry import query, table
 from ledgerloom.session import stage
 
@@ -152,25 +153,28 @@ def quality_rules(
 
 def without_frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """The columns of ``docs``, with lines above the limit taken out of ``text``."""
-    keyed = docs.withColumn("row_id__", F.monotonically_increasing_id())
-    counted = stage(
-        text_counts(keyed.select(F.col("row_id__").alias("row_id"), "doc_id", "source", "text")),
-        "text_counts",
-    )
+    rows, names = numbered(docs)
+    text = F.col(names["text"])
+    host = F.coalesce(F.col(names["source"]).cast("string"), F.lit(""))
+    keyed = rows.withColumns({"host": host, "text_hash": F.xxhash64(text)})
+    counted = text_counts(
+        docs.select(F.xxhash64(F.col("text")).alias("row_id"), "doc_id", "source", "text")
+    ).withColumnRenamed("row_id", "text_hash")
+    counted = stage(counted, "text_counts")
     frequent = stage(frequent_lines(counted, max_documents), "frequent_lines")
     gone = (
-        counted.select("row_id", "host", F.explode("lines.line").alias("line"))
+        counted.select("text_hash", "host", F.explode("lines.line").alias("line"))
         .join(frequent, ["host", "line"], "left_semi")
-        .groupBy("row_id")
-        .agg(F.collect_set("line").alias("gone__"))
-        .withColumnRenamed("row_id", "row_id__")
+        .groupBy("host", "text_hash")
+        .agg(F.collect_set("line").alias("gone"))
     )
     kept = F.filter(
-        F.split("text", "\n"),
-        lambda x: ~F.array_contains("gone__", F.xxhash64(F.array_join(_normalised(x), " "))),
+        F.split(text, "\n"),
+        lambda x: ~F.array_contains("gone", F.xxhash64(F.array_join(_normalised(x), " "))),
     )
-    text = F.when(F.col("gone__").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return keyed.join(gone, "row_id__", "left").withColumn("text", text).select(*docs.columns)
+    left = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    done = keyed.join(gone, ["host", "text_hash"], "left").withColumn(names["text"], left)
+    return done.select(*rows.columns).toDF(*docs.columns)
 
 
 _WORDS = "[x FOR x IN string_split_regex({}, '[\\x20\\x09-\\x0D]+') IF x <> '']"
