@@ -187,43 +187,29 @@ def _parts(words: int, num: int, den: int):
     return run
 
 
-def _wanted_sets(words: int, wanted):
-    """The sets of documents in the map."""
+def _wanted_rows(wanted):
+    """Rows of documents in the map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(in_bitmap(wanted.value, ids)))
-            for a, b, data, offsets in text_slices(batch.column(1)):
-                sets = shingle_sets(data, offsets, words)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array([_digest(s) for s in sets], pa.binary()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
-                    ],
-                    ["rep_id", "digest", "shingles"],
-                )
+            yield batch.filter(pa.array(in_bitmap(wanted.value, ids)))
 
     return run
 
 
-def _compare(num: int, den: int):
+def _compare(words: int, num: int, den: int):
     """Links within one proposed pair of groups (or within one group)."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["digest", "side"]).sort_values("digest")
+        rows["shingles"] = _sets_of(rows["text"], words)
         alone = rows["group_a"].iloc[0] == rows["group_b"].iloc[0]
         left = rows if alone else rows[rows["side"] == 0]
         right = rows if alone else rows[rows["side"] == 1]
         links = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(left) and len(right):
-            links = linked_pairs(
-                [np.frombuffer(x, np.uint64) for x in left["shingles"]],
-                [np.frombuffer(x, np.uint64) for x in right["shingles"]],
-                num,
-                den,
-            )
+            links = linked_pairs(list(left["shingles"]), list(right["shingles"]), num, den)
         a, b = links
         if alone:
             a, b = a[a != b], b[a != b]  # both directions are there
@@ -245,6 +231,14 @@ def _compare(num: int, den: int):
     return run
 
 
+def _sets_of(texts: pd.Series, words: int) -> list[np.ndarray]:
+    return [
+        s
+        for _, _, data, offsets in text_slices(pa.array(texts, pa.large_string()))
+        for s in shingle_sets(data, offsets, words)
+    ]
+
+
 _LINKS = "digest binary, near binary, links long"
 
 
@@ -317,7 +311,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int
         F.col("text").cast("string").alias("text"),
         F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
     )
-    keyed = source.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text")
+    keyed = source.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
     spark = docs.sparkSession
     signs = stage(source.mapInArrow(_signs(words), _SIGNS), "signs")
     classes = (
@@ -325,7 +319,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int
         .groupBy("digest")
         .agg(
             F.min("doc_id").alias("smallest"),
-            F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep_id"),
+            F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("rep_id"), "text_hash")).alias("rep"),
             F.count(F.lit(1)).alias("members"),
             *(F.min(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3")),
         )
@@ -362,52 +356,71 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int
         classes.join(stage(divided, "divided"), "leader").select(
             "digest", "class_id",
             F.xxhash64("leader", F.pmod(F.xxhash64("digest"), "shares")).alias("group_id"),
-            "smallest", "rep_id", "members", "n", "p0", "p1", "p2", "p3",
+            "smallest", "rep.rep_id", "rep.text_hash", "members", "n", "p0", "p1", "p2", "p3",
         ),
         "grouped",
     )
-    members = matrix.select("token", "class_id").join(classes, "class_id").groupBy("token", "group_id").agg(
-        F.collect_set(F.struct("n", "p0", "p1", "p2", "p3")).alias("sets")
+    # Tokens that lie in one group alone have done their work; the others get the sketches.
+    placed = matrix.select("token", "class_id").join(classes.select("class_id", "group_id"), "class_id")
+    astride = placed.selectExpr(
+        "token", "class_id", "group_id",
+        "min(group_id) OVER (PARTITION BY token) AS low", "max(group_id) OVER (PARTITION BY token) AS high",
+    ).filter("low < high").select("token", "class_id", "group_id")
+    members = (
+        astride.join(classes.select("class_id", "n", "p0", "p1", "p2", "p3"), "class_id")
+        .groupBy("token", "group_id")
+        .agg(F.collect_set(F.struct("class_id", "n", "p0", "p1", "p2", "p3")).alias("sets"))
     )
     members = stage(members, "members")
-    close = (
-        "exists(a.sets, x -> exists(b.sets, y -> bit_count(x.p0 ^ y.p0) + bit_count(x.p1 ^ y.p1)"
-        f" + bit_count(x.p2 ^ y.p2) + bit_count(x.p3 ^ y.p3) <= (x.n + y.n) * {den - num} div {den + num}"
-        f" AND x.n * {num} <= y.n * {den} AND y.n * {num} <= x.n * {den}))"
-    )
-    pairs = (
+
+    def near(one: str, other: str) -> str:
+        """Ids of sets of ``one`` that a set of ``other`` may be linked with."""
+        differ = " + ".join(f"bit_count(x.p{j} ^ y.p{j})" for j in range(4))
+        close = (
+            f"{differ} <= (x.n + y.n) * {den - num} div {den + num}"
+            f" AND x.n * {num} <= y.n * {den} AND y.n * {num} <= x.n * {den}"
+        )
+        return f"transform(filter({one}, x -> exists({other}, y -> {close})), x -> x.class_id)"
+
+    # Pairs of groups, with the sets of either that have a token and a sketch near the other's.
+    proposed = (
         members.alias("a")
         .join(
             members.alias("b"),
-            F.expr(f"a.token = b.token AND a.group_id < b.group_id AND {close}"),
+            F.expr(f"a.token = b.token AND a.group_id < b.group_id AND size({near('a.sets', 'b.sets')}) > 0"),
+        )
+        .select(
+            F.col("a.group_id").alias("group_a"), F.col("b.group_id").alias("group_b"),
+            F.expr(near("a.sets", "b.sets")).alias("left"), F.expr(near("b.sets", "a.sets")).alias("right"),
         )
-        .select(F.col("a.group_id").alias("group_a"), F.col("b.group_id").alias("group_b"))
-        .distinct()
+        .groupBy("group_a", "group_b")
+        .agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("left", "right")))
+    )
+    sides = F.array(
+        *(F.struct(F.lit(i).alias("side"), F.col(c).alias("ids")) for i, c in enumerate(("left", "right")))
     )
-    within = (
-        classes.groupBy("group_id").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-        .select(F.col("group_id").alias("group_a"), F.col("group_id").alias("group_b"))
+    proposed = proposed.select("group_a", "group_b", F.inline(sides)).select(
+        "group_a", "group_b", "side", F.explode("ids").alias("class_id")
+    )
+    shared = classes.groupBy("group_id").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    within = classes.join(shared, "group_id").select(
+        F.col("group_id").alias("group_a"), F.col("group_id").alias("group_b"), F.lit(0).alias("side"), "class_id"
     )
-    pairs = stage(pairs.union(within), "group_pairs")
 
     # Open the proposed pairs of groups.
-    sides = pairs.select("group_a", "group_b", F.col("group_a").alias("group_id"), F.lit(0).alias("side"))
-    sides = sides.union(
-        pairs.filter("group_a != group_b").select(
-            "group_a", "group_b", F.col("group_b").alias("group_id"), F.lit(1).alias("side")
-        )
+    opened = proposed.union(within).join(
+        classes.select("class_id", "digest", "rep_id", "text_hash", "members"), "class_id"
     )
-    opened = classes.select("group_id", "digest", "rep_id", "members").join(sides, "group_id")
-    opened = stage(opened.drop("group_id"), "opened")
+    opened = stage(opened.drop("class_id"), "opened")
     wanted = spark.sparkContext.broadcast(bitmap(opened.select("rep_id"), MAP_BITS))
-    sets = keyed.mapInArrow(
-        _wanted_sets(words, wanted), "rep_id long, digest binary, shingles binary"
+    texts = keyed.select("doc_id", "text", "text_hash").mapInArrow(
+        _wanted_rows(wanted), "rep_id long, text string, text_hash long"
     )
     links = stage(
-        sets.join(opened, ["rep_id", "digest"])
-        .select("group_a", "group_b", "side", "digest", "members", "shingles")
+        texts.join(opened, ["rep_id", "text_hash"])
+        .select("group_a", "group_b", "side", "digest", "members", "text")
         .groupBy("group_a", "group_b")
-        .applyInPandas(_compare(num, den), _LINKS),
+        .applyInPandas(_compare(words, num, den), _LINKS),
         "set_links",
     )
     roots = connected_components(links.filter("digest != near"), "digest", "near")
@@ -468,15 +481,29 @@ def one_of_each_group(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     doc_id and text one stays.
     """
     links = ngram_jaccard_join(docs, words, num, den)
-    first = links.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text_hash"
+    key = [F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text_hash"]
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    told = stage(
+        links.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.bool_and(kept).alias("kept")),
+        "kept",
     )
+    # Most rows stay and come once. The others are looked up; a map of them tells which those are.
+    special = told.filter("rows > 1 OR NOT kept")
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(special.select("text_hash"), MAP_BITS))
+
+    @F.pandas_udf("boolean")
+    def looked_up(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(held.value, hashes.to_numpy(np.int64)))
+
     rows, names = numbered(docs)
-    keyed = rows.withColumns(
+    rows = rows.withColumns(
         {
             "id": F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(_NO_ID)),
             "text_hash": F.xxhash64(F.col(names["text"]).cast("string")),
         }
     )
-    kept = keyed.join(first, ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"])
-    return kept.select(*rows.columns).toDF(*docs.columns)
+    sure = rows.filter(~looked_up("text_hash"))
+    others = rows.filter(looked_up("text_hash")).join(
+        told.filter("kept").select("id", "text_hash"), ["id", "text_hash"], "left_semi"
+    )
+    return sure.unionByName(others.dropDuplicates(["id", "text_hash"])).select(*names.values()).toDF(*docs.columns)
