@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.registry import query, table
-from ledgerloom.session import shared_folder, stage
+from ledgerloom.session import stage, staged_path
 
 SEGMENT_BYTES = 32 * 1024
 CHUNK_BYTES = 8 * 1024
@@ -314,7 +314,7 @@ FROM f
 
 @query("op4_warc", OP4_SQL)
 def _op4(spark, folder):
-    path = f"{shared_folder(spark)}/ledgerloom/archives-{uuid.uuid4().hex}"
+    path = staged_path(spark, "archives")
     write_archives(table(spark, folder, "pages"), path)
     return read_archives(spark, path, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"
