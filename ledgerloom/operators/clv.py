@@ -26,13 +26,17 @@ from ledgerloom.constants import (
     PURCHASE_HORIZON_DAYS,
 )
 from ledgerloom.functions import ntz
+from ledgerloom.functions.beta_mean import beta_mean
 from ledgerloom.functions.fitting import minimise_positive
 from ledgerloom.functions.hypergeometric import hyp2f1_series
 from ledgerloom.session import stage
 
 # Below these a fitted parameter has run off to its boundary and the formulas have poles.
 PARAMETER_FLOOR = 1e-3
-POLE_GAP = 1e-6
+# Distance from the poles of the series within which it is not used.
+POLE_GAP = 1e-3
+# Beyond this the series needs more than some 240 terms.
+CALM_Z = 0.9
 
 
 @dataclass(frozen=True)
@@ -305,20 +309,34 @@ def expected_purchases(model: PurchaseModel, horizon: float) -> Column:
     The paper's formula holds 2F1(r+x, b+x; a+b+x-1; z), whose terms first grow with x. Euler's
     transformation turns it into 2F1(a+b-1-r, a-1; a+b+x-1; z) times a power of 1-z that
     cancels most of the factor before it; the remaining series settles in a few dozen terms.
+
+    Towards z = 1 (a horizon long against alpha and T) the series slows down without bound, and it
+    has poles at a = 1 and a + b + x = 1. There the same expectation is taken as what it stands
+    for: with drop-out chance p it is (1 - (age / (age + p t))^(r+x)) / p, averaged over p.
     """
-    r, alpha, b = model.r, model.alpha, model.b
-    a = model.a if abs(model.a - 1.0) > POLE_GAP else 1.0 + POLE_GAP
+    r, alpha, a, b = model.r, model.alpha, model.a, model.b
     x = F.col("frequency").cast("double")
     age = F.lit(alpha) + F.col("T")
     z = F.lit(float(horizon)) / (age + float(horizon))
-    bottom = F.lit(a + b - 1.0) + x
-    series = hyp2f1_series(F.lit(a + b - 1.0 - r), F.lit(a - 1.0), bottom, z)
-    grown = F.pow(age / (age + float(horizon)), F.lit(a - 1.0)) * series
+    shape, ratio = F.lit(r) + x, F.lit(float(horizon)) / age
+
+    def given_dropout(p: Column) -> Column:
+        return -F.expm1(-shape * F.log1p(p * ratio)) / p
+
+    alive = beta_mean(
+        F.lit(a), F.lit(b) + x, given_dropout, shape * ratio, -F.expm1(-shape * F.log1p(ratio))
+    )
+    if abs(a - 1.0) > POLE_GAP and abs(a + b - 1.0) > POLE_GAP:
+        bottom = F.lit(a + b - 1.0) + x
+        calm = F.least(z, F.lit(CALM_Z))
+        series = hyp2f1_series(F.lit(a + b - 1.0 - r), F.lit(a - 1.0), bottom, calm)
+        summed = bottom / F.lit(a - 1.0) * (1.0 - F.pow(1.0 - calm, F.lit(a - 1.0)) * series)
+        alive = F.when(z <= CALM_Z, summed).otherwise(alive)
     gone = F.when(
         x > 0,
-        F.lit(a) / (F.lit(b) + x - 1.0) * F.pow(age / (F.lit(alpha) + F.col("recency")), F.lit(r) + x),
+        F.lit(a) / (F.lit(b) + x - 1.0) * F.pow(age / (F.lit(alpha) + F.col("recency")), shape),
     ).otherwise(0.0)
-    return bottom / F.lit(a - 1.0) * (1.0 - grown) / (1.0 + gone)
+    return alive / (1.0 + gone)
 
 
 def predict_purchases(

@@ -452,14 +452,19 @@ UNION ALL SELECT 'performance', COUNT(*), 8 FROM perf_dirty""",
     ),
     "write_outputs": _sql(
         """
-SELECT 'rfm' AS table_name, COUNT(*) AS rows FROM rfm_clean
-UNION ALL SELECT 'rfm_scaled', COUNT(*) FROM rfm_clean
-UNION ALL SELECT 'rfmt', COUNT(*) FROM rfmt_clean
-UNION ALL SELECT 'cohort_counts', COUNT(*) FROM cells
-UNION ALL SELECT 'retention', COUNT(*) FROM retained
-UNION ALL SELECT 'retention_mature', COUNT(*) FROM mature
-UNION ALL SELECT 'churn_features', COUNT(*) FROM churn_clean""",
-        "rfm_clean", "rfmt_clean", "mature", "churn_clean",
+SELECT 'rfm' AS table_name, COUNT(*) AS rows, ROUND(SUM(monetary), 1) AS total FROM rfm_clean
+UNION ALL SELECT 'rfm_scaled', COUNT(*), ROUND(SUM(ABS(z_recency)), 1) FROM scaled
+UNION ALL SELECT 'rfmt', COUNT(*), CAST(SUM(T) AS DOUBLE) FROM rfmt_clean
+UNION ALL SELECT 'cohort_counts', COUNT(*), CAST(SUM(n_customers) AS DOUBLE) FROM cells
+UNION ALL SELECT 'retention', COUNT(*), ROUND(SUM(retention_pct), 1) FROM retained
+UNION ALL SELECT 'retention_mature', COUNT(*), ROUND(SUM(retention_pct), 1) FROM mature
+UNION ALL SELECT 'churn_features', COUNT(*), ROUND(SUM(monetary), 1) FROM churn_clean
+UNION ALL SELECT 'elbow', 1, ROUND(COUNT(*) * (VAR_POP(z_recency) + VAR_POP(z_frequency) + VAR_POP(z_monetary)), 1) FROM scaled
+UNION ALL SELECT 'silhouette', COUNT(*), ROUND(SUM(silhouette), 1) FROM scores
+UNION ALL SELECT 'cluster_profile', COUNT(*), ROUND(SUM(m), 1) FROM (SELECT ROUND(AVG(recency), 2) AS m FROM clustered GROUP BY cluster)
+UNION ALL SELECT 'segment_summary', COUNT(DISTINCT segment), CAST(COUNT(customer_id) AS DOUBLE) FROM segmented
+UNION ALL SELECT 'quadrant_chart', COUNT(*), ROUND(SUM(CASE WHEN monetary > 0 THEN log10(monetary) END), 1) FROM segmented""",
+        "rfm_clean", "rfmt_clean", "mature", "churn_clean", "scores", "clustered", "segmented",
     ),
     "drop_missing_customer": _sql(f"SELECT {_TX} FROM known_dirty", "known_dirty"),
     "flag_returns": _sql(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +19,7 @@ from ledgerloom.plans.pins import (
     pinned_probability,
 )
 from ledgerloom.plans.report import report_tables, score_churn, value_customers
-from ledgerloom.session import shared_folder, stage
+from ledgerloom.session import delete_path, stage, staged_path
 from ledgerloom.sources import (
     order_lines,
     purchase_events,
@@ -81,21 +80,48 @@ def _accounting(log: TransactionLog) -> DataFrame:
 
 @query("write_outputs")
 def _write(spark: SparkSession, folder: str) -> DataFrame:
-    """Write the result tables, read them back and report what was found."""
+    """Write the result tables, read them back and report rows and the sum of a measure of each.
+
+    Models are pinned. What was written is deleted afterwards.
+    """
     log = TransactionLog(order_lines(spark, folder), reuse=True)
-    target = output_folder(spark)
-    paths = write_outputs(report_tables(log), target, {"retention": "cohort_month"})
-    counted = [
-        spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(name).alias("table_name"), "rows"
-        )
+    segmented, medians = _segmented(log)
+    tables = {
+        **report_tables(log),
+        "elbow": segments.single_cluster_wcss(log.staged_rfm_scaled),
+        "silhouette": _pinned_scores(log),
+        "cluster_profile": segments.cluster_profile(_clustered(log)),
+        "segment_summary": actions.segment_summary(segmented),
+        "quadrant_chart": actions.quadrant_chart_data(segmented, medians),
+    }
+    target = staged_path(spark, "outputs")
+    paths = write_outputs(tables, target, {"retention": "cohort_month"})
+    found = [
+        spark.read.parquet(path).agg(
+            F.count(F.lit(1)).alias("rows"), F.round(F.sum(F.expr(measure)), 1).cast("double").alias("total")
+        ).select(F.lit(name).alias("table_name"), "rows", "total")
         for name, path in paths.items()
+        for measure in [WRITTEN_MEASURES[name]]
     ]
-    return union_extracts(*counted)
-
-
-def output_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/ledgerloom/outputs-{uuid.uuid4().hex}"
+    rows = union_extracts(*found).collect()  # one row per table
+    delete_path(spark, target)
+    return spark.createDataFrame(rows, "table_name string, rows bigint, total double")
+
+
+WRITTEN_MEASURES = {
+    "rfm": "monetary",
+    "rfm_scaled": "abs(z_recency)",
+    "rfmt": "T",
+    "cohort_counts": "n_customers",
+    "retention": "retention_pct",
+    "retention_mature": "retention_pct",
+    "churn_features": "monetary",
+    "elbow": "wcss",
+    "silhouette": "silhouette",
+    "cluster_profile": "recency_mean",
+    "segment_summary": "customer_count",
+    "quadrant_chart": "log_monetary",
+}
 
 
 # --- cleaning ----------------------------------------------------------------------------

@@ -45,6 +45,11 @@ def _staged_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/ledgerloom/{spark.sparkContext.applicationId}"
 
 
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder."""
+    return f"{_staged_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a scan of that table.
 
@@ -52,12 +57,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     loss of executors and keeps column pruning and filter pushdown.
     """
     spark = df.sparkSession
-    path = f"{_staged_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = staged_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_staged(spark: SparkSession) -> None:
     """Delete this application's staged tables; tables derived from them can no longer be read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_staged_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_path(spark, _staged_folder(spark))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store that Spark writes to."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)

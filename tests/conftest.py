@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from ledgerloom.session import local_session  # noqa: E402
+from ledgerloom.session import clear_staged, local_session, staged_path  # noqa: E402
 from ledgerloom.sources import TX_SCHEMA  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -17,6 +17,8 @@ def spark():
     session = local_session(cpus=4, app="tests", memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_staged(session)
+    assert not Path(staged_path(session, "none")).parent.exists(), "staged tables are left behind"
 
 
 @pytest.fixture(scope="session")

@@ -139,6 +139,13 @@ def test_forest_learns_and_scores_every_row(forest):
     assert right > 0.9
 
 
+def test_the_same_forest_whatever_the_partitions(spark, forest):
+    split, model = forest
+    other = churn.fit_forest(split.where(~F.col("is_test")).repartition(7), trees=15, depth=5)
+    one, two = (churn.predict(m, split).select("customer_id", "churn_probability") for m in (model, other))
+    assert one.exceptAll(two).isEmpty()
+
+
 def test_importances_sum_to_one(forest):
     split, model = forest
     table = churn.feature_importance(model, split).collect()

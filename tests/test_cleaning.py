@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import exact_quantiles, ntz
 from ledgerloom.operators import cleaning
 from ledgerloom.plans.log import TransactionLog
-from ledgerloom.sources import order_lines
+from ledgerloom.sources import load_transactions, order_lines
 
 
 def test_returns_are_prefixed_case_sensitively(tx):
@@ -122,6 +122,42 @@ def test_filters_and_columns_reach_the_scan(spark, folder):
     assert "l_shipdate" not in text and "o_totalprice" not in text
 
 
+def test_filters_of_a_plain_log_reach_the_scan(spark, tx, tmp_path):
+    rows = tx([("1", "a", 1, "2010-01-01 00:00", 1, 1), ("C2", "a", 1, "2010-01-01 00:00", 1, 1)])
+    rows.drop("is_return").write.parquet(str(tmp_path / "log"))
+    log = cleaning.sale_lines(cleaning.flag_returns(load_transactions(spark, [str(tmp_path / "log")])))
+    assert [r["invoice"] for r in log.collect()] == ["1"]
+    scans = log._jdf.queryExecution().sparkPlan().collectLeaves()
+    pushed = scans.apply(0).metadata().apply("PushedFilters")
+    assert "Not(StringStartsWith(invoice,C))" in pushed and "IsNotNull(customer_id)" in pushed
+
+
+def test_nan_counts_as_missing(spark, tmp_path):
+    nan = float("nan")
+    rows = [
+        ("1", "a", 1.0, "2010-01-01 00:00:00", 2.0, 7.0), ("2", "a", nan, "2010-01-01 00:00:00", 2.0, 7.0),
+        ("3", "a", 1.0, "2010-01-01 00:00:00", nan, 7.0), ("4", "a", 1.0, "2010-01-01 00:00:00", 2.0, nan),
+    ]
+    made = spark.createDataFrame(rows, ["invoice", "stock_code", "quantity", "invoice_ts", "price", "customer_id"])
+    made.write.parquet(str(tmp_path / "log"))
+    loaded = load_transactions(spark, [str(tmp_path / "log")])
+    by = {r["invoice"]: r for r in loaded.collect()}
+    assert by["2"]["quantity"] is None and by["3"]["price"] is None and by["4"]["customer_id"] is None
+    log = TransactionLog(cleaning.flag_returns(loaded))
+    assert [r["amount"] for r in log.sales.collect()] == [2.0] and log.profile.caps["price"] == (2.0, 2.0)
+    raw = made.withColumn("customer_id", F.lit(1).cast("long"))
+    assert cleaning.positive_lines(raw).count() == 2
+
+
+def test_the_log_is_read_once(spark, folder):
+    log = TransactionLog(order_lines(spark, folder))
+    for made in (log.sales, log.rfm, log.churn_features):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan and "Expand" not in plan
+    one = log.tx._jdf.queryExecution().optimizedPlan().toString()
+    assert one.count("l_orderkey") and one.count("Relation") == 2
+
+
 def test_results_do_not_depend_on_partitioning(spark, folder):
     log = order_lines(spark, folder)
     one = TransactionLog(log.coalesce(1)).rfm.withColumn("monetary", F.round("monetary", 4))

@@ -47,6 +47,42 @@ def test_expectation_of_new_customers_with_a_short_scale(spark):
     assert got == pytest.approx(expected, rel=1e-7)
 
 
+@pytest.mark.parametrize(("a", "b"), [(0.793, 2.426), (1.0, 2.0), (0.4, 0.6), (0.05, 0.3)])
+def test_expectation_for_any_scale(spark, a, b):
+    """Against the mean over the drop-out chance, on a fine grid of its logit."""
+    rows = [(0, 0.0, 0.0, 0.0), (0, 0.0, 5.0, 0.0), (5, 100.0, 101.0, 1.0), (200, 900.0, 1000.0, 1.0)]
+    df = summary(spark, rows).coalesce(1)
+    y = np.arange(-900, 200, 0.004)
+    log_p, log_q = -np.logaddexp(0, -y), -np.logaddexp(0, y)
+    p = np.exp(log_p)
+    for alpha in (1e-9, 1e-2, 30.0, 1e6):
+        model = clv.PurchaseModel(r=0.243, alpha=alpha, a=a, b=b)
+        got = [r["e"] for r in df.select(clv.expected_purchases(model, 180.0).alias("e")).collect()]
+        for (x, recency, age, _), found in zip(rows, got):
+            weight = a * log_p + (b + x) * log_q
+            weight = np.exp(weight - weight.max())
+            age += alpha
+            level = np.maximum(p, 1e-290)
+            mean = np.where(p > 1e-290, -np.expm1(-(model.r + x) * np.log1p(p * 180 / age)) / level, (model.r + x) * 180 / age)
+            gone = a / (b + x - 1) * (age / (alpha + recency)) ** (model.r + x) if x else 0.0
+            assert found == pytest.approx((weight * mean).sum() / weight.sum() / (1 + gone), rel=1e-8)
+
+
+def test_flags_of_fits_go_with_the_results(spark):
+    rows = summary(spark, [(2, 30.0, 60.0, 5.0)])
+    assert clv.expected_profit(rows, clv.SpendModel(1.0, 0.9, 1.0)).first()["expected_avg_profit"] is None
+    flagged = clv.with_fit_flags(rows, "spend", clv.SpendModel(1.0, 0.9, 1.0, degenerate=True, converged=False))
+    assert flagged.select("spend_degenerate", "spend_converged").first()[:] == (True, False)
+    table = clv.model_parameters(rows, PINNED_PURCHASES, PINNED_SPEND)
+    assert [r["parameter"] for r in table.collect()] == ["r", "alpha", "a", "b", "p", "q", "v"]
+
+
+def test_a_search_that_ends_at_its_edge_has_not_converged():
+    low = minimise_positive(lambda points: [math.log(p[0]) for p in points], (1.0,))
+    good = minimise_positive(lambda points: [(p[0] - 2) ** 2 for p in points], (1.0,))
+    assert not low.converged and good.converged and good.parameters[0] == pytest.approx(2)
+
+
 def test_series_matches_a_closed_form(spark):
     # 2F1(1, 1; 2; z) = -ln(1 - z) / z
     one, two, z = F.lit(1.0), F.lit(2.0), F.lit(0.3)

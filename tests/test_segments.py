@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import rfm, segments
+from ledgerloom.session import stage
 
 COLUMNS = list(rfm.SCALED)
 
@@ -101,6 +102,13 @@ def test_elbow_starts_with_the_total_spread(spark):
     assert [r["k"] for r in curve] == [1, 2]
 
 
+def test_the_same_centers_whatever_the_partitions(spark):
+    df = stage(scaled_points(spark, 300), "points")
+    one = segments.fit_kmeans(df.coalesce(1), ks=(4,), restarts=2)[4]
+    two = segments.fit_kmeans(df.repartition(6), ks=(4,), restarts=2)[4]
+    assert one.sizes == two.sizes and np.allclose(one.centers, two.centers, atol=1e-9)
+
+
 def test_labels_match_the_fitted_sizes(spark):
     df = scaled_points(spark, 90)
     fit = segments.fit_kmeans(df, ks=(3,), restarts=2)[3]
