@@ -28,6 +28,8 @@ class Minimum:
     steps: int
     #: The slope is within the tolerance and no parameter lies at the edge of the search.
     converged: bool
+    #: None of the points around, a small step away in each parameter or two, is lower.
+    lowest: bool
 
 
 class _Local:
@@ -71,7 +73,8 @@ def minimise_positive(
         return np.asarray(found, dtype=float)
 
     near = _Local(x, width)
-    value, slope, curve = near.read(values(near.points))
+    fresh = values(near.points)
+    value, slope, curve = near.read(fresh)
     steps = 0
     while steps < max_steps and np.abs(slope).max() > tolerance:
         steps += 1
@@ -81,11 +84,11 @@ def minimise_positive(
         near = _Local(x + step, width)
         shorter = [x + f * step for f in SHORTER_STEPS]
         found = values([*near.points, *shorter])
-        fresh = found[: len(near.points)]
-        if fresh[0] < value:
-            x = x + step
+        ahead = found[: len(near.points)]
+        if ahead[0] < value:
+            x, fresh = x + step, ahead
         else:
-            rest = np.where(np.isfinite(found[len(fresh) :]), found[len(fresh) :], np.inf)
+            rest = np.where(np.isfinite(found[len(ahead) :]), found[len(ahead) :], np.inf)
             if rest.min() >= value:
                 break
             x = shorter[int(rest.argmin())]
@@ -96,4 +99,5 @@ def minimise_positive(
     steepest = float(np.abs(slope).max())
     # Past the edge the function is flat for the search, which proves nothing.
     inside = bool(np.abs(x).max() < LOG_BOUND)
-    return Minimum(found, value, steepest, steps, inside and steepest <= tolerance)
+    lowest = bool(fresh[0] <= np.nanmin(fresh) + 1e-9 * abs(fresh[0]))
+    return Minimum(found, value, steepest, steps, inside and steepest <= tolerance, lowest)

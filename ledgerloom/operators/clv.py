@@ -51,6 +51,7 @@ class PurchaseModel:
     loss: float | None = None
     gradient: float | None = None
     converged: bool = True
+    lowest: bool = True
 
 
 @dataclass(frozen=True)
@@ -64,6 +65,7 @@ class SpendModel:
     loss: float | None = None
     gradient: float | None = None
     converged: bool = True
+    lowest: bool = True
 
 
 def rfmt_summary(sales: DataFrame, last_ts: datetime | None) -> DataFrame:
@@ -203,6 +205,7 @@ def fit_purchases(
         loss=best.value,
         gradient=best.gradient_norm,
         converged=best.converged,
+        lowest=best.lowest,
     )
 
 
@@ -270,7 +273,7 @@ def fit_spend(repeat: DataFrame, penalty: float = MODEL_PENALTY) -> SpendModel:
     # With q at or below 1 the model's mean spend is undefined.
     return SpendModel(
         p, q, v, degenerate=q <= 1.0, loss=best.value, gradient=best.gradient_norm,
-        converged=best.converged,
+        converged=best.converged, lowest=best.lowest,
     )
 
 

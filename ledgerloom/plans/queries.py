@@ -379,6 +379,24 @@ def _gg_fit_events(spark: SparkSession, folder: str) -> DataFrame:
     return _spend_fit(TransactionLog(purchase_events(spark, folder)))
 
 
+@query("fit_checks")
+def _fit_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each fit is what it says: a row per model and log."""
+    rows = []
+    for name, lines in (("orders", order_lines(spark, folder)), ("events", purchase_events(spark, folder))):
+        rfmt = stage(TransactionLog(lines).rfmt, "rfmt")
+        bought, spent = clv.fit_purchases(rfmt), clv.fit_spend(clv.repeat_customers(rfmt))
+        floored = min(bought.a, bought.b) <= clv.PARAMETER_FLOOR
+        rows += [
+            (name, "purchases", bought.converged, bought.lowest, bought.degenerate, bought.degenerate == floored),
+            (name, "spend", spent.converged, spent.lowest, spent.degenerate, spent.degenerate == (spent.q <= 1)),
+        ]
+    return spark.createDataFrame(
+        rows,
+        "log string, model string, converged boolean, lowest boolean, degenerate boolean, flag_agrees boolean",
+    )
+
+
 @over_log("gg_loglik")
 def _gg_loglik(log: TransactionLog) -> DataFrame:
     rfmt = stage(log.rfmt, "rfmt")
