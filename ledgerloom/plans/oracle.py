@@ -644,6 +644,7 @@ UNION ALL SELECT 'weighted avg', ROUND(SUM(p * s) / SUM(s), 6), ROUND(SUM(r * s)
         "SELECT customer_id, ROUND(churn_probability, 6) AS churn_probability, ROUND(monetary, 2) AS monetary FROM scored",
         "scored",
     ),
+    "rf_scored_rows": _sql("SELECT customer_id, is_churn FROM split WHERE is_test", "split"),
     "action_medians": _sql("SELECT ROUND(median_p, 6) AS median_p, ROUND(median_m, 2) AS median_m FROM medians", "medians"),
     "assign_segment": _sql("SELECT customer_id, segment FROM segmented", "segmented"),
     "segment_summary": _sql(

@@ -619,6 +619,13 @@ def _rf_predict(log: TransactionLog) -> DataFrame:
     return scored.select("customer_id", "is_churn", "prediction")
 
 
+@over_log("rf_scored_rows")
+def _rf_rows(log: TransactionLog) -> DataFrame:
+    """Customers that the forest scores, with their labels: what SQL can tell of ``rf_predict``."""
+    split, model = _trained(log)
+    return churn.predict(model, split.where("is_test")).select("customer_id", "is_churn")
+
+
 def _pinned_scored(log: TransactionLog) -> DataFrame:
     tested = log.staged_split.where("is_test")
     scored = tested.withColumn("churn_probability", pinned_probability())
