@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.registry import query, table
-from ledgerloom.llm.wordhash import LOWER, text_slices
+from ledgerloom.llm.wordhash import LOWER, SLICE_BYTES, text_slices
 
 #: The fit knows this many languages, the most frequent, and reads about this many texts of each.
 LANGUAGES = 128
@@ -32,19 +32,25 @@ UNDETERMINED = "und"
 
 
 def presences(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows of zeros and ones: hashed n-grams of the bytes of each text, A-Z lower-cased."""
+    """Rows of zeros and ones: hashed n-grams of the bytes of each text, A-Z lower-cased.
+
+    Bytes are worked on a slice at a time, so a long text needs no more memory than many short ones.
+    """
     rows = len(offsets) - 1
     there = np.zeros(rows * SLOTS, np.float32)
-    code = LOWER[data].astype(np.uint32)
-    owner = np.repeat(np.arange(rows), np.diff(offsets))
-    ends = offsets[1:][owner]
-    gram = code
-    for n in (1, 2, 3):
-        if n > 1:
-            gram = (gram[:-1] << np.uint32(8)) | code[n - 1 :]
-        fits = np.arange(len(gram)) + n <= ends[: len(gram)]
-        slot = ((gram + np.uint32(n << 28)) * np.uint32(0x9E3779B1)) >> np.uint32(20)
-        there[owner[: len(gram)][fits] * SLOTS + slot[fits]] = 1
+    for low in range(0, len(data), SLICE_BYTES):
+        starts = np.arange(low, min(len(data), low + SLICE_BYTES))
+        code = LOWER[data[low : low + SLICE_BYTES + 2]].astype(np.uint32)
+        owner = np.searchsorted(offsets, starts, "right") - 1
+        ends = offsets[1:][owner]
+        gram = code
+        for n in (1, 2, 3):
+            if n > 1:
+                gram = (gram[:-1] << np.uint32(8)) | code[n - 1 :]
+            own = gram[: len(starts)]
+            fits = starts[: len(own)] + n <= ends[: len(own)]
+            slot = ((own + np.uint32(n << 28)) * np.uint32(0x9E3779B1)) >> np.uint32(20)
+            there[owner[: len(own)][fits] * SLOTS + slot[fits]] = 1
     return there.reshape(rows, SLOTS)
 
 

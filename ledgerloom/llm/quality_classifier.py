@@ -59,6 +59,15 @@ _KINDS = {
 N_STATS = len(_KINDS) + 8
 
 
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of the values between each two bounds."""
+    sums = np.zeros(len(bounds) - 1, np.int64)
+    filled = np.flatnonzero(np.diff(bounds))
+    if len(filled):
+        sums[filled] = np.add.reduceat(values, bounds[filled], dtype=np.int64)
+    return sums
+
+
 def text_features(
     data: np.ndarray, offsets: np.ndarray, stated: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +82,7 @@ def text_features(
     stats = np.zeros((rows, N_STATS))
     per_byte = 1 / np.maximum(size, 1)
     for j, members in enumerate(_KINDS.values()):
-        ends = np.concatenate([[0], np.cumsum(members[data])])
-        stats[:, j] = (ends[offsets[1:]] - ends[offsets[:-1]]) * per_byte
+        stats[:, j] = _sums(members[data], offsets) * per_byte
     lengths = np.concatenate([[0], np.cumsum(found.ends - found.starts)])
     word_bytes = lengths[found.first[1:]] - lengths[found.first[:-1]]
     closing = np.concatenate([[0], np.cumsum(_member(_PUNCTUATION)[data[found.ends - 1]])])

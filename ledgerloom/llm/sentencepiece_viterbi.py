@@ -30,6 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stands for a mark that is in the text itself; valid texts hold no lone surrogates.
 _OWN_MARK = "\udc81"
+_CUT = re.compile("(?<! ) ")
 _WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 SLICE_BYTES = 4 << 20
 
@@ -73,11 +74,27 @@ class Vocabulary:
         return cls(scores, ids, byte_ids, low - 10, spelled)
 
 
-def marked_words(text: str) -> list[str]:
+def marked_words(text: str, front: str = MARK) -> list[str]:
     if not text:
         return []
     text = text.replace(MARK, _OWN_MARK) if MARK in text else text
-    return _WORDS.findall(MARK + text.replace(" ", MARK))
+    return _WORDS.findall(front + text.replace(" ", MARK))
+
+
+def text_pieces(text: str, size: int) -> Iterator[str]:
+    """A long text in pieces of about ``size`` letters, whose marked words are those of the whole.
+
+    It is cut before blanks that follow another letter. Pieces after the first begin with one and
+    take no mark in front.
+    """
+    low = 0
+    while len(text) - low > size:
+        found = _CUT.search(text, low + size)
+        if found is None:
+            break
+        yield text[low : found.start()]
+        low = found.start()
+    yield text[low:]
 
 
 def encode_words(words: list[str], vocabulary: Vocabulary) -> list[list[int]]:
@@ -133,8 +150,16 @@ def _letter(letter: str) -> bytes:
 
 
 def encode_texts(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, where each text's ids begin)."""
-    words = [marked_words(t) for t in texts]
+    """(ids of all texts, where each text's ids begin); a single long text goes in pieces."""
+    if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:
+        pieces = enumerate(text_pieces(texts[0], SLICE_BYTES))
+        marked = (marked_words(piece, "" if i else MARK) for i, piece in pieces)
+        flat = np.concatenate([_encode_marked([words], vocabulary)[0] for words in marked])
+        return flat, np.array([0, len(flat)])
+    return _encode_marked([marked_words(t) for t in texts], vocabulary)
+
+
+def _encode_marked(words: list[list[str]], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     distinct = sorted(set(chain.from_iterable(words)))
     pieces = encode_words(distinct, vocabulary)
     number = dict(zip(distinct, range(len(distinct)), strict=True))

@@ -41,6 +41,16 @@ def test_encoding_of_texts_is_that_of_their_words(vocabulary):
         assert flat[a:b].tolist() == [i for w in sp.marked_words(text) for i in best(w, vocabulary)[1]]
 
 
+def test_long_texts_go_in_pieces(vocabulary, monkeypatch):
+    draw = random.Random(4)
+    text = "".join(draw.choices(["the", " ", "  ", "\n", "thing", "▁", "é"], k=600)) + "x" * 200
+    whole = sp.encode_texts([text, "a"], vocabulary)
+    monkeypatch.setattr(sp, "SLICE_BYTES", 50)
+    flat, bounds = sp.encode_texts([text], vocabulary)
+    assert list(sp.text_pieces(text, 50))[1:] and flat.tolist() == whole[0][: whole[1][1]].tolist()
+    assert bounds.tolist() == [0, len(flat)]
+
+
 def test_texts_come_back(spark, docs, messy):
     made = docs(messy, extra=True)
     rows = sp.decode(sp.encode(made)).collect()
