@@ -209,7 +209,7 @@ def _compare(words: int, num: int, den: int):
         right = rows if alone else rows[rows["side"] == 1]
         links = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(left) and len(right):
-            links = linked_pairs(list(left["shingles"]), list(right["shingles"]), num, den)
+            links = linked_pairs(list(left["shingles"]), list(right["shingles"]), num, den, alone)
         a, b = links
         if alone:
             a, b = a[a != b], b[a != b]  # both directions are there
@@ -243,10 +243,17 @@ _LINKS = "digest binary, near binary, links long"
 
 
 def linked_pairs(
-    left: list[np.ndarray], right: list[np.ndarray], num: int, den: int
+    left: list[np.ndarray], right: list[np.ndarray], num: int, den: int, alone: bool = False
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of all linked pairs of sorted sets, by bound and then by exact overlap."""
-    unions = [np.unique(np.concatenate(side)) for side in (left, right)]
+    """Indices of all linked pairs of sorted sets, by bound and then by exact overlap.
+
+    ``alone``: both sides are the same sets, so a set is held against the tokens that another one
+    has too, and pairs of a set with itself mean nothing.
+    """
+    unions = [np.unique(np.concatenate(side), return_counts=True) for side in (left, right)]
+    unions = [tokens[counts > 1] if alone else tokens for tokens, counts in unions]
+    if not all(map(len, unions)):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sizes = [np.array([len(s) for s in side]) for side in (left, right)]
     kept = []
     for side, own, other in ((left, 0, 1), (right, 1, 0)):
@@ -373,14 +380,14 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int
     )
     members = stage(members, "members")
 
-    def near(one: str, other: str) -> str:
+    def near(one: str, other: str, more: str = "") -> str:
         """Ids of sets of ``one`` that a set of ``other`` may be linked with."""
         differ = " + ".join(f"bit_count(x.p{j} ^ y.p{j})" for j in range(4))
         close = (
             f"{differ} <= (x.n + y.n) * {den - num} div {den + num}"
             f" AND x.n * {num} <= y.n * {den} AND y.n * {num} <= x.n * {den}"
         )
-        return f"transform(filter({one}, x -> exists({other}, y -> {close})), x -> x.class_id)"
+        return f"transform(filter({one}, x -> exists({other}, y -> {close} {more})), x -> x.class_id)"
 
     # Pairs of groups, with the sets of either that have a token and a sketch near the other's.
     proposed = (
@@ -402,9 +409,16 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int
     proposed = proposed.select("group_a", "group_b", F.inline(sides)).select(
         "group_a", "group_b", "side", F.explode("ids").alias("class_id")
     )
-    shared = classes.groupBy("group_id").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    within = classes.join(shared, "group_id").select(
-        F.col("group_id").alias("group_a"), F.col("group_id").alias("group_b"), F.lit(0).alias("side"), "class_id"
+    # Within a group, the sets that have another one near by their sketches.
+    within = (
+        classes.groupBy("group_id")
+        .agg(F.collect_list(F.struct("class_id", "n", "p0", "p1", "p2", "p3")).alias("sets"))
+        .filter("size(sets) > 1")
+        .select("group_id", F.expr(near("sets", "sets", "AND x.class_id != y.class_id")).alias("ids"))
+        .select(
+            F.col("group_id").alias("group_a"), F.col("group_id").alias("group_b"), F.lit(0).alias("side"),
+            F.explode("ids").alias("class_id"),
+        )
     )
 
     # Open the proposed pairs of groups.
