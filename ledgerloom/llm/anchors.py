@@ -16,7 +16,7 @@ import numpy as np
 from ledgerloom.llm.wordhash import prefix_hashes, span_hashes
 
 GRAM_BYTES = 24
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 _PLACE_BITS = 28
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 
