@@ -18,6 +18,9 @@ from ledgerloom.llm import (
 )
 from ledgerloom.session import stage
 
+#: Passages of over 50 words that repeat go, however short their words are.
+PASSAGE_WORDS = 51
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted to the labelled ones, does not reject."""
@@ -32,8 +35,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur elsewhere too; emptied ones go."""
-    return suffix_dedup.without_repeats(docs)
+    """Texts without the strings of 400 bytes or 51 words that occur elsewhere too; emptied ones go."""
+    return suffix_dedup.without_repeats(docs, words=PASSAGE_WORDS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

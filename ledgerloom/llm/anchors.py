@@ -4,6 +4,8 @@ Each string of ``width`` bytes has an anchor: the place of the smallest hashed g
 leftmost of equal ones. Equal strings have their anchors at the same distance from their
 starts, wherever they are. Neighbouring strings mostly share an anchor; a run is all consecutive
 starts whose strings have the same one.
+
+Strings may also be of words: an array of word hashes takes the place of the bytes.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import numpy as np
 from ledgerloom.llm.wordhash import prefix_hashes, span_hashes
 
 GRAM_BYTES = 24
+#: Words of a gram, where strings are of words
+GRAM_WORDS = 12
 PIECE_BYTES = 1 << 20
 _PLACE_BITS = 28
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
@@ -54,18 +58,18 @@ def pieces(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[
         yield 0, low, piece, np.array([0, len(piece)], np.int64)
 
 
-def anchor_runs(data: np.ndarray, offsets: np.ndarray, width: int) -> Runs:
-    """Runs of all strings of ``width`` bytes in the texts between ``offsets``."""
+def anchor_runs(data: np.ndarray, offsets: np.ndarray, width: int, gram: int = GRAM_BYTES) -> Runs:
+    """Runs of all strings of ``width`` bytes (or word hashes) in the texts between ``offsets``."""
     n = len(data)
     if n < width:
         empty = np.zeros(0, np.int64)
         return Runs(*[empty] * 4, *[empty.astype(np.uint64)] * 2)
     assert n <= int(_PLACE), "callers pass texts in pieces"
     sums = prefix_hashes(data)
-    at = np.arange(n - GRAM_BYTES + 1)
-    grams = span_hashes(sums, at, at + GRAM_BYTES)
+    at = np.arange(n - gram + 1)
+    grams = span_hashes(sums, at, at + gram)
     keys = (grams & ~_PLACE) | at.astype(np.uint64)
-    anchor = (sliding_minimum(keys, width - GRAM_BYTES + 1) & _PLACE).astype(np.int64)
+    anchor = (sliding_minimum(keys, width - gram + 1) & _PLACE).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
     start = np.arange(len(anchor))
     fits = start + width <= offsets[1:][text]
