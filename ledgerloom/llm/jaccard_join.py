@@ -313,6 +313,14 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int
     they are never the smallest, and their component_id is null if they reach no other.
     Repeated rows are copies of each other. Other columns are ignored.
     """
+    return _joined(docs, words, num, den).drop("first")
+
+
+def _joined(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``ngram_jaccard_join``, and whether a row is the ``first`` of its component.
+
+    That is the one with the smallest (doc_id, text_hash), null ids last; equal rows are alike.
+    """
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
@@ -325,7 +333,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int
         signs.filter("n > 0")
         .groupBy("digest")
         .agg(
-            F.min("doc_id").alias("smallest"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("smallest"),
             F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("rep_id"), "text_hash")).alias("rep"),
             F.count(F.lit(1)).alias("members"),
             *(F.min(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3")),
@@ -451,14 +459,16 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int
             (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"),
         )
     )
+    first = F.col("doc_id").eqNullSafe(F.col("lowest.doc_id")) & (F.col("text_hash") == F.col("lowest.text_hash"))
     return signs.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(
         per_class, "digest", "left"
     ).select(
         "doc_id",
         "text_hash",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("lowest.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("n") > 0, first).otherwise(F.lit(True)).alias("first"),
     )
 
 
@@ -489,16 +499,16 @@ def _op1(spark, folder):
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their group, once each.
+    """One row of each group of ``docs``: that with the smallest doc_id.
 
-    Rows without an id stay only where their group has none with an id; of rows with equal
-    doc_id and text one stays.
+    Rows without an id stay only where their group has none with an id. Of rows of a group with
+    equal ids, or all without one, that with the smallest hash of its text stays. Rows without
+    words are groups of their own; equal ones of those stay once.
     """
-    links = ngram_jaccard_join(docs, words, num, den)
+    links = _joined(docs, words, num, den)
     key = [F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text_hash"]
-    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     told = stage(
-        links.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.bool_and(kept).alias("kept")),
+        links.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.bool_and("first").alias("kept")),
         "kept",
     )
     # Most rows stay and come once. The others are looked up; a map of them tells which those are.
