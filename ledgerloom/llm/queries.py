@@ -6,10 +6,12 @@ from ledgerloom.llm import (  # noqa: F401
     language_id,
     license_scan,
     preferences,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     sentencepiece_viterbi,
     suffix_dedup,
+    vector_codes,
     warc,
 )
 from ledgerloom.llm.registry import ORACLE_SQL, QUERIES
