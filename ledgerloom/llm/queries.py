@@ -4,6 +4,7 @@ from ledgerloom.llm import (  # noqa: F401
     decontamination,
     jaccard_join,
     language_id,
+    lattice_join,
     license_scan,
     preferences,
     prefix_trie,
