@@ -9,7 +9,6 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +23,7 @@ from ledgerloom.constants import (
     TEST_SHARE,
 )
 from ledgerloom.functions import elapsed_days
+from ledgerloom.functions.forest import Forest, churn_chances, forest_of, importances
 from ledgerloom.functions.partitions import steady_layout
 from ledgerloom.operators.cleaning import return_rates
 
@@ -171,7 +171,7 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
-def fit_forest(
+def fit_model(
     train: DataFrame,
     features: Sequence[str] = CHURN_FEATURES,
     trees: int = FOREST_TREES,
@@ -200,24 +200,23 @@ def fit_forest(
     return forest.fit(_assembled(spread, features))
 
 
-def predict(
-    model: RandomForestClassificationModel, rows: DataFrame, features: Sequence[str] = CHURN_FEATURES
-) -> DataFrame:
-    """Hard label and probability of churn for each row."""
-    scored = model.transform(_assembled(rows, features))
+def fit_forest(train: DataFrame, features: Sequence[str] = CHURN_FEATURES, **options) -> Forest:
+    """The forest of :func:`fit_model` as a table of nodes."""
+    return forest_of(fit_model(train, features, **options), train.sparkSession)
+
+
+def predict(forest: Forest, rows: DataFrame, features: Sequence[str] = CHURN_FEATURES) -> DataFrame:
+    """Hard label and probability of churn for each customer."""
+    scored = churn_chances(forest, rows, features)
     return scored.select(
         *rows.columns,
-        F.col("prediction").cast("int").alias("prediction"),
-        vector_to_array("probability")[1].alias("churn_probability"),
+        (F.col("churn_probability") > 0.5).cast("int").alias("prediction"),
+        "churn_probability",
     )
 
 
-def feature_importance(
-    model: RandomForestClassificationModel, like: DataFrame, features: Sequence[str] = CHURN_FEATURES
-) -> DataFrame:
-    rows = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
-    table = like.sparkSession.createDataFrame(rows, "feature string, importance double")
-    return table.orderBy(F.desc("importance"), "feature")
+def feature_importance(forest: Forest, features: Sequence[str] = CHURN_FEATURES) -> DataFrame:
+    return importances(forest, features)
 
 
 def classification_report(

@@ -5,11 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -23,10 +21,13 @@ from ledgerloom.constants import (
     KMEANS_TOLERANCE,
     SEED,
 )
+from ledgerloom.functions import lloyd
 from ledgerloom.functions.partitions import steady_layout
 from ledgerloom.operators.rfm import MEASURES, SCALED
 from ledgerloom.session import stage
 
+# Rows of a task of an iteration of K-Means.
+ROWS_PER_TASK = 100_000
 # Rows of one block in the pairwise silhouette; a task holds two blocks.
 BLOCK_ROWS = 16_384
 # Rows of a block whose distances are held at a time.
@@ -47,53 +48,57 @@ def vectors(scaled: DataFrame, columns: Sequence[str] = SCALED) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(scaled)
 
 
-def _one_fit(
-    data: DataFrame, k: int, seed: int, max_iterations: int, tolerance: float
-) -> KMeansModel:
-    """The tolerance bounds the squared moves of all centers together, in units of the
-    features' variance, which is 1 after scaling; Spark's bounds the move of each center."""
-    each = math.sqrt(tolerance / k)
-    return KMeans(k=k, maxIter=max_iterations, seed=seed, tol=each, initMode="k-means||").fit(data)
-
-
 def fit_kmeans(
     scaled: DataFrame,
     ks: Sequence[int] = CLUSTER_COUNTS,
     restarts: int = KMEANS_RESTARTS,
     max_iterations: int = KMEANS_MAX_ITERATIONS,
     seed: int = SEED,
-    parallelism: int = 16,
     tolerance: float = KMEANS_TOLERANCE,
 ) -> dict[int, FittedClusters]:
     """Best of ``restarts`` fits for each k, by within-cluster sum of squares.
 
-    All fits read one cached table of vectors. They are independent, so several run at a
-    time and fill the executors where one fit's small steps would leave them idle. Starting
-    centers are drawn per partition, so the layout follows the number of rows alone. Clusters
-    are numbered by ascending center, which makes labels independent of the restart.
+    All fits advance together: each iteration is one scan of one cached table, however many there
+    are. Starting centers are drawn from a sample of at most ``lloyd.START_ROWS`` customers, the
+    iterations take all of them. ``tolerance`` bounds the squared moves of all centers of a fit
+    together, in units of the features' variance, which is 1 after scaling. Clusters are numbered
+    by ascending center, and the result does not depend on the layout of the rows. An empty table
+    or fewer customers than clusters leave clusters without members.
     """
-    laid_out = steady_layout(scaled.select("customer_id", *SCALED), "customer_id")
-    data = vectors(laid_out).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = steady_layout(stage(scaled.select("customer_id", *SCALED), "scaled"), "customer_id", ROWS_PER_TASK)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        data.count()
-        jobs = [(k, seed + i) for k in ks for i in range(restarts)]
-
-        def run(job: tuple[int, int]) -> tuple[int, float, KMeansModel]:
-            k, job_seed = job
-            model = _one_fit(data, k, job_seed, max_iterations, tolerance)
-            return k, float(model.summary.trainingCost), model
-
-        def describe(k: int) -> FittedClusters:
-            _, wcss, model = min((f for f in fits if f[0] == k), key=lambda f: f[1])
-            found = sorted(zip(map(tuple, model.clusterCenters()), model.summary.clusterSizes))
-            centers = tuple(tuple(float(v) for v in c) for c, _ in found)
-            return FittedClusters(k, wcss, centers, tuple(int(n) for _, n in found))
-
-        with ThreadPool(min(parallelism, len(jobs))) as pool:
-            fits = pool.map(run, jobs, chunksize=1)
-            return dict(zip(ks, pool.map(describe, ks, chunksize=1)))
+        points = lloyd.start_points(rows, "customer_id", SCALED, seed)
+        points = points if len(points) else np.zeros((1, len(SCALED)))
+        jobs = [(k, i) for k in ks for i in range(restarts)]
+        starts = [lloyd.spread_centers(points, k, np.random.default_rng([seed, k, i])) for k, i in jobs]
+        fits = lloyd.fit_all(rows, SCALED, starts, max_iterations, tolerance)
     finally:
-        data.unpersist()
+        rows.unpersist()
+
+    def best(k: int) -> FittedClusters:
+        centers, told = min((f for (own, _), f in zip(jobs, fits) if own == k), key=lambda f: f[1].cost)
+        found = sorted(zip(map(tuple, centers.tolist()), told.counts.tolist()))
+        return FittedClusters(k, told.cost, tuple(c for c, _ in found), tuple(n for _, n in found))
+
+    return {k: best(k) for k in ks}
+
+
+def cluster_costs(scaled: DataFrame, centers: Mapping[int, Sequence[Sequence[float]]]) -> DataFrame:
+    """(k, cluster, n, wcss, next_<measure>): what one iteration makes of the given centers of each k.
+
+    ``wcss`` is the cluster's part of the cost at the centers, ``next_`` the center it moves to (its
+    own place if it has no customers).
+    """
+    found = lloyd.scan(scaled, SCALED, {k: np.asarray(c) for k, c in centers.items()})
+    lines = [
+        (k, c, int(told.counts[c]), float(told.costs[c]), *map(float, moved[c]))
+        for k, told in found.items()
+        for moved in [told.means(np.asarray(centers[k]))]
+        for c in range(len(told.counts))
+    ]
+    measures = ", ".join(f"next_{m} double" for m in MEASURES)
+    return scaled.sparkSession.createDataFrame(lines, f"k int, cluster int, n bigint, wcss double, {measures}")
 
 
 def center_table(like: DataFrame, fits: Mapping[int, FittedClusters]) -> DataFrame:

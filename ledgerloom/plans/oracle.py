@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
+from ledgerloom.constants import CHURN_FEATURES
 from ledgerloom.plans.pins import (
     EXTRACT_BOUNDARY,
+    FEATURE_SCALES,
     PINNED_CENTERS,
     PINNED_PURCHASES,
     PINNED_SPEND,
+    PIVOT_MONTHS,
     RISK_MIDPOINT_DAYS,
     RISK_SCALE_DAYS,
+    RULED_DEPTH,
+    RULED_NODE,
+    RULED_TREES,
     SCORED_CENTERS,
     SILHOUETTE_GRID,
 )
@@ -34,7 +42,8 @@ def _sql(body: str, *needs: str) -> str:
     for need in needs:
         visit(need)
     head = ",\n".join(f"{name} AS (\n{_DEFS[name][0]}\n)" for name in order)
-    return f"WITH {head}\n{body.strip()}" if order else body.strip()
+    recursive = any(re.search(rf"\b{name}\b", _DEFS[name][0]) for name in order)
+    return f"WITH {'RECURSIVE ' * recursive}{head}\n{body.strip()}" if order else body.strip()
 
 
 _IS_RETURN = "(l_returnflag = 'R')"
@@ -386,7 +395,53 @@ FROM scored, medians""",
     "medians",
 )
 
-# Months since the first purchase that occur in the checked tables.
+# The forest made by rule, walked node by node.
+_SCALE = " ".join(f"WHEN {i} THEN {v!r}" for i, v in enumerate(FEATURE_SCALES))
+_VALUE = " ".join(f"WHEN {i} THEN {name}" for i, name in enumerate(CHURN_FEATURES))
+_define(
+    "ruled_nodes",
+    f"""
+SELECT tree, node, {RULED_NODE["feature"]} AS feature, {RULED_NODE["gain"]} AS gain,
+       CAST({RULED_NODE["share"]} AS DOUBLE) * CASE {RULED_NODE["feature"]} {_SCALE} END AS split,
+       {RULED_NODE["n0"]} AS n0, {RULED_NODE["n1"]} AS n1
+FROM range({RULED_TREES}) t(tree), range(1, {2 << RULED_DEPTH}) n(node)""",
+)
+_define(
+    "ruled_walk",
+    f"""
+SELECT customer_id, tree, CAST(1 AS BIGINT) AS node FROM split, range({RULED_TREES}) t(tree)
+UNION ALL
+SELECT w.customer_id, w.tree, CASE WHEN CASE feature {_VALUE} END <= n.split THEN 2 * w.node ELSE 2 * w.node + 1 END
+FROM ruled_walk w JOIN ruled_nodes n ON n.tree = w.tree AND n.node = w.node JOIN split s ON s.customer_id = w.customer_id
+WHERE w.node < {1 << RULED_DEPTH}""",
+    "split",
+    "ruled_nodes",
+)
+_define(
+    "ruled_chances",
+    f"""
+SELECT customer_id, AVG(n1 / (n0 + n1)) AS churn_probability FROM ruled_walk JOIN ruled_nodes USING (tree, node)
+WHERE node >= {1 << RULED_DEPTH} GROUP BY customer_id""",
+    "ruled_walk",
+)
+_define(
+    "ruled_scored",
+    "SELECT * FROM split JOIN ruled_chances USING (customer_id) WHERE is_test",
+    "split",
+    "ruled_chances",
+)
+_define("ruled_medians", _DEFS["medians"][0].replace("scored", "ruled_scored"), "ruled_scored")
+_define(
+    "ruled_segmented",
+    _DEFS["segmented"][0].replace("FROM scored, medians", "FROM ruled_scored, ruled_medians"),
+    "ruled_scored",
+    "ruled_medians",
+)
+_define(
+    "ruled_guessed",
+    "SELECT is_churn, CASE WHEN churn_probability > 0.5 THEN 1 ELSE 0 END AS g FROM ruled_scored",
+    "ruled_scored",
+)
 
 _CLASS_ROW = """
 SELECT '{name}' AS label,
@@ -404,6 +459,8 @@ _define(
     "guessed",
 )
 
+_define("ruled_classes", _DEFS["classes"][0].replace("FROM guessed", "FROM ruled_guessed"), "ruled_guessed")
+
 _CELLS = "ROUND(retention_pct, 6) AS retention_pct"
 _RFM = "customer_id, recency, frequency, ROUND(monetary, 2) AS monetary"
 _RFMT = "customer_id, frequency, recency, T, ROUND(monetary_value * 65536.0::DOUBLE) / 65536.0::DOUBLE AS monetary_value"
@@ -474,6 +531,12 @@ FROM tx_dirty""",
         "tx_dirty",
     ),
     "drop_returns": _sql(f"SELECT {_TX} FROM tx_dirty WHERE invoice NOT LIKE 'C%'", "tx_dirty"),
+    "positive_lines_nan": _sql(
+        """
+SELECT invoice, stock_code, quantity, invoice_ts, price, customer_id, is_return FROM tx_clean
+WHERE quantity > 0 AND price > 0 AND CAST(stock_code AS BIGINT) % 53 <> 0 AND CAST(stock_code AS BIGINT) % 59 <> 0""",
+        "tx_clean",
+    ),
     "positive_lines": _sql(f"SELECT {_TX} FROM tx_dirty WHERE quantity > 0 AND price > 0", "tx_dirty"),
     "outlier_thresholds": _caps("clean"),
     "outlier_thresholds_dirty": _caps("dirty"),
@@ -511,6 +574,17 @@ SELECT 1 AS k, ROUND(SUM((z_recency - m1) ** 2 + (z_frequency - m2) ** 2 + (z_mo
 FROM scaled, (SELECT AVG(z_recency) AS m1, AVG(z_frequency) AS m2, AVG(z_monetary) AS m3 FROM scaled) means""",
         "scaled",
     ),
+    "kmeans_step": _sql(
+        """
+SELECT k, cluster, COUNT(customer_id) AS n, ROUND(SUM(d), 3) AS wcss, ROUND(AVG(z_recency), 5) AS next_recency,
+       ROUND(AVG(z_frequency), 5) AS next_frequency, ROUND(AVG(z_monetary), 5) AS next_monetary
+FROM (SELECT k, cluster, customer_id, z_recency, z_frequency, z_monetary,
+             (z_recency - (-1.5 + 3.0 * (cluster + 0.5) / k)) ** 2 + z_frequency ** 2 + z_monetary ** 2 AS d
+      FROM labelled JOIN scaled USING (customer_id))
+GROUP BY k, cluster""",
+        "labelled",
+        "scaled",
+    ),
     "silhouette": _sql("SELECT k, ROUND(silhouette, 6) AS silhouette FROM scores", "scores"),
     "silhouette_grid": _sql("SELECT k, ROUND(silhouette, 6) AS silhouette FROM grid_scores", "grid_scores"),
     "select_k": _sql("SELECT k AS best_k FROM scores ORDER BY silhouette DESC, k LIMIT 1", "scores"),
@@ -582,7 +656,10 @@ SELECT {_RFM}, cluster, ROUND(clv_6m, 2) AS clv_6m, ROUND(expected_purchases_6m,
     "cohort_index": _sql("SELECT customer_id, invoice, cohort_index FROM cohorts", "cohorts"),
     "cohort_counts": _sql("SELECT * FROM cells", "cells"),
     "cohort_pivot": _sql(
-        "SELECT * FROM (PIVOT cells ON 'm_' || cohort_index USING MAX(n_customers) GROUP BY cohort_month)", "cells"
+        "SELECT cohort_month, "
+        + ", ".join(f"MAX(CASE WHEN cohort_index = {i} THEN n_customers END) AS m_{i}" for i in range(PIVOT_MONTHS))
+        + " FROM cells GROUP BY cohort_month",
+        "cells",
     ),
     "retention_pct": _sql(f"SELECT cohort_month, cohort_index, {_CELLS} FROM retained", "retained"),
     "mature_cohorts": _sql(f"SELECT cohort_month, cohort_index, {_CELLS} FROM mature", "mature"),
@@ -640,6 +717,39 @@ UNION ALL SELECT 'weighted avg', ROUND(SUM(p * s) / SUM(s), 6), ROUND(SUM(r * s)
                  ROUND(SUM(f * s) / SUM(s), 6), CAST(SUM(s) AS BIGINT) FROM classes""",
         "classes", "guessed",
     ),
+    "rf_classification_report_pinned": _sql(
+        """
+SELECT label, ROUND(p, 6) AS precision, ROUND(r, 6) AS recall, ROUND(f, 6) AS f1, CAST(s AS BIGINT) AS support FROM ruled_classes
+UNION ALL SELECT 'accuracy', NULL, NULL, ROUND(AVG(CASE WHEN is_churn = g THEN 1.0 ELSE 0.0 END), 6), COUNT(*) FROM ruled_guessed
+UNION ALL SELECT 'macro avg', ROUND(AVG(p), 6), ROUND(AVG(r), 6), ROUND(AVG(f), 6), CAST(SUM(s) AS BIGINT) FROM ruled_classes
+UNION ALL SELECT 'weighted avg', ROUND(SUM(p * s) / SUM(s), 6), ROUND(SUM(r * s) / SUM(s), 6),
+                 ROUND(SUM(f * s) / SUM(s), 6), CAST(SUM(s) AS BIGINT) FROM ruled_classes""",
+        "ruled_classes", "ruled_guessed",
+    ),
+    "rf_predict_pinned": _sql(
+        "SELECT customer_id, is_churn, CAST(churn_probability > 0.5 AS INTEGER) AS prediction FROM ruled_scored", "ruled_scored"
+    ),
+    "churn_probability_pinned": _sql(
+        """
+SELECT customer_id, is_test, ROUND(churn_probability, 6) AS churn_probability FROM split JOIN ruled_chances USING (customer_id)""",
+        "split", "ruled_chances",
+    ),
+    "feature_importance_pinned": _sql(
+        f"""
+SELECT feature, ROUND(COALESCE(SUM(share) / SUM(SUM(share)) OVER (), 0), 6) AS importance
+FROM (SELECT tree, CASE feature {" ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(CHURN_FEATURES))} END AS feature,
+             CAST(gain AS DOUBLE) * (n0 + n1) / SUM(CAST(gain AS DOUBLE) * (n0 + n1)) OVER (PARTITION BY tree) AS share
+      FROM ruled_nodes WHERE node < {1 << RULED_DEPTH})
+GROUP BY feature""",
+        "ruled_nodes",
+    ),
+    "action_summary_pinned": _sql(
+        """
+SELECT segment, COUNT(customer_id) AS customer_count, ROUND(AVG(churn_probability), 2) AS avg_churn_prob,
+       ROUND(AVG(monetary), 2) AS avg_monetary, ROUND(SUM(monetary), 2) AS total_monetary
+FROM ruled_segmented GROUP BY segment""",
+        "ruled_segmented",
+    ),
     "action_matrix": _sql(
         "SELECT customer_id, ROUND(churn_probability, 6) AS churn_probability, ROUND(monetary, 2) AS monetary FROM scored",
         "scored",

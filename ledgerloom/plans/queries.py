@@ -14,11 +14,13 @@ from ledgerloom.plans.pins import (
     PINNED_CENTERS,
     PINNED_PURCHASES,
     PINNED_SPEND,
+    PIVOT_MONTHS,
     SCORED_CENTERS,
     SILHOUETTE_GRID,
     pinned_probability,
+    ruled_forest,
 )
-from ledgerloom.plans.report import report_tables, score_churn, value_customers
+from ledgerloom.plans.report import place_churn, report_tables, score_churn, value_customers
 from ledgerloom.session import delete_path, stage, staged_path
 from ledgerloom.sources import (
     order_lines,
@@ -147,6 +149,16 @@ def _positive(log: TransactionLog) -> DataFrame:
     return cleaning.positive_lines(log.raw)
 
 
+@over_log("positive_lines_nan")
+def _positive_nan(log: TransactionLog) -> DataFrame:
+    """Lines of which some quantities and prices are not numbers."""
+    broken = {
+        c: F.when(F.col("stock_code").cast("long") % n == 0, F.lit(float("nan"))).otherwise(F.col(c))
+        for c, n in (("quantity", 53), ("price", 59))
+    }
+    return cleaning.positive_lines(log.raw.withColumns(broken))
+
+
 def _caps_table(spark: SparkSession, profile: cleaning.SalesProfile) -> DataFrame:
     rows = [(c, lo, hi) for c, (lo, hi) in profile.caps.items()]
     return rounded(spark.createDataFrame(rows, "column string, lo double, hi double"), 6, "lo", "hi")
@@ -247,6 +259,13 @@ def _elbow_one(log: TransactionLog) -> DataFrame:
     return rounded(segments.single_cluster_wcss(log.staged_rfm_scaled), 4, "wcss")
 
 
+@over_log("kmeans_step")
+def _kmeans_step(log: TransactionLog) -> DataFrame:
+    """One iteration from published centers of several k, in one scan."""
+    moved = segments.cluster_costs(log.staged_rfm_scaled, SCORED_CENTERS)
+    return rounded(rounded(moved, 3, "wcss"), 5, *[f"next_{m}" for m in rfm.MEASURES])
+
+
 def _pinned_scores(log: TransactionLog) -> DataFrame:
     labelled = segments.label_all(log.staged_rfm_scaled, SCORED_CENTERS)
     return segments.silhouette(labelled, {k: f"cluster_{k}" for k in SCORED_CENTERS})
@@ -484,7 +503,7 @@ def _cohort_counts(log: TransactionLog) -> DataFrame:
 
 @over_log("cohort_pivot")
 def _cohort_pivot(log: TransactionLog) -> DataFrame:
-    return cohorts.cohort_pivot(log.staged_cohort_counts)
+    return cohorts.cohort_pivot(log.staged_cohort_counts, indices=range(PIVOT_MONTHS))
 
 
 def _retention(log: TransactionLog) -> DataFrame:
@@ -606,10 +625,8 @@ def _trained(log: TransactionLog):
 
 @over_log("rf_fit")
 def _rf_fit(log: TransactionLog) -> DataFrame:
-    """What the fit produced: trees, nodes and depth of the forest."""
-    _, model = _trained(log)
-    rows = [(i, t.numNodes, t.depth) for i, t in enumerate(model.trees)]
-    return log.raw.sparkSession.createDataFrame(rows, "tree int, nodes int, depth int")
+    """The forest that the fit grew, a row per node."""
+    return _trained(log)[1].nodes
 
 
 @over_log("rf_predict")
@@ -646,8 +663,7 @@ def _rf_report(log: TransactionLog) -> DataFrame:
 
 @over_log("feature_importance")
 def _importance(log: TransactionLog) -> DataFrame:
-    _, model = _trained(log)
-    return churn.feature_importance(model, log.raw)
+    return churn.feature_importance(_trained(log)[1])
 
 
 @over_log("churn_probability")
@@ -664,6 +680,38 @@ def _probability_all(log: TransactionLog) -> DataFrame:
     return churn.predict(model, split).select("customer_id", "is_test", "churn_probability")
 
 
+def _ruled(log: TransactionLog):
+    """The side of churn scores with the forest made by rule in place of a fitted one."""
+    return place_churn(ruled_forest(log.raw.sparkSession), log.staged_split)
+
+
+@over_log("rf_predict_pinned")
+def _rf_predict_pinned(log: TransactionLog) -> DataFrame:
+    scored = churn.predict(ruled_forest(log.raw.sparkSession), log.staged_split.where("is_test"))
+    return scored.select("customer_id", "is_churn", "prediction")
+
+
+@over_log("churn_probability_pinned")
+def _probability_pinned(log: TransactionLog) -> DataFrame:
+    scored = churn.predict(ruled_forest(log.raw.sparkSession), log.staged_split)
+    return rounded(scored.select("customer_id", "is_test", "churn_probability"), 6, "churn_probability")
+
+
+@over_log("rf_classification_report_pinned")
+def _rf_report_pinned(log: TransactionLog) -> DataFrame:
+    return rounded(_ruled(log).report, 6, "precision", "recall", "f1")
+
+
+@query("feature_importance_pinned")
+def _importance_pinned(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(churn.feature_importance(ruled_forest(spark)), 6, "importance")
+
+
+@over_log("action_summary_pinned")
+def _actions_pinned(log: TransactionLog) -> DataFrame:
+    return actions.segment_summary(_ruled(log).segmented)
+
+
 # --- action matrix -----------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.constants import CLUSTER_COUNTS, KMEANS_RESTARTS
+from ledgerloom.functions.forest import Forest
 from ledgerloom.operators import actions, churn, clv, cohorts, segments
 from ledgerloom.plans.log import TransactionLog
 from ledgerloom.session import stage
@@ -46,14 +47,18 @@ def score_churn(log: TransactionLog, score: str = "test", **forest_options) -> S
     if score not in ("test", "all"):
         raise ValueError(f"unknown score {score!r}")
     split = log.staged_split
-    model = churn.fit_forest(split.where(~F.col("is_test")), **forest_options)
-    scored = stage(churn.predict(model, split), "scored")
+    return place_churn(churn.fit_forest(split.where(~F.col("is_test")), **forest_options), split, score)
+
+
+def place_churn(forest: Forest, split: DataFrame, score: str = "test") -> Scored:
+    """What a forest says of the customers of ``split``."""
+    scored = stage(churn.predict(forest, split), "scored")
     tested = scored.where("is_test")
     matrix = actions.action_matrix(scored if score == "all" else tested)
     medians = actions.action_medians(matrix)
     return Scored(
         churn.classification_report(tested),
-        churn.feature_importance(model, split),
+        churn.feature_importance(forest),
         actions.assign_segment(matrix, medians),
         medians,
     )

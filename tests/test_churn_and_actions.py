@@ -148,7 +148,7 @@ def test_the_same_forest_whatever_the_partitions(spark, forest):
 
 def test_importances_sum_to_one(forest):
     split, model = forest
-    table = churn.feature_importance(model, split).collect()
+    table = churn.feature_importance(model).collect()
     assert {r["feature"] for r in table} == set(CHURN_FEATURES)
     assert sum(r["importance"] for r in table) == pytest.approx(1.0)
     assert table[0]["feature"] == "recency"

@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import lloyd
 from ledgerloom.operators import rfm, segments
 from ledgerloom.session import stage
 
@@ -114,3 +116,65 @@ def test_labels_match_the_fitted_sizes(spark):
     fit = segments.fit_kmeans(df, ks=(3,), restarts=2)[3]
     counts = segments.assign_clusters(df, fit.centers).groupBy("cluster").count().orderBy("cluster")
     assert tuple(r["count"] for r in counts.collect()) == fit.sizes
+
+
+def brute_pass(points, centers):
+    apart = ((points[:, None] - centers[None]) ** 2).sum(axis=2)
+    index = apart.argmin(axis=1)
+    means = np.array([points[index == c].mean(axis=0) if (index == c).any() else centers[c] for c in range(len(centers))])
+    return np.bincount(index, minlength=len(centers)), means, apart.min(axis=1).sum()
+
+
+def test_one_scan_serves_all_fits(spark):
+    df = scaled_points(spark, 300).repartition(3)
+    points = df.select(*COLUMNS).toPandas().to_numpy()
+    draw = np.random.default_rng(1)
+    fits = {n: draw.normal(size=(k, 3)) for n, k in enumerate((1, 2, 2, 5, 9))}
+    fits[9] = np.array([[0.0, 0, 0], [99.0, 99, 99]])  # one cluster stays empty
+    for n, told in lloyd.scan(df, COLUMNS, fits).items():
+        counts, means, cost = brute_pass(points, fits[n])
+        assert (told.counts == counts).all() and told.cost == pytest.approx(cost, rel=1e-6)
+        assert np.allclose(told.means(fits[n]), means, atol=1e-6)
+
+
+def test_fits_advance_together_and_drop_out(spark, monkeypatch):
+    df = stage(scaled_points(spark, 300), "points")
+    points = df.select(*COLUMNS).toPandas().to_numpy()
+    draw = np.random.default_rng(2)
+    starts = [points[draw.choice(len(points), k, replace=False)] for k in (2, 3, 4, 6, 8, 8)]
+    own = []
+    for centers in starts:
+        for steps in range(1, 31):
+            moved = brute_pass(points, centers)[1]
+            shift, centers = ((moved - centers) ** 2).sum(), moved
+            if shift <= 1e-4:
+                break
+        own.append((steps, centers, brute_pass(points, centers)[2]))
+    seen = []
+    scan = lloyd.scan
+    monkeypatch.setattr(lloyd, "scan", lambda rows, columns, fits: seen.append(len(fits)) or scan(rows, columns, fits))
+    found = lloyd.fit_all(df, COLUMNS, starts, 30, 1e-4)
+    for (_, centers, cost), (got, told) in zip(own, found, strict=True):
+        assert np.allclose(got, centers, atol=1e-5) and told.cost == pytest.approx(cost, rel=1e-5)
+    # One scan per iteration of the longest fit and one for its cost; fits that are done take no part.
+    assert len(seen) == max(s for s, _, _ in own) + 1 and seen == sorted(seen, reverse=True) and seen[-1] < len(starts)
+
+
+def test_costs_as_good_as_single_fits(spark):
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(c, 0.7, (60, 3)) for c in rng.normal(0, 2, (7, 3))])
+    df = spark.createDataFrame(
+        [(i, *map(float, p)) for i, p in enumerate(points)], "customer_id long, z_recency double, z_frequency double, z_monetary double"
+    )
+    fits = segments.fit_kmeans(df, ks=(3, 5, 7), restarts=6)
+    data = segments.vectors(df)
+    for k, fit in fits.items():
+        single = min(KMeans(k=k, maxIter=100, seed=s, tol=1e-3).fit(data).summary.trainingCost for s in range(3))
+        assert fit.wcss <= single * 1.005
+        assert sum(fit.sizes) == len(points)
+
+
+def test_fit_of_few_and_no_customers(spark):
+    df = scaled_points(spark, 3)
+    assert sum(segments.fit_kmeans(df, ks=(5,), restarts=2)[5].sizes) == 3
+    assert segments.fit_kmeans(df.where("false"), ks=(2,), restarts=1)[2].sizes == (0, 0)
