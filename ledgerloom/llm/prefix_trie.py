@@ -227,16 +227,15 @@ def subtree_sums(
     as long as they are open, so there are fewer than ``most_open`` of them: their centroids and
     totals are broadcast.
     """
-    whole = nodes.agg(F.max("weight")).first()[0]
-    if whole is None:
+    top = nodes.filter("parent IS NULL").select("node", "weight").first()
+    if top is None:
         return nodes.select("node", *values)
+    whole = top["weight"]
     limit = max(task_weight, whole // most_open)
     sums = [f"{v}_below" for v in values]
     state = ["node", "parent", "conv_id", "depth", "weight", "comp", "total", *values, *sums]
-    top = nodes.filter("parent IS NULL").select(F.col("node").alias("comp"))
-    work = nodes.crossJoin(F.broadcast(top)).withColumns(  # one row: the root's name
-        {"total": F.lit(whole), **{s: F.lit(0).cast("long") for s in sums}}
-    ).select(*state)
+    begun = {"comp": F.lit(top["node"]), "total": F.lit(whole), **{s: F.lit(0).cast("long") for s in sums}}
+    work = nodes.withColumns(begun).select(*state)
     heavy = F.col("weight") * 2 > F.col("total")
     open_rows, closed, done = (work, [], []) if whole > limit else (None, [work], [])
     while open_rows is not None:
