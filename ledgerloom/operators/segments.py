@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ from ledgerloom.constants import (
     KMEANS_TOLERANCE,
     SEED,
 )
-from ledgerloom.functions import lloyd
+from ledgerloom.functions import distance_sums, lloyd
 from ledgerloom.functions.partitions import steady_layout
 from ledgerloom.operators.rfm import MEASURES, SCALED
 from ledgerloom.session import stage
@@ -32,6 +33,8 @@ ROWS_PER_TASK = 100_000
 BLOCK_ROWS = 16_384
 # Rows of a block whose distances are held at a time.
 CHUNK_ROWS = 128
+# Error of a distance to a group of customers that the tree silhouette takes as a whole.
+TREE_EPSILON = 0.001
 # Tasks of the pairwise silhouette per core; each pair of blocks is whole in one of them.
 PAIR_TASKS_PER_CORE = 200
 
@@ -156,6 +159,7 @@ def silhouette(
     method: str = "exact",
     block_rows: int = BLOCK_ROWS,
     grid: float | None = None,
+    epsilon: float = TREE_EPSILON,
 ) -> DataFrame:
     """Mean silhouette per k; ``labels`` names the label column (0..k-1) of each k.
 
@@ -163,11 +167,14 @@ def silhouette(
     and its work grows with their square. Where that is too much, ``grid`` rounds the
     coordinates to multiples of its width and counts the customers per cell: every customer
     still takes part, and no distance moves by more than ``grid * sqrt(dimensions)``.
+    ``tree`` takes far groups of customers as a whole, see :func:`silhouette_with_error`.
     ``squared`` is Spark's evaluator, a different statistic that needs only one pass.
-    Neither is used unless asked for.
+    None of these is used unless asked for.
     """
     if method == "squared":
         return _squared_silhouette(labelled, labels, columns)
+    if method == "tree":
+        return silhouette_with_error(labelled, labels, columns, epsilon).select("k", "silhouette")
     if method != "exact":
         raise ValueError(f"unknown silhouette method {method!r}")
     return _exact_silhouette(labelled, labels, key, columns, block_rows, grid)
@@ -306,6 +313,99 @@ def _exact_silhouette(
     return means.select(F.inline(F.array(*lines)))
 
 
+def silhouette_with_error(
+    labelled: DataFrame,
+    labels: Mapping[int, str],
+    columns: Sequence[str] = SCALED,
+    epsilon: float = TREE_EPSILON,
+) -> DataFrame:
+    """(k, silhouette, error): the mean silhouette and a bound on how far it can be from the exact one.
+
+    Distances to groups of customers of one place and the same labels are summed up at once, see
+    ``functions.distance_sums``: those of a group taken as a whole are off by at most ``epsilon`` of its
+    distance. ``error`` is what the bounds of all sums make of the statistic, customer by customer. Up
+    to ``distance_sums.MOST_PIECES`` different customers, single ones are never merged. Work grows with
+    the customers, not with their square. Clusters without customers count for nothing, a single
+    customer's own score is 0, and an empty table gives no rows.
+    """
+    ks = list(labels)
+    slots = np.cumsum([0, *ks])
+    names = [f"label_{k}" for k in ks]
+    places = [f"x{d}" for d in range(len(columns))]
+    points = stage(
+        labelled.select(
+            *[F.col(c).cast("double").alias(x) for c, x in zip(columns, places)],
+            *[F.col(labels[k]).cast("int").alias(name) for k, name in zip(ks, names)],
+        ),
+        "points",
+    )
+    sets = points.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).toPandas()
+    if not len(sets):
+        return labelled.sparkSession.createDataFrame([], "k int, silhouette double, error double")
+    own = sets[names].to_numpy(np.int64)
+    belongs = np.zeros((len(sets), int(slots[-1])))
+    for i in range(len(ks)):
+        belongs[np.arange(len(sets)), slots[i] + own[:, i]] = 1.0
+    sizes = sets["n"].to_numpy(float) @ belongs
+    numbered = points.sparkSession.createDataFrame(
+        [(i, *map(int, row)) for i, row in enumerate(own)], ", ".join(["label int", *[f"{n} int" for n in names]])
+    )
+    # A set of labels for each region that the centers of all k part the space into.
+    points = points.join(F.broadcast(numbered), names).select("label", *places)
+    tree = distance_sums.tree_of(*distance_sums.pieces_of(points, places, "label"), places, "label", belongs, epsilon)
+
+    def scores(at: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Per k: sums of the scores and of their lowest and highest values."""
+        sums, error = distance_sums.block_sums(tree, at)
+        found = np.zeros((len(ks), 3))
+        for i, k in enumerate(ks):
+            mine, every = own[label, i], slice(int(slots[i]), int(slots[i + 1]))
+            size, total, off = sizes[every], sums[:, every], error[every]
+            rows, there = np.arange(len(at)), np.maximum(size, 1)
+            mates = np.maximum(size[mine] - 1, 1)
+            inner, inner_off = total[rows, mine] / mates, off[mine] / mates
+            others = np.where(size > 0, total / there, np.inf)
+            others[rows, mine] = np.inf
+            gap = off / there
+            counts = (size[mine] > 1) & np.isfinite(others.min(axis=1))
+
+            def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                a, b = np.maximum(a, 0.0), np.maximum(b, 0.0)
+                top = np.maximum(a, b)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    return np.where(counts & (top > 0), (b - a) / top, 0.0).sum()
+
+            found[i] = (
+                score(inner, others.min(axis=1)),
+                score(inner + inner_off, (others - gap).min(axis=1)),
+                score(inner - inner_off, (others + gap).min(axis=1)),
+            )
+        return found
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((len(ks), 3)), 0
+        for batch in batches:
+            at = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
+            label = batch.column(0).to_numpy()
+            for start in range(0, len(at), distance_sums.BLOCK_POINTS):
+                part = slice(start, start + distance_sums.BLOCK_POINTS)
+                total += scores(at[part], label[part])
+            n += len(at)
+        if n:
+            lines = [(k, *map(float, total[i]), n) for i, k in enumerate(ks)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v) for v in zip(*lines, strict=True)], ["k", "total", "low", "high", "n"]
+            )
+
+    parts = distance_sums.in_curve_order(points, places).mapInArrow(
+        scored, "k long, total double, low double, high double, n long"
+    )
+    mean, low, high = (F.sum(c) / F.sum("n") for c in ("total", "low", "high"))
+    return parts.groupBy("k").agg(
+        mean.alias("silhouette"), F.greatest(high - mean, mean - low, F.lit(0.0)).alias("error")
+    ).select(F.col("k").cast("int").alias("k"), "silhouette", "error")
+
+
 def select_k(scores: DataFrame) -> DataFrame:
     """The k with the highest score; the smallest k on ties."""
     return scores.orderBy(F.desc("silhouette"), "k").limit(1).select(F.col("k").alias("best_k"))

@@ -587,6 +587,7 @@ GROUP BY k, cluster""",
     ),
     "silhouette": _sql("SELECT k, ROUND(silhouette, 6) AS silhouette FROM scores", "scores"),
     "silhouette_grid": _sql("SELECT k, ROUND(silhouette, 6) AS silhouette FROM grid_scores", "grid_scores"),
+    "silhouette_tree": _sql("SELECT k, ROUND(silhouette, 4) AS silhouette, TRUE AS near FROM scores", "scores"),
     "select_k": _sql("SELECT k AS best_k FROM scores ORDER BY silhouette DESC, k LIMIT 1", "scores"),
     "assign_clusters": _sql("SELECT customer_id, cluster FROM assigned", "assigned"),
     "cluster_profile": _sql(

@@ -284,6 +284,14 @@ def _silhouette_grid(log: TransactionLog) -> DataFrame:
     return rounded(segments.silhouette(labelled, labels, grid=SILHOUETTE_GRID), 6, "silhouette")
 
 
+@over_log("silhouette_tree")
+def _silhouette_tree(log: TransactionLog) -> DataFrame:
+    """With far groups of customers taken as a whole, and whether the bound on the error is small."""
+    labelled = segments.label_all(log.staged_rfm_scaled, SCORED_CENTERS)
+    scores = segments.silhouette_with_error(labelled, {k: f"cluster_{k}" for k in SCORED_CENTERS})
+    return rounded(scores, 4, "silhouette").select("k", "silhouette", (F.col("error") <= 0.005).alias("near"))
+
+
 @over_log("select_k")
 def _select_k(log: TransactionLog) -> DataFrame:
     return segments.select_k(_pinned_scores(log))

@@ -94,18 +94,21 @@ def full_report(
     restarts: int = KMEANS_RESTARTS,
     score: str = "test",
     value_col: str = "monetary_value",
+    silhouette_epsilon: float | None = None,
 ) -> Mapping[str, DataFrame]:
     """Every result table, with all models fitted on the log.
 
     Make the log with ``reuse=True``: its lines are then read once for nearly all tables. The
     exact silhouette's work grows with the square of the customers, so the caller decides:
     ``silhouette_grid=None`` asks for it, a number gives the width of cells that bound the work,
-    see :func:`ledgerloom.operators.segments.silhouette`.
+    and ``silhouette_epsilon`` takes far groups of customers as a whole and bounds the error, see
+    :func:`ledgerloom.operators.segments.silhouette`.
     """
     tables = report_tables(log)
     scaled = log.staged_rfm_scaled
     fits = segments.fit_kmeans(scaled, ks, restarts)
-    clustered, scores = segments.segment_customers(scaled, fits, grid=silhouette_grid)
+    how = {"grid": silhouette_grid} if silhouette_epsilon is None else {"method": "tree", "epsilon": silhouette_epsilon}
+    clustered, scores = segments.segment_customers(scaled, fits, **how)
     valued = value_customers(log, value_col)
     rfm_clv = clv.rfm_with_clv(clustered, valued.customers)
     rfm_clv = clv.with_fit_flags(rfm_clv, "purchases", valued.purchases)
