@@ -1,9 +1,8 @@
-"""Minimising a smooth function of a few positive parameters.
+"""Minimising a smooth function of a few positive parameters, by its exact derivatives.
 
-``evaluate`` gets a list of parameter vectors and returns their values. Callers answer the
-whole list with one Spark aggregate, so a step costs one small job however many points it
-needs: the value, slope and curvature at the full step are asked for together with the
-shorter steps to fall back on.
+``evaluate`` gets a list of parameter vectors and returns value, slope and curvature at each.
+Callers answer the whole list with one Spark aggregate, so a step costs one small job: the point
+of a full step, or, where that is no better, a list of shorter steps at once.
 """
 
 from __future__ import annotations
@@ -17,7 +16,22 @@ LOG_BOUND = 20.0
 LONGEST_STEP = 2.0
 SHORTER_STEPS = 0.5 ** np.arange(1, 9)
 
-Evaluate = Callable[[Sequence[Sequence[float]]], Sequence[float]]
+
+@dataclass(frozen=True)
+class Shape:
+    """A function at one point: value, gradient (n) and matrix of second derivatives (n x n)."""
+
+    value: float
+    slope: np.ndarray
+    curve: np.ndarray
+
+    def by_logs(self, at: np.ndarray) -> Shape:
+        """The same as a function of the logarithms of the parameters."""
+        slope = at * self.slope
+        return Shape(self.value, slope, np.outer(at, at) * self.curve + np.diag(slope))
+
+
+Evaluate = Callable[[Sequence[Sequence[float]]], Sequence[Shape]]
 
 
 @dataclass(frozen=True)
@@ -28,76 +42,46 @@ class Minimum:
     steps: int
     #: The slope is within the tolerance and no parameter lies at the edge of the search.
     converged: bool
-    #: None of the points around, a small step away in each parameter or two, is lower.
+    #: The function curves up in every direction around.
     lowest: bool
 
 
-class _Local:
-    """Central differences of a function around a point, from a fixed set of points."""
-
-    def __init__(self, at: np.ndarray, width: float):
-        self.width = width
-        self.size = len(at)
-        nudges = np.eye(self.size) * width
-        self.pairs = [(i, j) for i in range(self.size) for j in range(i)]
-        self.points = [at, *(at + nudges), *(at - nudges)]
-        for i, j in self.pairs:
-            self.points += [at + nudges[i] + nudges[j], at - nudges[i] - nudges[j]]
-
-    def read(self, values: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        n, h = self.size, self.width
-        center, up, down = values[0], values[1 : n + 1], values[n + 1 : 2 * n + 1]
-        slope = (up - down) / (2 * h)
-        curve = np.diag((up - 2 * center + down) / h**2)
-        for (i, j), both_up, both_down in zip(
-            self.pairs, values[2 * n + 1 :: 2], values[2 * n + 2 :: 2]
-        ):
-            mixed = both_up - up[i] - up[j] + 2 * center - down[i] - down[j] + both_down
-            curve[i, j] = curve[j, i] = mixed / (2 * h**2)
-        return float(center), slope, curve
-
-
 def minimise_positive(
     evaluate: Evaluate,
     start: Sequence[float],
     max_steps: int = 80,
     tolerance: float = 1e-6,
-    width: float = 1e-3,
 ) -> Minimum:
     """Newton's method on the logarithms of the parameters, made safe where not convex."""
-    x = np.log(np.asarray(start, dtype=float))
 
-    def values(points: Sequence[np.ndarray]) -> np.ndarray:
-        bounded = [np.clip(p, -LOG_BOUND, LOG_BOUND) for p in points]
-        found = evaluate([tuple(float(v) for v in np.exp(p)) for p in bounded])
-        return np.asarray(found, dtype=float)
+    def shapes(points: Sequence[np.ndarray]) -> list[Shape]:
+        at = [np.exp(np.clip(p, -LOG_BOUND, LOG_BOUND)) for p in points]
+        return [s.by_logs(p) for s, p in zip(evaluate([tuple(map(float, p)) for p in at]), at, strict=True)]
 
-    near = _Local(x, width)
-    fresh = values(near.points)
-    value, slope, curve = near.read(fresh)
+    x = np.clip(np.log(np.asarray(start, dtype=float)), -LOG_BOUND, LOG_BOUND)
+    here = shapes([x])[0]
     steps = 0
-    while steps < max_steps and np.abs(slope).max() > tolerance:
+    while steps < max_steps and np.abs(here.slope).max() > tolerance:
         steps += 1
-        strengths, axes = np.linalg.eigh(curve)
-        step = -axes @ ((axes.T @ slope) / np.maximum(np.abs(strengths), 1e-10))
+        strengths, axes = np.linalg.eigh(here.curve)
+        step = -axes @ ((axes.T @ here.slope) / np.maximum(np.abs(strengths), 1e-10))
         step *= min(1.0, LONGEST_STEP / np.abs(step).max())
-        near = _Local(x + step, width)
-        shorter = [x + f * step for f in SHORTER_STEPS]
-        found = values([*near.points, *shorter])
-        ahead = found[: len(near.points)]
-        if ahead[0] < value:
-            x, fresh = x + step, ahead
-        else:
-            rest = np.where(np.isfinite(found[len(ahead) :]), found[len(ahead) :], np.inf)
-            if rest.min() >= value:
-                break
-            x = shorter[int(rest.argmin())]
-            near = _Local(x, width)
-            fresh = values(near.points)
-        value, slope, curve = near.read(fresh)
-    found = tuple(float(v) for v in np.exp(np.clip(x, -LOG_BOUND, LOG_BOUND)))
-    steepest = float(np.abs(slope).max())
+        ahead = shapes([x + step])[0]
+        if ahead.value < here.value:
+            x, here = x + step, ahead
+            continue
+        shorter = shapes([x + f * step for f in SHORTER_STEPS])
+        found = [s.value if np.isfinite(s.value) else np.inf for s in shorter]
+        best = int(np.argmin(found))
+        if found[best] >= here.value:
+            # As low as rounding lets it see; the flatter of the two ends.
+            if ahead.value == here.value and np.abs(ahead.slope).max() < np.abs(here.slope).max():
+                x, here = x + step, ahead
+            break
+        x, here = x + SHORTER_STEPS[best] * step, shorter[best]
+    steepest = float(np.abs(here.slope).max())
     # Past the edge the function is flat for the search, which proves nothing.
     inside = bool(np.abs(x).max() < LOG_BOUND)
-    lowest = bool(fresh[0] <= np.nanmin(fresh) + 1e-9 * abs(fresh[0]))
-    return Minimum(found, value, steepest, steps, inside and steepest <= tolerance, lowest)
+    lowest = bool(np.linalg.eigvalsh(here.curve).min() > -1e-9)
+    found = tuple(float(v) for v in np.exp(np.clip(x, -LOG_BOUND, LOG_BOUND)))
+    return Minimum(found, here.value, steepest, steps, inside and steepest <= tolerance, lowest)

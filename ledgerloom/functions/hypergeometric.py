@@ -1,28 +1,27 @@
-"""Gauss's hypergeometric series as a column expression."""
+"""Gauss's hypergeometric series for many rows at once."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import numpy as np
 
 LEAST_TERMS = 8
 
 
-def hyp2f1_series(a: Column, b: Column, c: Column, z: Column, tolerance: float = 1e-11) -> Column:
-    """2F1(a, b; c; z) for 0 <= z < 1, summed inside the JVM.
+def hyp2f1_series(
+    a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray, tolerance: float = 1e-11
+) -> np.ndarray:
+    """2F1(a, b; c; z) for 0 <= z < 1.
 
-    Made for parameters whose terms shrink at least as fast as the powers of z. Each row sums
-    only as many terms as its own z needs to fall below ``tolerance``; each step carries the
-    last term and the running sum.
+    Made for parameters whose terms shrink at least as fast as the powers of z. All rows take as
+    many terms as the largest z needs to fall below ``tolerance``.
     """
-
-    def step(state: Column, n: Column) -> Column:
-        term = state["term"] * ((a + n) * (b + n) / ((c + n) * (n + 1.0)) * z)
-        return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
-
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-    terms = F.when(z > 0, F.ceil(F.lit(math.log(tolerance)) / F.ln(z))).otherwise(0) + LEAST_TERMS
-    counter = F.sequence(F.lit(0), terms.cast("int"))
-    return F.aggregate(counter, start, step, lambda state: state["total"])
+    largest = float(np.max(z, initial=0.0))
+    terms = LEAST_TERMS + (math.ceil(math.log(tolerance) / math.log(largest)) if largest > 0 else 0)
+    term = np.ones(np.broadcast(a, b, c, z).shape)
+    total = term.copy()
+    for n in range(terms):
+        term *= (a + n) * (b + n) / ((c + n) * (n + 1.0)) * z
+        total += term
+    return total

@@ -467,6 +467,39 @@ _RFMT = "customer_id, frequency, recency, T, ROUND(monetary_value * 65536.0::DOU
 _TX = "invoice, stock_code, quantity, invoice_ts, price, customer_id, is_return"
 
 
+def _purchase_ll(r: object, alpha: object, a: object, b: object) -> str:
+    return f"""
+         lgamma({r} + frequency) - lgamma({r}) + {r} * ln({alpha})
+         + lgamma({a} + {b}) + lgamma({b} + frequency) - lgamma({b}) - lgamma({a} + {b} + frequency)
+         + ln(({alpha} + T) ** -({r} + frequency)
+              + CASE WHEN frequency > 0 THEN {a} / ({b} + frequency - 1)
+                * ({alpha} + recency) ** -({r} + frequency) ELSE 0 END)"""
+
+
+def _spend_ll(p: object, q: object, v: object) -> str:
+    return f"""
+         lgamma({p} * frequency + {q}) - lgamma({p} * frequency) - lgamma({q}) + {q} * ln({v})
+         + ({p} * frequency - 1) * ln(monetary_value) + {p} * frequency * ln(frequency)
+         - ({p} * frequency + {q}) * ln(frequency * monetary_value + {v})"""
+
+
+def _differences(ll: str, at: dict[str, float], source: str) -> str:
+    """Slope and curvature of the mean of ``ll`` from values on either side of ``at``."""
+    columns = ", ".join(f"{v!r} + CASE WHEN parameter = '{n}' THEN side * h ELSE 0 END AS {n}" for n, v in at.items())
+    names = ", ".join(f"('{n}', {3e-4 * v!r})" for n, v in at.items())
+    return _sql(
+        f"""
+SELECT parameter, ROUND(SUM(side * f) / (2 * h), 4) AS slope,
+       ROUND(SUM(CASE WHEN side = 0 THEN -2 ELSE 1 END * f) / (h * h), 3) AS curvature
+FROM (SELECT parameter, side, h, AVG({ll}) AS f
+      FROM {source}, (SELECT parameter, side, CAST(h AS DOUBLE) AS h, {columns}
+                      FROM (VALUES {names}) p(parameter, h), (VALUES (-1), (0), (1)) s(side)) points
+      GROUP BY parameter, side, h)
+GROUP BY parameter, h""",
+        source,
+    )
+
+
 def _caps(v: str) -> str:
     return _sql(
         f"""
@@ -601,16 +634,12 @@ FROM clustered GROUP BY cluster""",
     "rfmt_summary": _sql(f"SELECT {_RFMT} FROM rfmt_clean", "rfmt_clean"),
     "rfmt_events": _sql(f"SELECT {_RFMT} FROM rfmt_events", "rfmt_events"),
     "bgnbd_loglik": _sql(
-        f"""
-SELECT COUNT(*) AS n, ROUND(SUM(
-         lgamma({_B.r} + frequency) - lgamma({_B.r}) + {_B.r} * ln({_B.alpha})
-         + lgamma({_B.a} + {_B.b}) + lgamma({_B.b} + frequency) - lgamma({_B.b}) - lgamma({_B.a} + {_B.b} + frequency)
-         + ln(({_B.alpha} + T) ** -({_B.r} + frequency)
-              + CASE WHEN frequency > 0 THEN {_B.a} / ({_B.b} + frequency - 1)
-                * ({_B.alpha} + recency) ** -({_B.r} + frequency) ELSE 0 END)), 4) AS loglik
-FROM rfmt_clean""",
+        f"SELECT COUNT(*) AS n, ROUND(SUM({_purchase_ll(_B.r, _B.alpha, _B.a, _B.b)}), 4) AS loglik FROM rfmt_clean",
         "rfmt_clean",
     ),
+    "bgnbd_slopes": _differences(
+        _purchase_ll("r", "alpha", "a", "b"), {"r": _B.r, "alpha": _B.alpha, "a": _B.a, "b": _B.b}, "rfmt_clean"
+    ),
     "bgnbd_predict": _sql("SELECT customer_id, ROUND(e, 6) AS expected_purchases_6m FROM expected_clean", "expected_clean"),
     "bgnbd_predict_events": _sql(
         "SELECT customer_id, ROUND(e, 6) AS expected_purchases_6m FROM expected_events", "expected_events"
@@ -621,14 +650,9 @@ FROM rfmt_clean""",
     ),
     "repeat_customers": _sql(f"SELECT {_RFMT} FROM repeat", "repeat"),
     "gg_loglik": _sql(
-        f"""
-SELECT COUNT(*) AS n, ROUND(SUM(
-         lgamma({_G.p} * frequency + {_G.q}) - lgamma({_G.p} * frequency) - lgamma({_G.q}) + {_G.q} * ln({_G.v})
-         + ({_G.p} * frequency - 1) * ln(monetary_value) + {_G.p} * frequency * ln(frequency)
-         - ({_G.p} * frequency + {_G.q}) * ln(frequency * monetary_value + {_G.v})), 2) AS loglik
-FROM repeat""",
-        "repeat",
+        f"SELECT COUNT(*) AS n, ROUND(SUM({_spend_ll(_G.p, _G.q, _G.v)}), 2) AS loglik FROM repeat", "repeat"
     ),
+    "gg_slopes": _differences(_spend_ll("p", "q", "v"), {"p": _G.p, "q": _G.q, "v": _G.v}, "repeat"),
     "gg_expected_profit": _sql(
         f"SELECT customer_id, ROUND({_PROFIT}, 2) AS expected_avg_profit FROM repeat", "repeat"
     ),

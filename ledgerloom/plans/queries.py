@@ -363,6 +363,13 @@ def _bgnbd_loglik(log: TransactionLog) -> DataFrame:
     return rounded(clv.purchase_loglik(stage(log.rfmt, "rfmt"), PINNED_PURCHASES), 4, "loglik")
 
 
+@over_log("bgnbd_slopes")
+def _bgnbd_slopes(log: TransactionLog) -> DataFrame:
+    """Derivatives that the fit steps by, at published parameters."""
+    found = clv.purchase_slopes(stage(log.rfmt, "rfmt"), PINNED_PURCHASES)
+    return rounded(rounded(found, 4, "slope"), 3, "curvature")
+
+
 @over_log("bgnbd_predict")
 def _bgnbd_predict(log: TransactionLog) -> DataFrame:
     predicted = clv.predict_purchases(log.rfmt, PINNED_PURCHASES)
@@ -430,6 +437,13 @@ def _gg_loglik(log: TransactionLog) -> DataFrame:
     return rounded(clv.spend_loglik(clv.repeat_customers(rfmt), PINNED_SPEND), 2, "loglik")
 
 
+@over_log("gg_slopes")
+def _gg_slopes(log: TransactionLog) -> DataFrame:
+    rfmt = stage(log.rfmt, "rfmt")
+    found = clv.spend_slopes(clv.repeat_customers(rfmt), PINNED_SPEND)
+    return rounded(rounded(found, 4, "slope"), 3, "curvature")
+
+
 @over_log("gg_expected_profit")
 def _gg_profit(log: TransactionLog) -> DataFrame:
     valued = clv.expected_profit(clv.repeat_customers(log.rfmt), PINNED_SPEND)

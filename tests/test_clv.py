@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.fitting import minimise_positive
+from ledgerloom.functions.fitting import Shape, minimise_positive
+from ledgerloom.functions.gamma import digamma, trigamma
 from ledgerloom.functions.hypergeometric import hyp2f1_series
 from ledgerloom.operators import clv
 from ledgerloom.plans.log import TransactionLog
@@ -78,16 +79,28 @@ def test_flags_of_fits_go_with_the_results(spark):
 
 
 def test_a_search_that_ends_at_its_edge_has_not_converged():
-    low = minimise_positive(lambda points: [math.log(p[0]) for p in points], (1.0,))
-    good = minimise_positive(lambda points: [(p[0] - 2) ** 2 for p in points], (1.0,))
+    def log(points):
+        return [Shape(math.log(p), np.array([1 / p]), np.array([[-1 / p**2]])) for (p,) in points]
+
+    def square(points):
+        return [Shape((p - 2) ** 2, np.array([2 * (p - 2)]), np.array([[2.0]])) for (p,) in points]
+
+    low, good = minimise_positive(log, (1.0,)), minimise_positive(square, (1.0,))
     assert not low.converged and good.converged and good.parameters[0] == pytest.approx(2)
 
 
-def test_series_matches_a_closed_form(spark):
+def test_series_matches_a_closed_form():
     # 2F1(1, 1; 2; z) = -ln(1 - z) / z
-    one, two, z = F.lit(1.0), F.lit(2.0), F.lit(0.3)
-    got = spark.range(1).select(hyp2f1_series(one, one, two, z).alias("s")).first()["s"]
-    assert got == pytest.approx(-math.log(0.7) / 0.3)
+    z = np.array([0.3, 0.01, 0.85])
+    assert hyp2f1_series(1.0, 1.0, np.full(3, 2.0), z) == pytest.approx(-np.log(1 - z) / z)
+    assert hyp2f1_series(1.0, 1.0, np.array([2.0]), np.array([0.0])) == pytest.approx([1.0])
+
+
+def test_histories_with_nulls_have_no_expectation(spark):
+    rows = [(2, 30.0, 60.0, 5.0), (2, None, 60.0, 5.0), (None, 30.0, 60.0, 5.0), (2, 30.0, None, 5.0)]
+    got = clv.predict_purchases(summary(spark, rows), PINNED_PURCHASES).orderBy("customer_id").collect()
+    assert [r["expected_purchases_6m"] is None for r in got] == [False, True, True, True]
+    assert clv.discounted_value(summary(spark, rows[:1]).where("false"), PINNED_PURCHASES).count() == 0
 
 
 def test_day_grain_summary(tx):
@@ -147,8 +160,14 @@ def test_customers_without_repeat_purchases_keep_null(spark):
 
 
 def test_minimiser_on_a_known_function():
+    def shape(a, b):
+        u, w = math.log(a) - 1, math.log(b) + math.log(a)
+        slope = np.array([(2 * u + 20 * w) / a, 20 * w / b])
+        curve = np.array([[(22 - 2 * u - 20 * w) / a**2, 20 / (a * b)], [20 / (a * b), (20 - 20 * w) / b**2]])
+        return Shape(u**2 + 10 * w**2, slope, curve)
+
     def losses(points):
-        return [(math.log(a) - 1) ** 2 + 10 * (math.log(b) + math.log(a)) ** 2 for a, b in points]
+        return [shape(*p) for p in points]
 
     best = minimise_positive(losses, (3.0, 3.0))
     assert best.parameters == pytest.approx((math.e, 1 / math.e), rel=1e-4)
@@ -212,3 +231,59 @@ def test_purchases_without_drop_out_are_reported(spark):
     assert model.degenerate and model.a >= clv.PARAMETER_FLOOR
     scored = clv.predict_purchases(summary(spark, rows), model)
     assert scored.where("expected_purchases_6m < 0 OR isnan(expected_purchases_6m)").isEmpty()
+
+
+def numeric(evaluate, at, h=1e-5):
+    """Slope and curvature by differences of values alone."""
+    def value(p):
+        return evaluate([tuple(p)])[0].value
+
+    at = np.asarray(at, float)
+    nudge = np.diag(h * at)
+    slope = np.array([(value(at + d) - value(at - d)) / (2 * d.max()) for d in nudge])
+    def slopes(p):
+        return evaluate([tuple(p)])[0].slope
+
+    return slope, np.array([(slopes(at + d) - slopes(at - d)) / (2 * d.max()) for d in nudge])
+
+
+def test_derivatives_of_log_gamma():
+    for x in (1e-3, 0.3, 1.0, 7.7, 40.0, 1e6):
+        h = 1e-5 * x
+        assert digamma(x) == pytest.approx((math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h), rel=1e-4, abs=1e-7)
+        assert trigamma(x) == pytest.approx((digamma(x + h) - digamma(x - h)) / (2 * h), rel=1e-6)
+    assert digamma(1.0) == pytest.approx(-0.5772156649015329, abs=1e-14)
+    assert trigamma(1.0) == pytest.approx(math.pi**2 / 6, abs=1e-13)
+
+
+def test_exact_derivatives_of_both_likelihoods(spark):
+    rows = summary(spark, [(0, 0.0, 50.0, 0.0), (0, 0.0, 400.0, 0.0), (1, 30.0, 90.0, 7.0), (12, 300.0, 420.0, 3.5), (3, 9.0, 600.0, 90.0)])
+    grouped = clv.purchase_histogram(rows).cache()
+    counts = clv._counts_of_x(grouped)
+    for at in ((0.243, 30.9, 0.79, 2.4), (2.0, 0.5, 0.05, 0.1), (0.01, 900.0, 5.0, 40.0)):
+        found = clv._purchase_shapes(grouped, counts, [at])[0]
+        slope, curve = numeric(lambda points: clv._purchase_shapes(grouped, counts, points), at)
+        assert found.slope == pytest.approx(slope, rel=1e-4, abs=1e-6)
+        assert found.curve == pytest.approx(curve, rel=1e-4, abs=1e-6)
+    spent = clv.spend_rows(clv.repeat_customers(rows)).cache()
+    counts = clv._spend_counts(spent)
+    for at in ((6.25, 3.74, 15.44), (0.1, 1.1, 200.0)):
+        found = clv._spend_shapes(spent, counts, [at])[0]
+        slope, curve = numeric(lambda points: clv._spend_shapes(spent, counts, points), at)
+        assert found.slope == pytest.approx(slope, rel=1e-4, abs=1e-6)
+        assert found.curve == pytest.approx(curve, rel=1e-4, abs=1e-6)
+
+
+def test_a_fit_needs_few_jobs_and_ends_where_a_plain_one_does(spark, monkeypatch):
+    df = summary(spark, simulated_purchases(3000, r=0.8, alpha=20.0, a=0.9, b=2.5))
+    asked = []
+    shapes = clv._purchase_shapes
+    monkeypatch.setattr(clv, "_purchase_shapes", lambda *a, **k: asked.append(1) or shapes(*a, **k))
+    monkeypatch.setattr(clv, "START_HISTORIES", 500)
+    model, few = clv.fit_purchases(df), len(asked)
+    monkeypatch.setattr(clv, "_purchase_start", lambda grouped, scale, penalty, at: at)
+    asked.clear()
+    plain = clv.fit_purchases(df)
+    assert model.converged and model.lowest and few <= len(asked) / 2
+    for one, two in zip((model.r, model.alpha, model.a, model.b), (plain.r, plain.alpha, plain.a, plain.b)):
+        assert one == pytest.approx(two, rel=1e-5)
