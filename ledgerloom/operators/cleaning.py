@@ -143,10 +143,13 @@ def return_rates(tx: DataFrame) -> DataFrame:
     )
 
 
-def row_accounting(tx: DataFrame, lines: DataFrame, reference: Column) -> DataFrame:
+def row_accounting(
+    tx: DataFrame, lines: DataFrame, reference: Column, quarantine: DataFrame | None = None
+) -> DataFrame:
     """Rows and columns per stage; one conditional count over each input.
 
-    Capping keeps all rows and adds the amount, so the uncapped sale lines are counted.
+    Capping keeps all rows and adds the amount, so the uncapped sale lines are counted. With the
+    ``quarantine`` of a tolerant load its records are counted too, as ``quarantined``.
     """
     raw = tx.agg(
         F.count(F.lit(1)).alias("raw"), F.count("customer_id").alias("with_customer")
@@ -176,6 +179,12 @@ def row_accounting(tx: DataFrame, lines: DataFrame, reference: Column) -> DataFr
     width = F.when(F.col("s.stage").isin("raw", "with_customer"), len(tx.columns)).otherwise(
         len(lines.columns) + 1
     )
-    return raw.unionByName(cleaned).select(
+    counted = raw.unionByName(cleaned).select(
         F.col("s.stage").alias("stage"), F.col("s.rows").alias("rows"), width.alias("columns")
     )
+    if quarantine is None:
+        return counted
+    aside = quarantine.agg(F.count(F.lit(1)).alias("rows"))
+    return counted.unionByName(
+        aside.select(F.lit("quarantined").alias("stage"), "rows", F.lit(len(tx.columns)).alias("columns"))
+    )

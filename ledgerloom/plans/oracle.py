@@ -461,6 +461,30 @@ _define(
 
 _define("ruled_classes", _DEFS["classes"][0].replace("FROM guessed", "FROM ruled_guessed"), "ruled_guessed")
 
+# The export with records that cannot be read.
+_define(
+    "tx_faults",
+    """
+SELECT *, o % 109 = 0 AS c FROM (
+  SELECT *, s % 113 = 0 AS short, s % 101 = 0 AS q, s % 107 = 0 AS t, s % 103 = 0 AS p,
+         CAST(replace(invoice, 'C', '') AS BIGINT) AS o
+  FROM (SELECT *, CAST(stock_code AS BIGINT) AS s FROM tx_clean))""",
+    "tx_clean",
+)
+_define(
+    "tx_readable",
+    """
+SELECT invoice, stock_code, quantity, invoice_ts, price, CASE WHEN o % 50 <> 0 THEN customer_id END AS customer_id, is_return
+FROM tx_faults WHERE NOT (short OR q OR t OR p OR c)""",
+    "tx_faults",
+)
+_define(
+    "readable_lines",
+    "SELECT * FROM tx_readable WHERE customer_id IS NOT NULL AND NOT is_return AND quantity > 0 AND price > 0",
+    "tx_readable",
+)
+_TX_PLAIN = "invoice, stock_code, quantity, invoice_ts, price, customer_id"
+
 _CELLS = "ROUND(retention_pct, 6) AS retention_pct"
 _RFM = "customer_id, recency, frequency, ROUND(monetary, 2) AS monetary"
 _RFMT = "customer_id, frequency, recency, T, ROUND(monetary_value * 65536.0::DOUBLE) / 65536.0::DOUBLE AS monetary_value"
@@ -540,6 +564,32 @@ UNION ALL SELECT 'observation', COUNT(*), 8 FROM obs_dirty
 UNION ALL SELECT 'performance', COUNT(*), 8 FROM perf_dirty""",
         "tx_dirty", "known_dirty", "obs_dirty", "perf_dirty",
     ),
+    "load_tolerant": _sql(f"SELECT {_TX_PLAIN} FROM tx_readable", "tx_readable"),
+    "quarantine_counts": _sql(
+        """
+SELECT reason, CAST(SUM(n) AS BIGINT) AS rows FROM (
+  SELECT unnest(['shape', 'quantity', 'invoice_ts', 'price', 'customer_id', 'any']) AS reason,
+         unnest([short, NOT short AND q, NOT short AND t, NOT short AND p, NOT short AND c, short OR q OR t OR p OR c])::INT AS n
+  FROM tx_faults) GROUP BY reason HAVING SUM(n) > 0""",
+        "tx_faults",
+    ),
+    "row_accounting_tolerant": _sql(
+        """
+SELECT 'raw' AS stage, COUNT(*) AS rows, 7 AS columns FROM tx_readable
+UNION ALL SELECT 'with_customer', COUNT(customer_id), 7 FROM tx_readable
+UNION ALL SELECT 'sales', COUNT(*), 8 FROM readable_lines
+UNION ALL SELECT 'observation', COUNT(*), 8 FROM readable_lines WHERE invoice_ts <= (SELECT MAX(invoice_ts) - INTERVAL 6 MONTH FROM readable_lines)
+UNION ALL SELECT 'performance', COUNT(*), 8 FROM readable_lines WHERE invoice_ts > (SELECT MAX(invoice_ts) - INTERVAL 6 MONTH FROM readable_lines)
+UNION ALL SELECT 'quarantined', COUNT(*), 7 FROM tx_faults WHERE short OR q OR t OR p OR c""",
+        "tx_readable", "readable_lines", "tx_faults",
+    ),
+    "publish_outputs": _sql(
+        """
+SELECT 'rfm' AS table_name, COUNT(*) AS rows, ROUND(SUM(monetary), 1) AS total FROM rfm_clean
+UNION ALL SELECT 'cohort_counts', COUNT(*), ROUND(CAST(SUM(n_customers) AS DOUBLE), 1) FROM cells
+UNION ALL SELECT 'retention', COUNT(*), ROUND(SUM(retention_pct), 1) FROM retained""",
+        "rfm_clean", "cells", "retained",
+    ),
     "write_outputs": _sql(
         """
 SELECT 'rfm' AS table_name, COUNT(*) AS rows, ROUND(SUM(monetary), 1) AS total FROM rfm_clean

@@ -23,8 +23,11 @@ from ledgerloom.plans.pins import (
 from ledgerloom.plans.report import place_churn, report_tables, score_churn, value_customers
 from ledgerloom.session import delete_path, stage, staged_path
 from ledgerloom.sources import (
+    load_tolerant,
     order_lines,
+    publish_outputs,
     purchase_events,
+    read_published,
     split_extracts,
     union_extracts,
     write_outputs,
@@ -110,6 +113,69 @@ def _write(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, rows bigint, total double")
 
 
+def _messy_export(spark: SparkSession, folder: str) -> str:
+    """The order lines as a text export with records that cannot be read, by rule."""
+    raw = order_lines(spark, folder)
+    part, order = F.col("stock_code").cast("long"), F.regexp_replace("invoice", "C", "").cast("long")
+    fields = [
+        "invoice",
+        "stock_code",
+        F.when(part % 101 == 0, "many").otherwise(F.col("quantity").cast("string")),
+        F.when(part % 107 == 0, "31.02.1996").otherwise(F.date_format("invoice_ts", "dd.MM.yyyy HH:mm")),
+        F.when(part % 103 == 0, "12,5").otherwise(F.col("price").cast("string")),
+        F.when(order % 109 == 0, "C-17").when(order % 50 != 0, F.concat(F.col("customer_id").cast("string"), F.lit(".0"))).otherwise(""),
+    ]
+    line = F.when(part % 113 == 0, F.concat_ws(";", "invoice", "stock_code")).otherwise(F.concat_ws(";", *fields))
+    path = staged_path(spark, "export")
+    raw.select(line.alias("value")).write.text(path)
+    return path
+
+
+def _messy_load(spark: SparkSession, folder: str):
+    columns = {c: c for c in ("invoice", "stock_code", "quantity", "invoice_ts", "price", "customer_id")}
+    return load_tolerant(
+        spark, [_messy_export(spark, folder)], "csv", columns, {"sep": ";"}, ["dd.MM.yyyy HH:mm"]
+    )
+
+
+@query("load_tolerant")
+def _load_tolerant(spark: SparkSession, folder: str) -> DataFrame:
+    """The log that a messy export leaves."""
+    return _messy_load(spark, folder).tx
+
+
+@query("quarantine_counts")
+def _quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    return _messy_load(spark, folder).counts()
+
+
+@query("row_accounting_tolerant")
+def _accounting_tolerant(spark: SparkSession, folder: str) -> DataFrame:
+    loaded = _messy_load(spark, folder)
+    log = TransactionLog(cleaning.flag_returns(loaded.tx))
+    return cleaning.row_accounting(log.raw, log.staged_lines, log.reference, loaded.quarantine)
+
+
+@query("publish_outputs")
+def _publish(spark: SparkSession, folder: str) -> DataFrame:
+    """Publish tables, replace the mature cohorts of one, and report what readers find."""
+    log = TransactionLog(order_lines(spark, folder), reuse=True)
+    made = report_tables(log)
+    target, by = staged_path(spark, "published"), {"retention": "cohort_month"}
+    publish_outputs(spark, {n: made[n] for n in ("rfm", "cohort_counts", "retention")}, target, by)
+    publish_outputs(spark, {"retention": made["retention_mature"]}, target, by, update=["retention"])
+    found = [
+        read_published(spark, target, name).agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.round(F.sum(F.expr(WRITTEN_MEASURES[name])), 1).cast("double").alias("total"),
+        ).select(F.lit(name).alias("table_name"), "rows", "total")
+        for name in ("rfm", "cohort_counts", "retention")
+    ]
+    rows = union_extracts(*found).collect()  # one row per table
+    delete_path(spark, target)
+    return spark.createDataFrame(rows, "table_name string, rows bigint, total double")
+
+
 WRITTEN_MEASURES = {
     "rfm": "monetary",
     "rfm_scaled": "abs(z_recency)",
