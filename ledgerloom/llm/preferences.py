@@ -78,17 +78,21 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 def stale_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chosen, rejected) for conversations that have a single course each.
 
-    Chosen is a conversation up to its last answer (the last assistant turn). Rejected is the same
-    with a stale answer: the words of the assistant turn before, or, if there is none, of the
-    last turn before it, or nothing. Conversations without an assistant turn make no pair.
+    Chosen is the conversation. Rejected ends at the last answer (the last assistant turn) and has a
+    stale one there: the words of the assistant turn before, or, if there is none, of the last turn
+    before it, or nothing. Turns after the last answer are on the chosen side alone, where they are
+    masked as all turns of others. Without an assistant turn both sides are the whole conversation,
+    which makes a prompt alone. Of several rows of one turn the stale words are the greatest; repeated
+    rows count once.
     """
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("pair_id"), "turn",
         F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
     ).filter("pair_id IS NOT NULL AND turn IS NOT NULL")
     answers = F.when(F.col("role") == "assistant", F.col("turn"))
-    last = stage(rows.groupBy("pair_id").agg(F.max(answers).alias("last")).filter("last IS NOT NULL"), "last")
+    last = stage(rows.groupBy("pair_id").agg(F.max(answers).alias("last")), "last")
     marked = rows.join(last, "pair_id")
+    last = last.filter("last IS NOT NULL")
     earlier = marked.filter("turn < last").select(
         "pair_id", "last", F.struct((F.col("role") == "assistant").alias("own"), "turn", "text").alias("e")
     )
@@ -100,9 +104,8 @@ def stale_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.coalesce("e.text", F.lit("")).alias("text"),
         )
     )
-    chosen = marked.filter("turn <= last").select(*_TURN)
-    rejected = marked.filter("turn < last").select(*_TURN).union(stale)
-    return chosen, rejected
+    rejected = marked.filter("last IS NULL OR turn < last").select(*_TURN).union(stale)
+    return rows.select(*_TURN), rejected
 
 
 OP8_SQL = """
@@ -111,8 +114,8 @@ WITH r AS (SELECT DISTINCT conv_id AS pair_id, turn, coalesce(role, '') AS role,
 l AS (SELECT pair_id, max(turn) AS last FROM r WHERE role = 'assistant' GROUP BY pair_id),
 e AS (SELECT pair_id, text, row_number() OVER (PARTITION BY pair_id
   ORDER BY role = 'assistant' DESC, turn DESC, text DESC) AS k FROM r JOIN l USING (pair_id) WHERE turn < last),
-c AS (SELECT r.* FROM r JOIN l USING (pair_id) WHERE turn <= last),
-j AS (SELECT r.* FROM r JOIN l USING (pair_id) WHERE turn < last
+c AS (SELECT * FROM r),
+j AS (SELECT r.* FROM r LEFT JOIN l USING (pair_id) WHERE last IS NULL OR turn < last
   UNION ALL SELECT l.pair_id, l.last, 'assistant', coalesce(e.text, '') FROM l LEFT JOIN e ON e.pair_id = l.pair_id AND k = 1),
 diff AS ((SELECT * FROM c EXCEPT SELECT * FROM j) UNION ALL (SELECT * FROM j EXCEPT SELECT * FROM c)),
 p AS (SELECT pair_id, min(turn) AS parting FROM diff GROUP BY pair_id),

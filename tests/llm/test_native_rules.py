@@ -108,8 +108,14 @@ def test_stale_answers(spark):
     made = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     chosen, rejected = preferences.stale_answers(made)
     last = {r["pair_id"]: r["text"] for r in rejected.orderBy("turn").collect()}
-    assert last == {1: "a", 2: "q", 3: ""}
-    assert sorted(r["turn"] for r in chosen.filter("pair_id = 1").collect()) == [0, 1, 2, 3]
+    assert last == {1: "a", 2: "q", 3: "", 4: "q"}
+    assert sorted(r["turn"] for r in chosen.filter("pair_id = 1").collect()) == [0, 1, 2, 3, 4]
+    found = preferences.format_preferences(chosen, rejected).collect()
+    told = {(r["pair_id"], r["section"], r["turn"]): r["trained"] for r in found}
+    assert told[1, "chosen", 3] and told[1, "rejected", 3] and told[1, "chosen", 4] is False
+    assert {k: v for k, v in told.items() if k[0] == 4} == {(4, "prompt", 0): False}
+    # Every turn is there: in the prompt or on the chosen side.
+    assert sum(r["section"] != "rejected" for r in found) == sum(r[0] is not None for r in rows)
 
 
 def words(text):
