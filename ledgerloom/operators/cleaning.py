@@ -15,6 +15,7 @@ from ledgerloom.constants import (
     RETURN_PREFIX,
 )
 from ledgerloom.functions import exact_quantiles, ntz
+from ledgerloom.functions.sketches import column_sketches, merged_quantiles
 
 CAPPED = ("quantity", "price")
 
@@ -94,6 +95,25 @@ def profile_sales(
     return SalesProfile(seen["rows"], seen["last_ts"], {c: tuple(found[c]) for c in CAPPED})
 
 
+def sketch_sales(lines: DataFrame) -> DataFrame:
+    """What a sketched profile needs of an extract, a small table to keep: a row per capped column."""
+    return column_sketches(lines, CAPPED, {"rows": F.count(F.lit(1)), "last_ts": F.max("invoice_ts")})
+
+
+def profile_from_sketches(
+    sketches: DataFrame, quantiles: tuple[float, float] = CAP_QUANTILES
+) -> SalesProfile:
+    """The profile of all extracts that ``sketches`` (stacked from ``sketch_sales``) were made of.
+
+    Its caps are approximate: the rank of each is off by at most ``RANK_ERROR`` of the rows. Nothing
+    of the extracts themselves is read. :func:`profile_sales` is exact and the default everywhere.
+    """
+    caps = merged_quantiles(sketches, quantiles)
+    seen = sketches.where(F.col("column") == CAPPED[0]).agg(F.sum("rows").alias("rows"), F.max("last_ts").alias("last_ts"))
+    row = seen.first()
+    return SalesProfile(row["rows"] or 0, row["last_ts"], {c: tuple(caps.get(c, (None, None))) for c in CAPPED})
+
+
 def winsorize(lines: DataFrame, caps: dict[str, tuple[float | None, float | None]]) -> DataFrame:
     """Pull values outside the thresholds onto them; rows are kept."""
     return lines.withColumns(

@@ -26,11 +26,15 @@ class TransactionLog:
 
     For many tables, ``reuse=True`` also reduces the lines to invoices, once, and derives the
     others from those; only the product counts read the lines again.
+
+    A ``profile`` that is known already, such as one from sketches, takes the place of the exact one.
     """
 
-    def __init__(self, raw: DataFrame, reuse: bool = False):
+    def __init__(self, raw: DataFrame, reuse: bool = False, profile: cleaning.SalesProfile | None = None):
         self.raw = raw
         self.reuse = reuse
+        if profile is not None:
+            self.__dict__["profile"] = profile
         self.tx = cleaning.drop_missing_customer(raw)
         self.lines = cleaning.sale_lines(raw)
 

@@ -623,6 +623,11 @@ WHERE quantity > 0 AND price > 0 AND CAST(stock_code AS BIGINT) % 53 <> 0 AND CA
     "positive_lines": _sql(f"SELECT {_TX} FROM tx_dirty WHERE quantity > 0 AND price > 0", "tx_dirty"),
     "outlier_thresholds": _caps("clean"),
     "outlier_thresholds_dirty": _caps("dirty"),
+    "outlier_thresholds_sketched": _sql(
+        """
+SELECT unnest(['quantity', 'price']) AS column, COUNT(*) AS n, TRUE AS lo_near, TRUE AS hi_near FROM lines_clean""",
+        "lines_clean",
+    ),
     "winsorize": _sql(
         """
 SELECT invoice, stock_code, ROUND(quantity, 8) AS quantity, invoice_ts, ROUND(price, 8) AS price, customer_id, is_return

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.constants import CAP_QUANTILES
+from ledgerloom.functions.sketches import RANK_ERROR
 from ledgerloom.operators import actions, churn, cleaning, clv, cohorts, rfm, segments
 from ledgerloom.plans.log import TransactionLog
 from ledgerloom.plans.pins import (
@@ -240,6 +242,26 @@ def _thresholds_dirty(log: TransactionLog) -> DataFrame:
     return _caps_table(log.raw.sparkSession, log.profile)
 
 
+@over_log("outlier_thresholds_sketched")
+def _thresholds_sketched(log: TransactionLog) -> DataFrame:
+    """Approximate caps from stored sketches of two extracts, and whether their ranks are as near as stated."""
+    extracts = split_extracts(log.staged_tx, EXTRACT_BOUNDARY)
+    kept = [stage(cleaning.sketch_sales(cleaning.sale_lines(e)), "sketches") for e in extracts]
+    profile = cleaning.profile_from_sketches(union_extracts(*kept))
+    lines, checks = log.staged_lines, []
+    for c, caps in profile.caps.items():
+        for name, cap, share in zip(("lo", "hi"), caps, CAP_QUANTILES):
+            # Equal values share a range of ranks; the wanted one has to be near it.
+            below, upto = F.count_if(F.col(c) < cap) / F.count(c), F.count_if(F.col(c) <= cap) / F.count(c)
+            checks.append(((below <= share + RANK_ERROR) & (upto >= share - RANK_ERROR)).alias(f"{c}_{name}"))
+    told = lines.agg(F.count(F.lit(1)).alias("n"), *checks)
+    per_column = [
+        F.struct(F.lit(c).alias("column"), F.col("n"), F.col(f"{c}_lo").alias("lo_near"), F.col(f"{c}_hi").alias("hi_near"))
+        for c in profile.caps
+    ]
+    return told.select(F.inline(F.array(*per_column)))
+
+
 @over_log("winsorize")
 def _winsorize(log: TransactionLog) -> DataFrame:
     capped = cleaning.winsorize(log.staged_lines, log.profile.caps)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import exact_quantiles, ntz
+from ledgerloom.functions.sketches import RANK_ERROR
 from ledgerloom.operators import cleaning
 from ledgerloom.plans.log import TransactionLog
 from ledgerloom.sources import load_transactions, order_lines
@@ -163,3 +164,27 @@ def test_results_do_not_depend_on_partitioning(spark, folder):
     one = TransactionLog(log.coalesce(1)).rfm.withColumn("monetary", F.round("monetary", 4))
     many = TransactionLog(log.repartition(7)).rfm.withColumn("monetary", F.round("monetary", 4))
     assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
+
+
+def test_sketches_of_extracts_make_a_profile(spark, folder):
+    lines = cleaning.sale_lines(order_lines(spark, folder, dirty=True)).cache()
+    exact = cleaning.profile_sales(lines)
+    parts = [lines.where(F.col("stock_code").cast("long") % 3 == i) for i in range(3)] + [lines.where("false")]
+    kept = parts[0].sparkSession.createDataFrame([], cleaning.sketch_sales(lines).schema)
+    for part in parts:
+        kept = kept.unionByName(cleaning.sketch_sales(part))
+    found = cleaning.profile_from_sketches(kept)
+    assert (found.rows, found.last_ts) == (exact.rows, exact.last_ts)
+    for c in cleaning.CAPPED:
+        values = np.sort([r[0] for r in lines.select(c).collect()])
+        for value, share in zip(found.caps[c], (0.01, 0.99), strict=True):
+            low, high = (np.searchsorted(values, value, side) / len(values) for side in ("left", "right"))
+            assert low - RANK_ERROR <= share <= high + RANK_ERROR
+    log = TransactionLog(order_lines(spark, folder, dirty=True), profile=found)
+    assert log.sales.agg(F.max("price")).first()[0] == found.caps["price"][1]
+
+
+def test_sketches_of_nothing(spark):
+    none = spark.createDataFrame([], "invoice_ts timestamp_ntz, quantity double, price double")
+    found = cleaning.profile_from_sketches(cleaning.sketch_sales(none))
+    assert found == cleaning.SalesProfile(0, None, {"quantity": (None, None), "price": (None, None)})
