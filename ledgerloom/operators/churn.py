@@ -23,7 +23,8 @@ from ledgerloom.constants import (
     TEST_SHARE,
 )
 from ledgerloom.functions import elapsed_days
-from ledgerloom.functions.forest import Forest, churn_chances, forest_of, importances
+from ledgerloom.functions.forest import Forest, churn_chances, importances
+from ledgerloom.functions.grow_forest import grow_forest
 from ledgerloom.functions.partitions import steady_layout
 from ledgerloom.operators.cleaning import return_rates
 
@@ -180,7 +181,9 @@ def fit_model(
     bins: int = 256,
     memory_mb: int = 512,
 ) -> RandomForestClassificationModel:
-    """A random forest; many bins bring the split points close to exact ones.
+    """Spark's own random forest; many bins bring the split points close to exact ones.
+
+    ``functions.forest.forest_of`` turns it into a table of nodes.
 
     Bootstrap samples are drawn per partition, so rows are laid out by their number alone: the
     same rows grow the same forest on every cluster. A larger ``memory_mb`` per task lets a pass
@@ -200,9 +203,18 @@ def fit_model(
     return forest.fit(_assembled(spread, features))
 
 
-def fit_forest(train: DataFrame, features: Sequence[str] = CHURN_FEATURES, **options) -> Forest:
-    """The forest of :func:`fit_model` as a table of nodes."""
-    return forest_of(fit_model(train, features, **options), train.sparkSession)
+def fit_forest(
+    train: DataFrame,
+    features: Sequence[str] = CHURN_FEATURES,
+    trees: int = FOREST_TREES,
+    depth: int = FOREST_DEPTH,
+    seed: int = SEED,
+) -> Forest:
+    """A random forest with exact split points, as a table of nodes; see ``functions.grow_forest``.
+
+    The same rows grow the same forest however they are laid out. ``train`` should be staged.
+    """
+    return grow_forest(train, "customer_id", "is_churn", features, trees, depth, seed)
 
 
 def predict(forest: Forest, rows: DataFrame, features: Sequence[str] = CHURN_FEATURES) -> DataFrame:
