@@ -73,11 +73,12 @@ def test_language_of_held_out_documents(spark):
     assert found.count() == 1000 and found.filter("score NOT BETWEEN 0 AND 1 OR score IS NULL").count() == 0
 
 
-def test_kernel_counts_common_grams(monkeypatch):
-    monkeypatch.setattr(li, "SLICE_BYTES", 4)
-    texts = [b"abcab", b"abd", b"", b"xyz", b"ABCAB"]
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    there = li.presences(data, np.cumsum([0, *map(len, texts)]))
+def test_kernel_counts_common_grams():
+    texts = ["abcab", "abd", "", "xyz", "ABCAB", "да нет да", "漢字かな漢字", "é\U0001f600ñ"]
+    raw = [t.encode() for t in texts]
+    points, offsets = li.code_points(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert points.tolist() == [ord(c) for t in texts for c in t.lower()]
+    there = li.presences(points, offsets)
     grams = [{t.lower()[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in texts]
     assert there.sum(axis=1).tolist() == [len(g) for g in grams]
     common = there @ there.T
@@ -86,6 +87,36 @@ def test_kernel_counts_common_grams(monkeypatch):
     assert np.isclose(values[0, 1], common[0, 1] / np.sqrt(len(grams[0]) * len(grams[1])))
 
 
+def test_language_of_very_long_held_out_texts(spark, docs):
+    given = spark.read.parquet(f"{LARGER}/documents.parquet")
+    model = li.fit_languages(given)
+    held = given.filter(~li.learned_from(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 200))
+    rows, pairs = held.toPandas(), []
+    for i, (_, group) in enumerate(rows.groupby("lang")):
+        text = "\n".join(group["text"])
+        pairs.append((i, (text + "\n") * (3_000_000 // len(text) + 1)))
+    found = li.identify_languages(docs(pairs), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in found] == sorted(rows["lang"].unique())
+    assert min(r["score"] for r in found) > 0.7
+
+
+def test_every_language_is_learned(spark, docs):
+    draw = np.random.default_rng(3)
+    pairs, langs = [], []
+    for j in range(200):
+        words = ["".join(chr(97 + c) for c in draw.integers(0, 26, 4)) for _ in range(12)]
+        for _ in range(1 if j == 0 else 12):
+            langs.append(f"x{j:03d}")
+            pairs.append((len(pairs), " ".join(draw.choice(words, 40))))
+    made = spark.createDataFrame([(i, t, lang) for (i, t), lang in zip(pairs, langs, strict=True)], "doc_id long, text string, lang string")
+    model = li.fit_languages(made, texts=1000)
+    learned = {r["lang"] for r in made.filter(li.learned_from(F.col("doc_id"))).collect()}
+    assert model.languages == sorted(learned) and len(learned) > 195
+    found = li.identify_languages(made, model).join(made.select("doc_id", "lang"), "doc_id").toPandas()
+    found = found[found["lang"].isin(learned)]
+    assert (found["lang_pred"] == found["lang"]).mean() > 0.97
+
+
 def test_languages_of_messy_rows(spark, docs, messy):
     made = docs(messy, extra=True).unionByName(docs([(7, "123 456"), (8, "ñandú")], extra=True, lang=None))
     found = li.identify_languages(made, li.fit_languages(made)).collect()
