@@ -7,12 +7,15 @@ starts from the forward scores of the letters it has in common with the word bef
 score of a segmentation is the sum of its pieces' scores; letters without a piece are
 spelled in byte pieces.
 
-The vocabulary is a file with merge ranks as scores. Best sums of ranks are not what a merging
-encoder returns for every word; both decode to the same text.
+The score of a piece is the logarithm of its chance. Files of merging encoders hold merge ranks in its
+place, which say nothing when summed up; a piece of rank r then counts as one that Zipf's law gives a
+chance in proportion to 1 / (r + RANK_SHIFT). Nothing is trained for it. Best sums are not what a
+merging encoder returns for every word; both decode to the same text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +36,8 @@ _OWN_MARK = "\udc81"
 _CUT = re.compile("(?<! ) ")
 _WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 SLICE_BYTES = 4 << 20
+#: Mandelbrot's shift in Zipf's law.
+RANK_SHIFT = 2.7
 
 
 @dataclass
@@ -67,6 +72,9 @@ class Vocabulary:
                     raise ValueError("a piece goes across words")
                 ids[piece], scores[piece] = i, model.get_score(i)
                 spelled.append(piece.replace(MARK, " ").encode())
+        if all(s == round(s) for s in scores.values()):  # merge ranks, negated
+            total = sum(1 / (RANK_SHIFT - s) for s in scores.values())
+            scores = {piece: -math.log((RANK_SHIFT - s) * total) for piece, s in scores.items()}
         low = min((s for s in scores.values() if s > -1e8), default=0.0)
         for piece in ids:
             for j in range(1, len(piece)):

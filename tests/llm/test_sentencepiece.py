@@ -68,6 +68,14 @@ def test_decoding_agrees_with_the_library(vocabulary):
     assert sp.decode_ids([vocabulary.byte_ids[0xFF]], vocabulary) == "�"
 
 
+def test_words_stay_whole(vocabulary):
+    """Scores by rank give what a merging encoder gives for plain text."""
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sp.MODEL)
+    text = "the world of computers needs international cooperation and unbelievable results in mathematics"
+    assert sp.encode_texts([text], vocabulary)[0].tolist() == library.encode(text)
+    assert all(s < 0 for s in vocabulary.scores.values() if s is not None)
+
+
 def test_null_ids_and_empty_tables(spark, docs):
     rows = spark.createDataFrame([(1, None, "x"), (2, [], None)], "doc_id long, ids array<int>, decoded string")
     assert [r["decoded"] for r in sp.decode(rows).collect()] == ["", ""]
