@@ -241,29 +241,23 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    """The scan in SQL, with narrower gates: no UNDER, and whole words in place of PARTS."""
-    whole = {"bsd-2-clause": " bsd ", "cc0": " cc0 "}
-    listed = ",\n".join(
-        "({}, {}, '{}', '{}', '{}')".format(n, p, label, whole.get(label, key), regex)
-        for n, p, label, key, regex in rules()
-    )
+    """The scan in SQL from the rules alone, without gates."""
+    listed = ",\n".join("({}, {}, '{}', '{}')".format(n, p, label, regex) for n, p, label, _, regex in rules())
     base = ", ".join(f"('{label}', '{_pattern(phrase)}')" for label, phrase in BASE)
-    stems = " OR ".join(f"contains(s, '{stem.replace(' ', '  ')}')" for stem in STEMS)
     size = "CAST((length({0}) - length(replace({0}, ' ', ''))) / 2 AS INTEGER)"
     places = f"""
       SELECT *, coalesce(list_sum([{size.format("x")} FOR x IN string_split_regex(s, regex)[1:k]]), 0)
         + coalesce(list_sum([{size.format("x")} FOR x IN regexp_extract_all(s, regex)[1:k - 1]]), 0) AS low,
         {size.format("regexp_extract_all(s, regex)[k]")} AS n FROM"""
     return rf"""
-WITH rules(rule, priority, label, keyword, regex) AS (VALUES {listed}),
+WITH rules(rule, priority, label, regex) AS (VALUES {listed}),
 base(label, regex) AS (VALUES {base}),
 w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'),
   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 d AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, ' ' || array_to_string(words, '  ') || ' ' AS s FROM w),
-g AS (SELECT * FROM d WHERE {stems}),
-b AS ({places} (SELECT *, unnest(range(1, len(regexp_extract_all(s, regex)) + 1)) AS k FROM g, base)),
+b AS ({places} (SELECT *, unnest(range(1, len(regexp_extract_all(s, regex)) + 1)) AS k FROM d, base)),
 bb AS (SELECT doc_id, count(*) AS n, min(low) AS first, max(low) AS last FROM b GROUP BY doc_id),
-f AS ({places} (SELECT *, unnest(range(1, len(regexp_extract_all(s, regex)) + 1)) AS k FROM g, rules WHERE contains(s, keyword))),
+f AS ({places} (SELECT *, unnest(range(1, len(regexp_extract_all(s, regex)) + 1)) AS k FROM d, rules)),
 kept AS (SELECT * FROM f x WHERE NOT EXISTS (SELECT 1 FROM f y WHERE y.doc_id = x.doc_id AND y.low <= x.low
   AND y.low + y.n >= x.low + x.n AND (y.priority > x.priority OR (y.priority = x.priority
   AND (y.n > x.n OR (y.n = x.n AND y.rule < x.rule)))))),

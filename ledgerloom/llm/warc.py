@@ -17,7 +17,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.registry import query, table
@@ -211,14 +211,18 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _payloads(keep: bool):
-    """Take the payload out of whole blocks; drop it again unless ``keep``."""
+    """Put blocks together and take the payload out of them; drop it again unless ``keep``.
+
+    A record without a block, or whose blocks do not have its total length, has no payload.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths, digests, payloads = [], [], []
-            for kind, block in zip(batch["kind"].to_pylist(), batch["block"].to_pylist(), strict=True):
-                payload = None
-                if kind == "response" and block is not None:
+            for kind, total, blocks in zip(batch["kind"], batch["total"], batch["blocks"], strict=True):
+                payload, total = None, total.as_py()
+                block = b"".join(blocks.as_py()) if kind.as_py() == "response" and blocks.is_valid else None
+                if block is not None and total in (None, len(block)):
                     head, _, body = block.partition(b"\r\n\r\n")
                     framed = b"transfer-encoding: chunked" in head.lower()
                     payload = unchunked(body) if framed else body
@@ -244,11 +248,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     parts = files.select("content").mapInArrow(_decode, _SEGMENT_SQL)
-    fields = ["origin", "kind", "page_id", "url", "stated", "refers", "block"]
+    fields = ["origin", "kind", "page_id", "url", "stated", "refers", "total", "blocks"]
     head = lambda name: F.max(F.when(F.col("number") == 1, F.col(name))).alias(name)
-    joined: Column = F.expr(
-        "aggregate(transform(array_sort(parts), x -> x.block), cast('' AS binary), (a, x) -> concat(a, x))"
-    )
     reassembled = (
         parts.filter("number > 0")
         .groupBy("origin", "instance")
@@ -259,19 +260,17 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
             F.countDistinct("number").alias("seen"),
             F.collect_set(F.struct("number", "block")).alias("parts"),
         )
-        .withColumn("block", joined)
         .withColumn(
-            "block",
+            "blocks",
             F.when(
-                (F.col("last") == F.col("seen"))
-                & (F.size("parts") == F.col("seen"))
-                & (F.octet_length("block") == F.col("total")),
-                F.col("block"),
+                (F.col("last") == F.col("seen")) & (F.size("parts") == F.col("seen")) & F.col("total").isNotNull(),
+                F.transform(F.array_sort("parts"), lambda x: x["block"]),
             ),
         )
         .filter("kind IS NOT NULL")
     )
-    whole = parts.filter("number = 0").select(*fields).union(reassembled.select(*fields))
+    alone = parts.filter("number = 0").withColumns({"total": F.lit(None).cast("long"), "blocks": F.array("block")})
+    whole = alone.select(*fields).union(reassembled.select(*fields))
     found = whole.mapInArrow(
         _payloads(payloads),
         "origin string, kind string, page_id long, url string, stated string, refers string,"

@@ -77,6 +77,22 @@ def test_a_missing_segment_is_told(spark, rows, tmp_path):
     assert [r[0] for r in found] == [3] and found[0][1] is None and found[0][-1] is False
 
 
+def test_hundreds_of_segments(spark, tmp_path):
+    draw = random.Random(2)
+    text = "".join(draw.choices("abcdé\r\n <>", k=60_000)) * 170
+    rows = [(1, "u", text), (2, "u", text + "!"), (3, "u", text)]
+    path = tmp_path / "w"
+    warc.write_archives(pages(spark, rows), str(path))
+    numbers = [
+        int(line.split(b":")[1])
+        for f in path.glob("*.gz")
+        for line in gzip.open(f).read().split(b"\r\n")
+        if line.lower().startswith(b"warc-segment-number")
+    ]
+    assert max(numbers) > 300
+    assert read(spark, str(path)) == expected(rows)
+
+
 def test_empty_table(spark, tmp_path):
     warc.write_archives(pages(spark, []), str(tmp_path / "w"))
     assert read(spark, str(tmp_path / "w")) == []
