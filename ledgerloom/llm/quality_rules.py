@@ -19,8 +19,11 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 8
-#: A line that more documents of a host have is removed there.
-MAX_DOCUMENTS = 10
+#: A line that more documents of a host have, by number and by share of the host's, is removed there.
+MAX_DOCUMENTS = 5
+MAX_SHARE = 0.05
+#: Hosts whose counts are small enough to broadcast.
+_FEW_HOSTS = 1 << 16
 #: Share of its words that a document must keep.
 MIN_KEPT_SHARE = 0.5
 
@@ -104,25 +107,34 @@ def text_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(counted: DataFrame, max_documents: int) -> DataFrame:
-    """(host, line) of lines that more than ``max_documents`` documents of the host have."""
-    return (
+def frequent_lines(counted: DataFrame, max_documents: int, max_share: float = MAX_SHARE) -> DataFrame:
+    """(host, line) of lines in more documents than ``max_documents`` and ``max_share`` of their host."""
+    hosts = stage(counted.groupBy("host").agg(F.count(F.lit(1)).alias("of_host")), "hosts")
+    several = (
         counted.select("host", F.explode(F.array_distinct("lines.line")).alias("line"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("n_docs"))
         .filter(F.col("n_docs") > max_documents)
+    )
+    return (
+        several.join(F.broadcast(hosts) if hosts.count() <= _FEW_HOSTS else hosts, "host")
+        .filter(F.col("n_docs") > F.col("of_host") * max_share)
         .select("host", "line")
     )
 
 
 def quality_rules(
-    docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_kept_share: float = MIN_KEPT_SHARE
+    docs: DataFrame,
+    max_documents: int = MAX_DOCUMENTS,
+    min_kept_share: float = MIN_KEPT_SHARE,
+    max_share: float = MAX_SHARE,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, source, text) with its counts and the verdict.
 
     ``base_failed``: under 20 words, or over 30 % of the words in repeated 8-word windows.
-    ``kept``: the base passes and at least ``min_kept_share`` of the words are in lines that
-    at most ``max_documents`` documents of the same source have. Lines count as equal when
+    ``kept``: the base passes and at least ``min_kept_share`` of the words are in lines that few
+    documents of the same source have: at most ``max_documents`` of them, or ``max_share`` of all the
+    source has, which keeps the verdict level however large it is. Lines count as equal when
     their words are, A-Z lower-cased and digits alike; blank lines do not count.
 
     A null text has no words and fails; a null source is a host like the empty one. Repeated
@@ -130,7 +142,7 @@ def quality_rules(
     """
     keyed = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", "text")
     counted = stage(text_counts(keyed), "text_counts")
-    frequent = stage(frequent_lines(counted, max_documents), "frequent_lines")
+    frequent = stage(frequent_lines(counted, max_documents, max_share), "frequent_lines")
     lines = counted.select("row_id", "host", F.explode("lines").alias("l")).select(
         "row_id", "host", "l.line", "l.words"
     )
@@ -152,7 +164,11 @@ def quality_rules(
 
 
 def without_frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """The columns of ``docs``, with lines above the limit taken out of ``text``."""
+    """The columns of ``docs``, with lines above the limits taken out of ``text``.
+
+    Null texts and texts without such lines stay as they are; a null source is a host like the empty
+    one. Equal texts of a source are worked on once and repeated rows all stay; a text may end empty.
+    """
     rows, names = numbered(docs)
     text = F.col(names["text"])
     host = F.coalesce(F.col(names["source"]).cast("string"), F.lit(""))
@@ -189,7 +205,9 @@ rep AS (SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest(ran
 lines AS (SELECT doc_id, host, {_WORDS.format("translate(line, '" + UPPER + "123456789', '" + LOWERED + "000000000')")} AS lw
   FROM (SELECT doc_id, host, unnest(raw) AS line FROM w)),
 keyed AS (SELECT doc_id, host, array_to_string(lw, ' ') AS line, len(lw) AS words FROM lines),
-freq AS (SELECT host, line FROM keyed GROUP BY host, line HAVING count(DISTINCT doc_id) > {MAX_DOCUMENTS}),
+hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
+freq AS (SELECT host, line FROM keyed JOIN hosts USING (host) GROUP BY host, line, docs
+  HAVING count(DISTINCT doc_id) > {MAX_DOCUMENTS} AND count(DISTINCT doc_id) > docs * {MAX_SHARE}),
 gone AS (SELECT doc_id, sum(words) AS words, count(*) AS lines FROM keyed JOIN freq USING (host, line) GROUP BY doc_id),
 c AS (SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words,
   CAST(length(translate(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS BIGINT) AS word_chars,

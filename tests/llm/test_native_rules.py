@@ -64,6 +64,21 @@ def test_lines_are_counted_per_host(spark, docs):
     assert quality_rules.quality_rules(docs([])).count() == 0
 
 
+def test_limit_is_a_share_of_the_host(spark, docs):
+    """A line that a tenth of a host's documents have goes whatever their number; a twentieth may stay."""
+    line = "menu home about contact terms and all the other words that every page has at its foot"
+    own = lambda i: " ".join("".join(chr(97 + int(d)) for d in f"{i:04d}{j}") for j in range(10))
+    lost = {}
+    for n in (100, 400):
+        pairs = [(i, f"{line} {kind}\n{own(i)}" if share else own(i) + " " + own(i + 5000)) for i in range(n)
+                 for share, kind in [(i % 8 == 0, "a") if i % 2 == 0 else (i % 40 == 1, "b")]]
+        found = quality_rules.quality_rules(docs(pairs), max_documents=5).collect()
+        lost[n] = sum(r["removed_lines"] > 0 for r in found) / n
+        assert all(not r["kept"] for r in found if r["removed_lines"] and not r["base_failed"])
+        assert sum(r["removed_lines"] > 0 and not r["base_failed"] for r in found) == len(range(0, n, 8))
+    assert lost[100] == pytest.approx(lost[400], abs=0.01)
+
+
 TURNS = "pair_id long, turn long, role string, text string, side string, parting long"
 
 
