@@ -191,7 +191,7 @@ def test_license_scan(docs, messy):
 @pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - {"op5_suffix_dedup"}))
 def test_queries_agree_with_sql(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     ours = QUERIES[name](spark, folder)
     theirs = con.execute(ORACLE_SQL[name])
