@@ -6,7 +6,9 @@ between neighbouring values of the node itself. A split inside a bin cannot gain
 of the two ways to put the bin's classes on either side (the gain is convex in the counts), so only
 bins that could hold a better split are divided again, by their own values, until none is left. Bins
 are divided in 256 along the order of doubles, so no value takes more than eight rounds, however many
-rows there are. A node of few rows goes to one task, which grows all that is below it by sorting.
+rows there are. Where many intervals are open they are divided in fewer, so a task counts in some
+MOST_CELLS cells at most. A node of few rows goes to one task, which grows all that is below it by
+sorting; its rows travel as packed columns, some thousands to a row of the shuffle.
 
 Nothing depends on the layout of the rows: how often a row is in a tree's sample (Poisson, as drawing
 with replacement gives) is a hash of its key and the tree, and which features a node looks at is a hash
@@ -16,7 +18,7 @@ of the tree and the node. Nodes are numbered as in a heap, 1 the root, 2i and 2i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,16 @@ from ledgerloom.functions.forest import NODE_SCHEMA, Forest
 from ledgerloom.session import stage
 
 #: Weight from which a node is split by scans of all rows.
-LOCAL_WEIGHT = 1 << 17
+LOCAL_WEIGHT = 1 << 22
+#: Weight of the nodes that a task should get, where several are left.
+TASK_WEIGHT = 1 << 19
 BINS = 256
+#: Cells that open intervals are divided into together, as long as each gets a few.
+MOST_CELLS = 1 << 20
 #: Rows that a task walks down all trees at a time.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
+#: Rows of a batch that a task returns.
+BATCH_ROWS = 100_000
 LEAST_GAIN = 1e-12
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(15)])
 
@@ -86,13 +94,20 @@ def best_split(
     More are tried only while all so far are constant. Of equal gains the first feature in ``order``
     and the smallest split win.
     """
+    return _best_split(lambda f: x[:, f], label, weight, order, looked_at)
+
+
+def _best_split(
+    column: Callable[[int], np.ndarray], label: np.ndarray, weight: np.ndarray, order: np.ndarray, looked_at: int
+) -> tuple[float, int, float] | None:
     ones = weight * label
     n1 = float(ones.sum())
     n0 = float(weight.sum()) - n1
     best = None
     for tried, f in enumerate(order.tolist(), 1):
-        line = np.argsort(x[:, f], kind="stable")
-        values = x[line, f]
+        values = column(f)
+        line = np.argsort(values)  # sums at the cuts do not depend on the order of equal values
+        values = values[line]
         cuts = np.flatnonzero(values[1:] > values[:-1])
         if len(cuts):
             l1 = np.cumsum(ones[line])[cuts]
@@ -117,6 +132,7 @@ def grow_below(
     x: np.ndarray, label: np.ndarray, weight: np.ndarray, tree: int, top: int, depth: int, looked_at: int, seed: int
 ) -> list[tuple]:
     """Rows of NODE_SCHEMA for node ``top`` and all below it, grown from the rows at ``top``."""
+    columns = [np.ascontiguousarray(c) for c in x.T]
     lines, open_nodes = [], [(top, np.arange(len(x)))]
     while open_nodes:
         node, rows = open_nodes.pop()
@@ -125,12 +141,13 @@ def grow_below(
         n0 = float(w.sum()) - n1
         best = None
         if node < 1 << depth and n0 > 0 and n1 > 0:
-            best = best_split(x[rows], own, w, feature_order(seed, tree, node, x.shape[1]), looked_at)
+            order = feature_order(seed, tree, node, len(columns))
+            best = _best_split(lambda f: columns[f][rows], own, w, order, looked_at)
             if best is not None and best[0] <= LEAST_GAIN:
                 best = None
         lines.append(_line(tree, node, best, n0, n1))
         if best is not None:
-            low = x[rows, best[1]] <= best[2]
+            low = columns[best[1]][rows] <= best[2]
             open_nodes += [(2 * node + 1, rows[~low]), (2 * node, rows[low])]
     return lines
 
@@ -216,13 +233,24 @@ class _Growing:
         for j, (tree, node, _, _) in enumerate(nodes):
             wanted[tree, node] = j
         orders = [feature_order(self.seed, tree, node, self.width) for tree, node, _, _ in nodes]
+        # First the features that every node looks at; nodes where those are constant look at all.
+        looked = {j: order[: self.looked_at].tolist() for j, order in enumerate(orders)}
         best: dict[int, tuple] = {}
         # Open intervals: node, feature, smallest and largest value, class weights of the node below it.
         intervals: list[tuple] | None = None
         while intervals is None or intervals:
-            found = self._scan(level, wanted, nodes, orders, best, intervals).collect()
+            found = self._scan(level, wanted, nodes, orders, best, intervals, looked).collect()
+            if intervals is None:
+                constant = [r["j"] for r in found if r["feature"] < 0]
+                if constant:
+                    looked = {j: orders[j].tolist() for j in constant}
+                    bounds = self._bounds
+                    found += self._scan(level, wanted, nodes, orders, best, None, looked).collect()
+                    self._bounds |= bounds
             intervals = []
             for r in found:
+                if r["feature"] < 0:
+                    continue
                 if r["open"]:
                     intervals.append((r["j"], r["feature"], r["low"], r["high"], r["l0"], r["l1"]))
                 else:
@@ -245,64 +273,92 @@ class _Growing:
     def _worth(self, interval: tuple, nodes: list[tuple], best: dict[int, tuple]) -> bool:
         return interval[0] not in best or self._bounds[interval[:3]] >= -best[interval[0]][0]
 
-    def _scan(self, level, wanted, nodes, orders, best, intervals) -> DataFrame:
+    def _scan(self, level, wanted, nodes, orders, best, intervals, looked) -> DataFrame:
         """One round over all rows: for each node its best split between bins and the bins to divide.
 
         Rows: j, open, feature, low, high, l0, l1, gain. A split has its place in ``low``; an open bin its
-        ends, the weights below it and the most that a split inside could gain.
+        ends, the weights below it and the most that a split inside could gain. Without ``intervals`` the
+        features in ``looked`` (node -> features) are counted; a node where all of them are constant, while
+        there are others, gives a row with feature -1.
         """
         met, width, edges, looked_at = self.met(level, wanted), self.width, self.edges, self.looked_at
         held: dict[tuple[int, int], list[tuple]] = {}
         for j, f, low, high, l0, l1 in intervals or []:
             held.setdefault((j, f), []).append((low, high, l0, l1))
         first = intervals is None
-
-        def binned(values: np.ndarray, j: int, f: int) -> tuple[np.ndarray, np.ndarray]:
-            """(which values count, their bin): bins of an interval follow those of the ones before it."""
+        # The cells that are counted: intervals of (node, feature), each in ``step`` bins.
+        pairs = sorted((j, f) for j, fs in looked.items() for f in fs) if first else sorted(held)
+        bins_of = BINS if first else max(4, min(BINS, MOST_CELLS // len(intervals)))
+        step = bins_of + 1
+        slot_of = np.full((len(nodes), width), -1, np.int64)
+        for i, (j, f) in enumerate(pairs):
+            slot_of[j, f] = i
+        parts = [(j, f, i, *own) for j, f in pairs for i, own in enumerate([()] if first else sorted(held[j, f]))]
+        part_slot = slot_of[[p[0] for p in parts], [p[1] for p in parts]] if parts else np.zeros(0, np.int64)
+        part_feature = np.array([p[1] for p in parts], np.int64)
+        part_number = np.array([p[2] for p in parts], np.int64)
+        part_node = np.array([p[0] for p in parts], np.int64)
+        if first:
+            part_low = part_high = np.zeros(len(parts))
+        else:
+            part_low, part_high = (np.array([p[k] for p in parts], float) for k in (3, 4))
+        start = _ordered(part_low).view(np.uint64)
+        wide = (_ordered(part_high).view(np.uint64) - start) // np.uint64(bins_of) + np.uint64(1)
+        # Intervals in the order of (node and feature, low), the lows as ranks among all of the feature.
+        lows = [np.unique(part_low[part_feature == f]) for f in range(width)]
+        most = max(map(len, lows), default=0) + 1
+        rank = np.zeros(len(parts), np.int64)
+        for f in range(width):
+            own = part_feature == f
+            rank[own] = np.searchsorted(lows[f], part_low[own], side="right")
+        part_key = part_slot * most + rank
+
+        def cells_of(x: np.ndarray, row: np.ndarray, slot: np.ndarray, f: int) -> tuple[np.ndarray, np.ndarray]:
+            """(which pairs of row and node count, their cells)."""
+            values = x[:, f]
             if first:
-                return np.ones(len(values), bool), np.searchsorted(edges[f], values, side="left")
-            own = sorted(held[j, f])
-            low, high = (np.array([i[k] for i in own]) for k in (0, 1))
-            at = np.searchsorted(low, values, side="right") - 1
-            inside = (at >= 0) & (values <= high[np.maximum(at, 0)])
-            at = np.maximum(at, 0)
-            start, end = _ordered(low).astype(object), _ordered(high).astype(object)
-            steps = [max(1, (b - a) // BINS + 1) for a, b in zip(start.tolist(), end.tolist())]
-            offset = (_ordered(values).view(np.uint64) - _ordered(low)[at].view(np.uint64)) // np.array(steps, np.uint64)[at]
-            return inside, at * (BINS + 1) + np.minimum(offset, np.uint64(BINS)).astype(np.int64)
+                return np.arange(len(row)), slot * step + np.searchsorted(edges[f], values, side="left")[row]
+            at = np.searchsorted(part_key, slot * most + np.searchsorted(lows[f], values, side="right")[row], side="right") - 1
+            held_at = np.maximum(at, 0)
+            inside = np.flatnonzero((at >= 0) & (part_slot[held_at] == slot) & (values[row] <= part_high[held_at]))
+            at = at[inside]
+            offset = (_ordered(values).view(np.uint64)[row[inside]] - start[at]) // wide[at]
+            return inside, at * step + np.minimum(offset, np.uint64(bins_of)).astype(np.int64)
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells = len(parts) * step
+            n0, n1 = np.zeros(cells), np.zeros(cells)  # sums of integers, exact in doubles
+            low, high = np.full(cells, np.inf), np.full(cells, -np.inf)
             for x, row, label, _, weight, number in met(batches):
-                order = np.argsort(number, kind="stable")
-                starts = np.flatnonzero(np.diff(number[order], prepend=-1))
-                out = []
-                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
-                    mine = order[a:b]
-                    j = int(number[mine[0]])
-                    for f in range(width):
-                        if not first and (j, f) not in held:
-                            continue
-                        values = x[row[mine], f]
-                        inside, bins = binned(values, j, f)
-                        line = np.flatnonzero(inside)
-                        if not len(line):
-                            continue
-                        line = line[np.argsort(bins[line], kind="stable")]
-                        cuts = np.flatnonzero(np.diff(bins[line], prepend=-1))
-                        w = weight[mine][line]
-                        ones = w * label[mine][line]
-                        n, n1 = np.add.reduceat(w, cuts), np.add.reduceat(ones, cuts)
-                        v = values[line]
-                        out.append(
-                            (
-                                np.full(len(cuts), j), np.full(len(cuts), f), bins[line][cuts], n - n1, n1,
-                                np.minimum.reduceat(v, cuts), np.maximum.reduceat(v, cuts),
-                            )
-                        )
-                if out:
-                    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                    arrays = [pa.array(c.astype(np.int64)) for c in columns[:5]] + [pa.array(c) for c in columns[5:]]
-                    yield pa.RecordBatch.from_arrays(arrays, ["j", "feature", "bin", "n0", "n1", "low", "high"])
+                for f in range(width):
+                    slot = slot_of[number, f]
+                    mine = np.flatnonzero(slot >= 0)
+                    if not len(mine):
+                        continue
+                    inside, cell = cells_of(x, row[mine], slot[mine], f)
+                    mine = mine[inside]
+                    if not len(mine):
+                        continue
+                    # Weights of the pairs, by class; the cells of this feature only.
+                    some, back = np.unique(cell, return_inverse=True) if len(mine) * 4 < cells else (None, cell)
+                    size = cells if some is None else len(some)
+                    ones = label[mine] * weight[mine]
+                    for total, w in ((n1, ones), (n0, weight[mine] - ones)):
+                        sums = np.bincount(back, w, size)
+                        if some is None:
+                            total += sums
+                        else:
+                            total[some] += sums
+                    values = x[row[mine], f]
+                    np.minimum.at(low, cell, values)
+                    np.maximum.at(high, cell, values)
+            met_cells = np.flatnonzero(low <= high)
+            for a in range(0, len(met_cells), BATCH_ROWS):
+                cell = met_cells[a : a + BATCH_ROWS]
+                part, place = np.divmod(cell, step)
+                columns = [part_node[part], part_feature[part], part_number[part] * step + place, n0[cell], n1[cell]]
+                arrays = [pa.array(c.astype(np.int64)) for c in columns] + [pa.array(c[cell]) for c in (low, high)]
+                yield pa.RecordBatch.from_arrays(arrays, ["j", "feature", "bin", "n0", "n1", "low", "high"])
 
         known = {j: (-b[0], b[1], b[2]) for j, b in best.items()}
 
@@ -315,7 +371,7 @@ class _Growing:
                 if f in bins:
                     number, w0, w1, low, high = bins[f]
                     own = sorted(held[j, f]) if not first else [(0.0, 0.0, 0.0, 0.0)]
-                    part = np.zeros(len(number), np.int64) if first else number // (BINS + 1)
+                    part = np.zeros(len(number), np.int64) if first else number // step
                     for i, (_, _, b0, b1) in enumerate(own):
                         mine = np.flatnonzero(part == i)
                         if not len(mine):
@@ -337,6 +393,8 @@ class _Growing:
                         ]
                 if first and tried >= looked_at and varied:
                     break
+            if first and not varied and len(looked[j]) < width:
+                yield j, False, -1, 0.0, 0.0, 0.0, 0.0, 0.0
             yield from lines
             yield from (o for o in opened if o[-1] >= max(top, LEAST_GAIN))
 
@@ -385,52 +443,77 @@ class _Growing:
         }
         return found
 
-    def below(self, level: int, nodes: list[tuple[int, int]]) -> DataFrame:
-        """All nodes at and below the small ``nodes`` (tree, node), each grown by one task."""
+    def below(self, level: int, nodes: list[tuple[int, int, float]]) -> DataFrame:
+        """All nodes at and below the small ``nodes`` (tree, node, weight), each grown by one task."""
         wanted = np.full(self.feature.shape, -1, np.int32)
-        for tree, node in nodes:
-            wanted[tree, node] = node
+        for j, (tree, node, _) in enumerate(nodes):
+            wanted[tree, node] = j
+        places = np.array([(tree, node) for tree, node, _ in nodes], np.int64)
         met, width = self.met(level, wanted), self.width
         depth, looked_at, seed = self.depth, self.looked_at, self.seed
+        packed = ["label", "weight", *[f"x{i}" for i in range(width)]]
+        few = np.int16 if len(nodes) < 1 << 15 else np.int32  # short numbers are sorted by radix
 
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x, row, label, tree, weight, node in met(batches):
-                columns = [tree.astype(np.int64), node.astype(np.int64), label.astype(np.int64), weight.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in [*columns, *x[row].T]], ["tree", "node", "label", "weight", *[f"x{i}" for i in range(width)]]
-                )
+            for x, row, label, _, weight, number in met(batches):
+                order = np.argsort(number.astype(few), kind="stable")
+                number = number[order]
+                starts = np.flatnonzero(np.diff(number, prepend=-1))
+                ends = [*starts[1:].tolist(), len(order)]
+                whole = [label[order].astype(np.uint8), weight[order].astype(np.uint8)]
+                for column in x.T:
+                    with np.errstate(invalid="ignore"):
+                        short = column.astype(np.int32)  # half the bytes where it says the same
+                    column = short if (short == column).all() else column
+                    whole.append(column[row[order]])
+                columns = [pa.array([c[a:b].tobytes() for a, b in zip(starts.tolist(), ends, strict=True)], pa.binary()) for c in whole]
+                at = places[number[starts]]
+                yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), *columns], ["tree", "node", *packed])
 
         names = [n.split()[0] for n in NODE_SCHEMA.split(", ")]
         kinds = [pa.int32() if " int" in n else pa.float64() for n in NODE_SCHEMA.split(", ")]
 
+        def unpacked(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            label, weight, *x = ([v.as_buffer() for b in parts for v in b.column(c)] for c in packed)
+            sizes = [v.size for v in label]
+            values = np.empty((width, sum(sizes)))
+            for own, column in zip(values, x, strict=True):
+                at = 0
+                for n, v in zip(sizes, column, strict=True):
+                    own[at : at + n] = np.frombuffer(v, np.int32 if v.size == 4 * n else np.float64)
+                    at += n
+            return values.T, *(np.concatenate([np.frombuffer(v, np.uint8) for v in c]).astype(float) for c in (label, weight))
+
         def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def one(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-                tree, node, label, weight, *x = (np.concatenate(c) for c in zip(*parts, strict=True))
-                lines = grow_below(np.stack(x, axis=1), label, weight, int(tree[0]), int(node[0]), depth, looked_at, seed)
+            def one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+                tree, node = (parts[0].column(c)[0].as_py() for c in (0, 1))
+                lines = grow_below(*unpacked(parts), tree, node, depth, looked_at, seed)
                 return pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*lines, strict=True), kinds, strict=True)], names
                 )
 
             parts, last = [], None
             for batch in batches:
-                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-                if not len(columns[0]):
+                if not batch.num_rows:
                     continue
-                own = columns[0] * (2 << depth) + columns[1]
+                own = batch.column(0).to_numpy() * (2 << depth) + batch.column(1).to_numpy()
                 starts = np.flatnonzero(np.diff(own, prepend=-1))
                 for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(own)], strict=True):
                     if own[a] != last and parts:
                         yield one(parts)
                         parts = []
                     last = own[a]
-                    parts.append([c[a:b] for c in columns])
+                    parts.append(batch.slice(a, b - a))
             if parts:
                 yield one(parts)
 
-        schema = ", ".join(["tree long, node long, label long, weight long", *[f"x{i} double" for i in range(width)]])
+        schema = ", ".join(["tree long, node long", *[f"{c} binary" for c in packed]])
+        # Tasks by the rows that they get, whatever the bytes look like to adaptive execution.
+        total = sum(n for _, _, n in nodes)
+        tasks = min(len(nodes), max(self.rows.sparkSession.sparkContext.defaultParallelism, math.ceil(total / TASK_WEIGHT)))
         return (
             self.rows.mapInArrow(dealt, schema)
-            .repartition("tree", "node")
+            .repartition(tasks, "tree", "node")
             .sortWithinPartitions("tree", "node")
             .mapInArrow(grown, NODE_SCHEMA)
         )
@@ -456,7 +539,7 @@ def grow_forest(
         for node in nodes:
             tree, place, n0, n1 = node
             if n0 + n1 <= LOCAL_WEIGHT and n0 + n1 > 0:
-                small.append((tree, place))
+                small.append((tree, place, n0 + n1))
             elif level == depth or n0 == 0 or n1 == 0:
                 growing.lines.append(_line(tree, place, None, n0, n1))
             else:

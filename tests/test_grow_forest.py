@@ -102,6 +102,31 @@ def test_the_same_forest_whatever_the_partitions(spark):
     assert told(gf.grow_forest(rows, "id", "label", FEATURES, 4, 5, 4)) != told(one)
 
 
+def test_rows_of_small_nodes_travel_packed(spark, monkeypatch):
+    """A row of the shuffle per node and block of rows, not one per row and tree."""
+    rows = table(spark, *customers(900)).coalesce(1)
+    sent = []
+    plain = type(rows).repartition
+
+    def counted(self, *a):
+        if a[-2:] == ("tree", "node"):
+            sent.append(self.count())
+        return plain(self, *a)
+
+    monkeypatch.setattr(type(rows), "repartition", counted)
+    gf.grow_forest(rows, "id", "label", FEATURES, 3, 4, 42)
+    assert sent == [3]
+
+
+def test_constant_features_are_passed_over(spark, monkeypatch):
+    """A node whose first features are constant looks at the others, by scans as by sorting."""
+    monkeypatch.setattr(gf, "LOCAL_WEIGHT", 1)
+    keys, label, x = customers(300)
+    x[:, 1:] = 2.5
+    forest = gf.grow_forest(table(spark, keys, label, x), "id", "label", FEATURES, 4, 2, 42, looked_at=1)
+    assert told(forest) == by_hand(keys, label, x, 4, 2, 1, 42)
+
+
 def test_samples_are_like_drawing_with_replacement():
     weight = np.stack([gf.sample_weights(np.arange(20000), t, 42) for t in range(5)])
     assert weight.mean() == pytest.approx(1, abs=0.01) and weight.var() == pytest.approx(1, abs=0.03)
