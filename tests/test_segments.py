@@ -52,6 +52,18 @@ def test_silhouette_follows_the_definition(spark, block_rows):
         assert row["silhouette"] == pytest.approx(brute_silhouette(local[COLUMNS], local[name]))
 
 
+def test_silhouette_of_near_customers_far_from_the_origin(spark):
+    """Distances taken as products keep their digits where customers nearly coincide."""
+    draw = np.random.default_rng(3)
+    at = np.repeat(draw.normal(1e3, 1, (6, 3)), 20, axis=0) + draw.normal(0, 1e-6, (120, 3))
+    labels = np.arange(120) // 20 % 2
+    rows = [(i, *map(float, p), int(c)) for i, (p, c) in enumerate(zip(at, labels))]
+    df = spark.createDataFrame(rows, ["customer_id", *COLUMNS, "c"])
+    got = segments.silhouette(df, {2: "c"}, block_rows=50).first()["silhouette"]
+    assert got == pytest.approx(brute_silhouette(at, labels), rel=1e-9)
+    assert segments.BLOCK_ROWS >= 1 << 16  # every row meets all blocks, so large tables need few of them
+
+
 def test_silhouette_of_identical_customers(spark):
     rows = [(i, 0.0, 0.0, 0.0, i % 2) for i in range(6)]
     df = spark.createDataFrame(rows, "customer_id long, z_recency double, z_frequency double, z_monetary double, c int")
