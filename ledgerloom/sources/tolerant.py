@@ -15,6 +15,7 @@ from ledgerloom.sources.transactions import TEXT_FORMATS, TX_COLUMNS, TX_SCHEMA,
 #: A record of another shape than the declared one: too few or too many fields, or no record at all.
 SHAPE = "shape"
 _RAW = "_raw_record"
+_REASONS = "_raw_reasons"
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,10 @@ class Loaded:
         return self.quarantine.select(reasons.alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _value(name: str) -> str:
+    return f"_value_of_{name}"
+
+
 def _typed(text: Column, name: str, kind: T.DataType, formats: Sequence[str]) -> Column:
     """The value that ``text`` stands for, or null."""
     if isinstance(kind, T.StringType):
@@ -86,23 +91,26 @@ def load_tolerant(
 
     def read(path: str) -> DataFrame:
         raw = reader.load(path)
-        values, faults = {}, [F.when(F.col(f"`{_RAW}`").isNotNull(), F.lit(SHAPE))]
+        # In steps, for the text of a record to be taken apart once: a column that is used several times
+        # and is not cheap stays a column.
+        taken = raw.withColumns(
+            {_value(t): _typed(F.col(f"`{s}`"), t, types[t], timestamp_formats) for s, t in wanted.items()}
+        )
+        faults = [F.when(F.col(f"`{_RAW}`").isNotNull(), F.lit(SHAPE))]
         for source, target in wanted.items():
             text = F.col(f"`{source}`")
-            values[target] = _typed(text, target, types[target], timestamp_formats)
             absent = text.isNull() | F.lower(F.trim(text)).isin("", "nan", "null")
-            odd = ~absent & values[target].isNull() & F.col(f"`{_RAW}`").isNull()
+            odd = F.col(_value(target)).isNull() & ~absent & F.col(f"`{_RAW}`").isNull()
             faults.append(F.when(odd, F.lit(target)))
         fields = F.map_from_arrays(
             F.array(*[F.lit(s) for s in wanted]), F.array(*[F.col(f"`{s}`") for s in wanted])
         )
-        reasons = F.array_compact(F.array(*faults))
-        bad = F.size(reasons) > 0
-        return raw.select(
-            *[values[c].alias(c) for c in TX_COLUMNS],
+        judged = taken.withColumn(_REASONS, F.array_compact(F.array(*faults)))
+        return judged.select(
+            *[F.col(_value(c)).alias(c) for c in TX_COLUMNS],
             F.lit(path).alias("extract"),
-            reasons.alias("reasons"),
-            F.when(bad, fields).alias("fields"),
+            F.col(_REASONS).alias("reasons"),
+            F.when(F.size(_REASONS) > 0, fields).alias("fields"),
             F.col(f"`{_RAW}`").alias("record"),
         )
 

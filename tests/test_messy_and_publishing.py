@@ -149,3 +149,15 @@ def test_partitions_are_replaced_one_by_one(spark, tmp_path):
     assert read_published(spark, folder, "one").count() == 5
     with pytest.raises(ValueError):
         publish_outputs(spark, {"two": numbers(spark, 2)}, folder, update=["two"])
+
+
+def test_a_record_is_taken_apart_once(spark, tmp_path, monkeypatch):
+    """The format of timestamps stands in the plan once, however often their column is used."""
+    from ledgerloom.sources import tolerant
+
+    (tmp_path / "log.csv").write_text("536365;85123A;6;01.12.2010 08:26;2.55;17850.0\n")
+    seen = []
+    monkeypatch.setattr(tolerant, "stage", lambda df, name: seen.append(df) or df)
+    columns = {c: c for c in ("invoice", "stock_code", "quantity", "invoice_ts", "price", "customer_id")}
+    tolerant.load_tolerant(spark, [str(tmp_path / "log.csv")], "csv", columns, {"sep": ";"}, ["dd.MM.yyyy HH:mm"])
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("dd.MM.yyyy HH:mm") == 1
