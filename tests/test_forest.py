@@ -76,3 +76,20 @@ def test_walk_shuffles_a_row_per_customer(spark, customers):
     """Steps are joins with a broadcast table, and trees are averaged before the shuffle."""
     plan = churn.predict(ruled_forest(spark), stage(customers, "walked"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 0 and "partial_avg" in plan
+
+
+def test_walk_takes_rows_as_they_are(spark):
+    """Rows are not multiplied by trees; nodes without weight or that are not there count for nothing."""
+    nodes = [
+        (0, 0, 0, 1.5, 1, 2, 0.5, 4.0, 4.0),
+        (0, 1, None, None, None, None, None, 1.0, 3.0),
+        (0, 2, None, None, None, None, None, 0.0, 0.0),
+        (1, 0, 1, 0.0, 7, 8, 0.5, 4.0, 4.0),  # its child 7 is not there
+        (1, 8, None, None, None, None, None, 3.0, 1.0),
+    ]
+    forest = fo.Forest(spark.createDataFrame(nodes, fo.NODE_SCHEMA), 2, 1)
+    rows = spark.createDataFrame([(1, 1.0, 1.0), (2, 1.0, -1.0), (3, 2.0, 1.0), (4, 9.0, -1.0), (5, 1.0, None)], "id int, a double, b double")
+    scored = fo.churn_chances(forest, rows.union(rows), ["a", "b"])
+    assert {r["id"]: r["churn_probability"] for r in scored.collect()} == {1: 0.5, 2: 0.75, 3: 0.25, 4: None, 5: 0.5}
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Join" not in plan
