@@ -14,7 +14,8 @@ threshold. The join is exact and runs in these steps:
    has some thousand sets and a million shingles at most, or one set. The matrix of tokens by
    groups proposes pairs of groups. Parity sketches of 256 bits bound the difference of two
    sets from below, and a pair of groups goes on only if a pair of its sets, below that bound,
-   shares a token.
+   shares a token. Linked sets agree in several parts, the more the larger they are, so a set
+   goes on only if it shares as many tokens with the other group (its own, within a group).
 4. A proposed pair of groups is one small task. It holds each group's token union, bounds the
    overlap of every set with the other group's union, and opens the group only for sets that
    can still reach the threshold: these are counted exactly by a product of incidence
@@ -84,10 +85,11 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
-def _signs(words: int):
-    """Per document: size of its set, digest and sketch."""
+def _signs(words: int, num: int, den: int):
+    """Per document: size of its set, digest, sketch and the matrix rows that a linked set shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = SizeLevels(num, den)
         for batch in batches:
             ids = batch.column(0)
             for a, b, data, offsets in text_slices(batch.column(1)):
@@ -100,14 +102,15 @@ def _signs(words: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_digest(s) for s in sets], pa.binary()),
                         *(pa.array(sketches[:, j]) for j in range(4)),
+                        pa.array([least_shared(s, levels) for s in sets], pa.int64()),
                     ],
-                    ["doc_id", "text_hash", "n", "digest", "p0", "p1", "p2", "p3"],
+                    ["doc_id", "text_hash", "n", "digest", "p0", "p1", "p2", "p3", "need"],
                 )
 
     return run
 
 
-_SIGNS = "doc_id long, text_hash long, n long, digest binary, p0 long, p1 long, p2 long, p3 long"
+_SIGNS = "doc_id long, text_hash long, n long, digest binary, p0 long, p1 long, p2 long, p3 long, need long"
 
 
 class SizeLevels:
@@ -160,6 +163,24 @@ def part_tokens(tokens: np.ndarray, levels: SizeLevels) -> np.ndarray:
     return np.concatenate(rows) if rows else np.zeros(0, np.uint64)
 
 
+def least_shared(tokens: np.ndarray, levels: SizeLevels) -> int:
+    """Rows of the matrix that any other set linked with this one has in common with it, at least.
+
+    Linked sets agree in ``agree`` parts; those that are empty in both may be left out, and there are
+    no more of them than this set has empty ones, nor than ``agree - 1`` where a set leaves them out.
+    """
+    if not len(tokens):
+        return 0
+    own = levels.level(len(tokens))
+    least = []
+    for level in (own, own + 1):
+        m, agree = levels.parts(level)
+        if m:
+            part = (mix(tokens ^ constants(2, 100 + level)[0]) % np.uint64(m)).astype(np.int64)
+            least.append(max(1, agree - m + np.count_nonzero(np.bincount(part, minlength=m))))
+    return min(least, default=1)
+
+
 def _parts(words: int, num: int, den: int):
     """Per set its matrix rows; sets that come again in the same batch are left out."""
 
@@ -328,7 +349,7 @@ def _joined(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     )
     keyed = source.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
     spark = docs.sparkSession
-    signs = stage(source.mapInArrow(_signs(words), _SIGNS), "signs")
+    signs = stage(source.mapInArrow(_signs(words, num, den), _SIGNS), "signs")
     classes = (
         signs.filter("n > 0")
         .groupBy("digest")
@@ -336,7 +357,7 @@ def _joined(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("smallest"),
             F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("rep_id"), "text_hash")).alias("rep"),
             F.count(F.lit(1)).alias("members"),
-            *(F.min(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3")),
+            *(F.min(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3", "need")),
         )
         .withColumn(
             "class_id", F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
@@ -371,16 +392,21 @@ def _joined(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         classes.join(stage(divided, "divided"), "leader").select(
             "digest", "class_id",
             F.xxhash64("leader", F.pmod(F.xxhash64("digest"), "shares")).alias("group_id"),
-            "smallest", "rep.rep_id", "rep.text_hash", "members", "n", "p0", "p1", "p2", "p3",
+            "smallest", "rep.rep_id", "rep.text_hash", "members", "n", "p0", "p1", "p2", "p3", "need",
         ),
         "grouped",
     )
     # Tokens that lie in one group alone have done their work; the others get the sketches.
     placed = matrix.select("token", "class_id").join(classes.select("class_id", "group_id"), "class_id")
-    astride = placed.selectExpr(
-        "token", "class_id", "group_id",
-        "min(group_id) OVER (PARTITION BY token) AS low", "max(group_id) OVER (PARTITION BY token) AS high",
-    ).filter("low < high").select("token", "class_id", "group_id")
+    placed = stage(
+        placed.selectExpr(
+            "token", "class_id", "group_id",
+            "min(group_id) OVER (PARTITION BY token) AS low", "max(group_id) OVER (PARTITION BY token) AS high",
+            "min(class_id) OVER (PARTITION BY token, group_id) < max(class_id) OVER (PARTITION BY token, group_id) AS mates",
+        ).filter("low < high OR mates"),
+        "placed",
+    )
+    astride = placed.filter("low < high").select("token", "class_id", "group_id")
     members = (
         astride.join(classes.select("class_id", "n", "p0", "p1", "p2", "p3"), "class_id")
         .groupBy("token", "group_id")
@@ -408,14 +434,16 @@ def _joined(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             F.col("a.group_id").alias("group_a"), F.col("b.group_id").alias("group_b"),
             F.expr(near("a.sets", "b.sets")).alias("left"), F.expr(near("b.sets", "a.sets")).alias("right"),
         )
-        .groupBy("group_a", "group_b")
-        .agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("left", "right")))
     )
     sides = F.array(
         *(F.struct(F.lit(i).alias("side"), F.col(c).alias("ids")) for i, c in enumerate(("left", "right")))
     )
-    proposed = proposed.select("group_a", "group_b", F.inline(sides)).select(
-        "group_a", "group_b", "side", F.explode("ids").alias("class_id")
+    # ``shared`` counts the tokens that a set has in common with sets near it.
+    proposed = (
+        proposed.select("group_a", "group_b", F.inline(sides))
+        .select("group_a", "group_b", "side", F.explode("ids").alias("class_id"))
+        .groupBy("group_a", "group_b", "side", "class_id")
+        .agg(F.count(F.lit(1)).alias("shared"))
     )
     # Within a group, the sets that have another one near by their sketches.
     within = (
@@ -427,13 +455,15 @@ def _joined(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             F.col("group_id").alias("group_a"), F.col("group_id").alias("group_b"), F.lit(0).alias("side"),
             F.explode("ids").alias("class_id"),
         )
+        .join(placed.filter("mates").groupBy("class_id").agg(F.count_distinct("token").alias("shared")), "class_id")
+        .select("group_a", "group_b", "side", "class_id", "shared")
     )
 
-    # Open the proposed pairs of groups.
+    # Open the proposed pairs of groups, for sets that share as many tokens as a link takes.
     opened = proposed.union(within).join(
-        classes.select("class_id", "digest", "rep_id", "text_hash", "members"), "class_id"
+        classes.select("class_id", "digest", "rep_id", "text_hash", "members", "need"), "class_id"
     )
-    opened = stage(opened.drop("class_id"), "opened")
+    opened = stage(opened.filter("shared >= need").drop("class_id", "shared", "need"), "opened")
     wanted = spark.sparkContext.broadcast(bitmap(opened.select("rep_id"), MAP_BITS))
     texts = keyed.select("doc_id", "text", "text_hash").mapInArrow(
         _wanted_rows(wanted), "rep_id long, text string, text_hash long"

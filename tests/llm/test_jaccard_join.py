@@ -120,3 +120,17 @@ def test_linked_sets_share_a_token():
             if len(a) == both == len(b) or 100 * both < 85 * (len(a) + len(b) - both):
                 continue
             assert len(np.intersect1d(jj.part_tokens(a, levels), jj.part_tokens(b, levels))), size
+
+
+def test_linked_sets_share_the_rows_they_need():
+    """Sets linked just so share at least as many rows of the matrix as each of them asks for."""
+    draw, levels, asked = np.random.default_rng(5), jj.SizeLevels(80, 100), []
+    for size in [3, 10, 30, 100, 400, 1500] * 5:
+        one = draw.integers(0, 1 << 62, size).astype(np.uint64)
+        differ = levels.difference(2 * size) // 2
+        other = np.concatenate([one[differ:], draw.integers(0, 1 << 62, differ).astype(np.uint64)])
+        shared = len(np.intersect1d(jj.part_tokens(one, levels), jj.part_tokens(other, levels)))
+        need = [jj.least_shared(s, levels) for s in (one, other)]
+        assert differ == 0 or shared >= max(need)
+        asked += need
+    assert max(asked) > 15
